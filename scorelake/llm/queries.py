@@ -11,6 +11,7 @@ from scorelake.llm import (
     p02_natural_cuts,
     p03_near_duplicates,
     p04_shared_spans,
+    p05_name_variants,
     p06_event_runs,
     p07_grouped_splits,
 )
@@ -35,6 +36,8 @@ def queries() -> dict[str, Query]:
         "p3_groups": over(p03_near_duplicates.groups, "prepared_pieces"),
         "p4_found": over(p04_shared_spans.spans, "prepared_pieces"),
         "p4_share": over(p04_shared_spans.shared_share, "prepared_pieces"),
+        "p5_found": over(p05_name_variants.found, "score_records"),
+        "p5_variants": over(p05_name_variants.variants, "score_records"),
         "p6_found": over(p06_event_runs.found, "musical_events"),
         "p6_collapsed": over(p06_event_runs.collapsed, "musical_events"),
         "p7_found": over(p07_grouped_splits.found, "prepared_pieces", "score_records"),
