@@ -14,6 +14,9 @@ from scorelake.llm import (
     p05_name_variants,
     p06_event_runs,
     p07_grouped_splits,
+    p08_containers,
+    p09_mixing,
+    p10_personal_data,
 )
 from scorelake.llm.oracles import ORACLES
 from scorelake.sources.tables import table
@@ -43,6 +46,12 @@ def queries() -> dict[str, Query]:
         "p7_found": over(p07_grouped_splits.found, "prepared_pieces", "score_records"),
         "p7_assign": over(p07_grouped_splits.assign, "prepared_pieces"),
         "p7_report": over(p07_grouped_splits.split_report, "prepared_pieces"),
+        "p8_containers": over(p08_containers.fill, "documents"),
+        "p8_summary": over(p08_containers.summary, "documents"),
+        "p9_mix": over(p09_mixing.mix, "documents", "mix_targets"),
+        "p9_shares": over(p09_mixing.shares, "documents", "mix_targets"),
+        "p10_found": over(p10_personal_data.found, "documents"),
+        "p10_redacted": over(p10_personal_data.redacted, "documents"),
     }
 
 
