@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,23 +44,48 @@ def present_split(records: DataFrame) -> DataFrame:
     )
 
 
-def shingle_set(tokens: Column, width: int = 5) -> Column:
-    """Distinct runs of ``width`` consecutive tokens, as longs; empty below ``width`` tokens.
+def whole(tokens) -> np.ndarray:
+    """Tokens as an integer array; a null token is the symbol -1."""
+    a = np.asarray(tokens)
+    if a.dtype.kind == "O":
+        a = np.array([-1 if t is None else t for t in a], dtype=np.int64)
+    return (np.where(np.isnan(a), -1, a) if a.dtype.kind == "f" else a).astype(np.int64)
+
+
+def shingles(tokens, width: int = 5) -> np.ndarray:
+    """Distinct runs of ``width`` consecutive tokens as longs, sorted; none below ``width`` tokens.
 
     Five tokens in 0..4094 are packed exactly (12 bits each); other runs are hashed to 64 bits.
-    A null token is a symbol of its own.
     """
-    clean = F.transform(tokens, lambda t: F.coalesce(t, F.lit(-1)).cast("long") + 1)
+    t = whole(tokens) + 1
+    n = len(t) - width + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    runs = np.lib.stride_tricks.sliding_window_view(t, width)
+    packed = np.zeros(n, np.int64)
+    for k in range(width):
+        packed = packed * PACK_BASE + runs[:, k] if width <= 5 else packed
+    fits = (runs.min(1) >= 0) & (runs.max(1) < PACK_BASE) if width <= 5 else np.zeros(n, bool)
+    if not fits.all():
+        with np.errstate(over="ignore"):
+            h = np.full(n, width, np.uint64)
+            for k in range(width):
+                h = (h ^ runs[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(32)
+        packed = np.where(fits, packed, (h | np.uint64(1 << 63)).view(np.int64))  # negative: apart from the packed
+    return np.unique(packed)
 
-    def name(i: Column) -> Column:
-        run = F.slice(clean, i, width)
-        packed = F.aggregate(run, F.lit(0).cast("long"), lambda acc, t: acc * PACK_BASE + t)
-        return F.when((F.array_min(run) >= 0) & (F.array_max(run) < PACK_BASE), packed).otherwise(F.xxhash64(run))
 
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (width - 1), F.lit(1)))
-    return F.when(F.size(tokens) >= width, F.array_distinct(F.transform(starts, name))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+def shingle_set(tokens: Column, width: int = 5) -> Column:
+    """Column of :func:`shingles`: one vectorised pass over a record's tokens."""
+
+    @F.pandas_udf("array<bigint>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: shingles(t, width))
+
+    return of(tokens)
 
 
 def copies(items: DataFrame) -> tuple[DataFrame, DataFrame]:

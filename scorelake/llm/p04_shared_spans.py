@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import pieces
+from scorelake.llm.common import pieces, whole
 from scorelake.session import cut_lineage
 
 U = np.uint64
@@ -178,12 +178,6 @@ def window_keys(tokens: np.ndarray, at: np.ndarray, length: int) -> tuple[np.nda
     return keys[0], keys[1]
 
 
-def whole(tokens) -> np.ndarray:
-    """Tokens as an array; a null token is the symbol -1."""
-    a = np.asarray(tokens)
-    return (np.where(np.isnan(a), -1, a) if a.dtype.kind == "f" else a).astype(np.int64)
-
-
 def shared_windows(prepared: DataFrame, length: int = 32) -> DataFrame:
     """``(piece_id, start)`` of every window of ``length`` tokens that also stands in another piece."""
     plan = rounds_for(length)
