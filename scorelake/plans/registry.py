@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scorelake.plans.common import Query
 
-MODULES = ("sequences", "metrics")
+MODULES = ("sequences", "metrics", "catalogue")
 
 
 def _catalogues():
