@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.names import GIVEN, NICKNAMES, PARTICLES
+from scorelake.llm.names import GIVEN, NICKNAMES, PARTICLES, fold
 
 KINDS = ("email", "id_number", "address", "phone", "person_name")
 
@@ -80,14 +80,17 @@ ADDRESS = re.compile(
 
 #: Words that start a sentence after a letter with a stop, and are no surnames.
 NO_SURNAME = frozenset(
-    "the this that these those there it in on at as a an and both but by bar bars box call clef coda compare contact corrections "
-    "duration fingering for from he her his i if is keep letter lists mail measure midi my nobody note nothing now of once one op or our page "
-    "play please ps rehearsal rehearsals reply return second see send she shelf sheet short so some tel text thanks they to token "
-    "transcribed version we what when who why with write you your auf aus ab am an bei bis bitte damit dank dauer das der die diese dort "
-    "ein eine er es für gilt hinweis ich im ist kurz man nach niemand nr op sie signatur takt und unter von vor wir zu zum übertragen "
-    "a al como con conviene compárese compases cuando de del desde dónde duración el ella ella en ensayamos envíe es escriba esta este "
-    "gracias la las llame lo los mi más nadie no nota op para pero por pregunte pues que se según si sin su tras transcripción un una "
-    "vale véase y zona major minor dur moll".split()
+    fold(word)
+    for word in (
+        "the this that these those there it in on at as a an and both but by bar bars box call clef coda compare contact corrections "
+        "duration fingering for from he her his i if is keep letter lists mail measure midi my nobody note nothing now of once one op or our page "
+        "play please ps rehearsal rehearsals reply return second see send she shelf sheet short so some tel text thanks they to token "
+        "transcribed version we what when who why with write you your auf aus ab am an bei bis bitte damit dank dauer das der die diese dort "
+        "ein eine er es für gilt hinweis ich im ist kurz man nach niemand nr op sie signatur takt und unter von vor wir zu zum übertragen "
+        "a al como con conviene compárese compases cuando de del desde dónde duración el ella ella en ensayamos envíe es escriba esta este "
+        "gracias la las llame lo los mi más nadie no nota op para pero por pregunte pues que se según si sin su tras transcripción un una "
+        "vale véase y zona major minor dur moll"
+    ).split()
 )
 #: Short names that are words too; in lower case they name nobody by themselves.
 ALSO_WORDS = frozenset("will rob max pat mina bill bart".split())
