@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 def intervals(df: DataFrame, key: str, order: str, value: str, most: int = 12) -> DataFrame:
     """Adds ``interval`` (difference to the one before, clamped to +-most) and ``token``; the first is START, token 0."""
     step = F.col(value) - F.lag(value).over(Window.partitionBy(key).orderBy(order))
-    clamped = F.greatest(F.least(step, F.lit(most)), F.lit(-most))
+    clamped = F.when(step.isNotNull(), F.greatest(F.least(step, F.lit(most)), F.lit(-most)))  # least alone would drop the null
     return df.withColumn("interval", clamped).withColumn("token", F.coalesce(clamped + most + 1, F.lit(0)).cast("int"))
 
 

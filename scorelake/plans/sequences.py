@@ -24,8 +24,8 @@ LEVEL_SQL = """CASE WHEN beat IS NULL THEN 'unknown' WHEN abs(beat - 1) <= 1e-3
   WHEN abs(beat * 2 - round_even(beat * 2, 0)) <= 1e-3 THEN 'offbeat' ELSE 'subbeat' END"""
 
 
-@C.add("win01_intervals", EV + """, d AS (SELECT piece_id, t, greatest(least(midi - lag(midi) OVER (PARTITION BY piece_id ORDER BY t), 12), -12) AS interval FROM ev)
-  SELECT piece_id, t, interval, CAST(coalesce(interval + 13, 0) AS INTEGER) AS token FROM d""")
+@C.add("win01_intervals", EV + """, d AS (SELECT piece_id, t, midi - lag(midi) OVER (PARTITION BY piece_id ORDER BY t) AS step FROM ev), e AS (SELECT piece_id, t, CASE WHEN step IS NOT NULL THEN greatest(least(step, 12), -12) END AS interval FROM d)
+  SELECT piece_id, t, interval, CAST(coalesce(interval + 13, 0) AS INTEGER) AS token FROM e""")
 def win01(spark, d):
     return S.intervals(events(spark, d), "piece_id", "t", "midi").select("piece_id", "t", "interval", "token")
 

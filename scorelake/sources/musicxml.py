@@ -139,8 +139,8 @@ def read_scores(spark: SparkSession, root: str, least: int = 32) -> DataFrame:
     scores = files.where(F.lower("path").rlike(r"\.(xml|musicxml|mxl)$"))
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     piece = F.regexp_replace("path", "^.*?" + base.replace(".", r"\.") + "/", "")
-    # parsing times are heavy-tailed: many small partitions keep tasks even
-    return parse_files(scores.select(piece.alias("piece_id"), "content").repartition(), least)
+    # parsing times are heavy-tailed, so files are spread by a hash of their path
+    return parse_files(scores.select(piece.alias("piece_id"), "content").repartition("piece_id"), least)
 
 
 def exploded(parsed: DataFrame) -> DataFrame:
