@@ -94,7 +94,7 @@ NO_SURNAME = frozenset(
 )
 #: Short names that are words too; in lower case they name nobody by themselves.
 ALSO_WORDS = frozenset("will rob max pat mina bill bart".split())
-BEFORE = re.compile(r"(?:\b(?:with|by|of|for|ask|profesora|profesor|Frau|Herrn?|Bitte|payee|und)|Dr\.|: ?|\(c\)|>) ?$")
+BEFORE = re.compile(r"(?:(?:\b(?:with|by|of|for|to|and|ask|profesora|profesor|Frau|Herrn?|Bitte|payee|und|von|an|a|de|y)|Dr\.|:|\(c\)|[>.!?*\])-]) ?|[\n\r\t]|^)$")
 #: Words whose own preposition stands before a name.
 OF = re.compile(r"\b(?:Transcripción|transcripción|Übertragen|übertragen|Arreglo|arreglo|Copia|copia|Bearbeitung|Kopie|Edición|edición) $")
 _GIVENS = frozenset(GIVEN) | frozenset(NICKNAMES)
@@ -167,7 +167,9 @@ def _named(text: str, low: str, m: re.Match) -> tuple[int, int] | None:
     if have == "lower":
         if shape != "lower":
             return None
-        cued = re.match(r" ?[<(;,\n]|$", text[m.end() : m.end() + 2]) or BEFORE.search(text, max(0, m.start() - 12), m.start())
+        cued = re.match(r" ?[<(;,\n]|$", text[m.end() : m.end() + 2]) or (
+            low_given != "will" and BEFORE.search(text, max(0, m.start() - 12), m.start())
+        )
         if low_given in ALSO_WORDS and not cued:
             return None
     elif shape not in ("title", "upper"):
