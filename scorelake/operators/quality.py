@@ -68,3 +68,12 @@ def leakage(df: DataFrame, group: str, split: str) -> DataFrame:
         df.where(F.col(group).isNotNull() & F.col(split).isNotNull()).groupBy(group)
         .agg(F.countDistinct(split).alias("n_splits"), F.array_join(F.sort_array(F.collect_set(split)), ",").alias("splits")).where("n_splits > 1")
     )
+
+
+def requirements(rules: list[tuple[str, DataFrame, int, str]]) -> DataFrame:
+    """``(requirement, status)``: met if the rule's one count ``n`` reaches its least value, else its own failing status."""
+    out = None
+    for name, count, least, failing in rules:
+        row = count.select(F.lit(name).alias("requirement"), F.when(F.col("n") >= least, "met").otherwise(failing).alias("status"))
+        out = row if out is None else out.unionByName(row)
+    return out
