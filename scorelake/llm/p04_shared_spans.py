@@ -55,13 +55,22 @@ def rounds_for(length: int) -> list[tuple[str, int]]:
         longest = plan[-1][1]
 
 
-def parse(tokens: np.ndarray, plan: list[tuple[str, int]]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """Levels of the parse: starts, names and lengths (of one symbol) before each round and at the end."""
+def parse(
+    tokens: np.ndarray, plan: list[tuple[str, int]], breaks: np.ndarray | None = None
+) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Levels of the parse: starts and names of the symbols before each round and at the end.
+
+    Positions in ``breaks`` part records laid end to end: each is a symbol of its own kind that
+    joins nothing.
+    """
     name = mix(tokens.astype(np.int64).astype(U) + U(1))
     start = np.arange(len(tokens))
     size = np.ones(len(tokens), dtype=np.int64)
     fixed = np.zeros(len(tokens), dtype=bool)
-    starts, names, sizes = [start], [name], [size]
+    if breaks is not None and len(breaks):
+        name[breaks] = mix(breaks.astype(U) + U(1 << 62))
+        fixed[breaks] = True
+    starts, names = [start], [name]
     for r, (kind, bound) in enumerate(plan):
         if kind == "run":
             edge = np.r_[True, name[1:] != name[:-1]]
@@ -88,81 +97,110 @@ def parse(tokens: np.ndarray, plan: list[tuple[str, int]]) -> tuple[list[np.ndar
             fixed, start = fixed[~second], start[~second]
         starts.append(start)
         names.append(name)
-        sizes.append(size)
-    return starts, names, sizes
+    return starts, names
 
 
-def inner_zone(levels, plan: list[tuple[str, int]], n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window, the part [lo, hi) that is parsed alike wherever the window stands."""
-    starts, names, _ = levels
-    lo = np.arange(n - length + 1)
-    hi = lo + length
+def inner_zone(
+    levels: tuple[list[np.ndarray], list[np.ndarray]], plan: list[tuple[str, int]], n: int, at: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each window [at, at + length), the part [lo, hi) that is parsed alike wherever it stands."""
+    starts, names = levels
+    lo, hi = at, at + length
     for r, (kind, bound) in enumerate(plan):
         start, name = starts[r], names[r]
         ends = np.r_[start[1:], n]
+        # symbols by position: every lo is a start and every hi an end at its level
+        i = np.minimum(np.searchsorted(start, lo), len(start) - 1)
+        j = np.minimum(np.searchsorted(ends, hi), len(start) - 1)
         if kind == "run":
             edge = np.r_[True, name[1:] != name[:-1]]
-            first = np.flatnonzero(edge)
             run = np.cumsum(edge) - 1
-            run_start = start[first]
+            run_start = start[np.flatnonzero(edge)]
             run_end = np.r_[run_start[1:], n]
-            i = np.searchsorted(start, lo)
-            seen = np.minimum(run_end[run[np.minimum(i, len(run) - 1)]], hi) - lo
-            new_lo = np.where(seen <= bound, lo + np.maximum(seen, 0), lo)
-            j = np.searchsorted(ends, hi)
-            seen = hi - np.maximum(run_start[run[np.minimum(j, len(run) - 1)]], lo)
-            new_hi = np.where(seen <= bound, hi - np.maximum(seen, 0), hi)
+            seen = np.maximum(np.minimum(run_end[run[i]], hi) - lo, 0)
+            new_lo = np.where(seen <= bound, lo + seen, lo)
+            seen = np.maximum(hi - np.maximum(run_start[run[j]], lo), 0)
+            new_hi = np.where(seen <= bound, hi - seen, hi)
         else:
-            i = np.minimum(np.searchsorted(start, lo), len(start) - 1)
-            j = np.minimum(np.searchsorted(ends, hi), len(start) - 1)
             # a left symbol is never the second of a pair, a right one never the first
             right = (mix(name + U(7 * r + 5)) & U(1)).astype(bool)
             new_lo, new_hi = np.where(right[i], ends[i], lo), np.where(right[j], hi, start[j])
-        lo, hi = np.minimum(new_lo, hi), np.maximum(new_hi, np.minimum(new_lo, hi))
+        lo = np.minimum(new_lo, hi)
+        hi = np.maximum(new_hi, lo)
     return lo, hi
 
 
-def window_symbols(tokens: np.ndarray, length: int, plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def inner_symbols(
+    levels: tuple[list[np.ndarray], list[np.ndarray]], n: int, length: int, plan: list[tuple[str, int]], at: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names of symbols one, two and three in a row, and for each window its first and last inner symbol."""
-    levels = parse(tokens, plan)
-    n = len(tokens)
-    lo, hi = inner_zone(levels, plan, n, length)
+    lo, hi = inner_zone(levels, plan, n, at, length)
     start, name = levels[0][-1], levels[1][-1]
-    ends = np.r_[start[1:], n]
     first = np.searchsorted(start, lo)
-    last = np.searchsorted(ends, hi, side="right") - 1
+    last = np.searchsorted(np.r_[start[1:], n], hi, side="right") - 1
     pad = np.r_[name, np.zeros(2, dtype=U)]
     two = combine(pad[:-2], pad[1:-1], 901)
     three = combine(two, pad[2:], 902)
     return np.stack([name, two, three]), first, last
 
 
-def features(tokens: np.ndarray, length: int, plan) -> np.ndarray:
-    """Names that some window of the record needs: three inner symbols in a row, else two, else one."""
-    grams, first, last = window_symbols(tokens, length, plan)
-    width = np.minimum(last - first + 1, 3)
-    out = []
-    for w in (1, 2, 3):
-        at = width == w
-        if at.any():
-            wanted = np.zeros(grams.shape[1] + 1, dtype=np.int64)
-            np.add.at(wanted, first[at], 1)
-            np.add.at(wanted, last[at] - w + 2, -1)
-            out.append(grams[w - 1][np.cumsum(wanted)[:-1] > 0])
-    return np.unique(np.concatenate(out)).astype(np.int64) if out else np.empty(0, np.int64)
-
-
-def candidate_windows(tokens: np.ndarray, shared: np.ndarray, length: int, plan) -> np.ndarray:
-    """Starts of the windows all of whose inner symbols stand in other records too."""
-    grams, first, last = window_symbols(tokens, length, plan)
-    width = np.minimum(last - first + 1, 3)
-    good = np.zeros(len(first), dtype=bool)
-    for w in (1, 2, 3):
-        at = width == w
-        missing = np.r_[0, np.cumsum(~np.isin(grams[w - 1].astype(np.int64), shared))]
-        good[at] = missing[last[at] - w + 2] == missing[first[at]]
-    good[width < 1] = True  # no inner symbol: only the tokens can tell
-    return np.flatnonzero(good)
+def window_symbols(tokens: np.ndarray, length: int, plan: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`inner_symbols` of all windows of one record."""
+    return inner_symbols(parse(tokens, plan), len(tokens), length, plan, np.arange(len(tokens) - length + 1))
+
+
+class Laid:
+    """Records laid end to end with a break between, so that one pass names them all."""
+
+    def __init__(self, records: list[np.ndarray], length: int, plan: list[tuple[str, int]]) -> None:
+        sizes = np.array([len(r) for r in records], dtype=np.int64)
+        self.offset = np.cumsum(sizes + 1) - (sizes + 1)
+        self.tokens = np.zeros(int(sizes.sum() + len(sizes)), dtype=np.int64)
+        self.owner = np.repeat(np.arange(len(records)), sizes + 1)
+        for o, r in zip(self.offset, records):
+            self.tokens[o : o + len(r)] = r
+        counts = np.maximum(sizes - length + 1, 0)
+        self.window_owner = np.repeat(np.arange(len(records)), counts)
+        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.at = self.offset[self.window_owner] + inside
+        self.length = length
+        levels = parse(self.tokens, plan, self.offset + sizes)
+        self.symbol_owner = self.owner[levels[0][-1]]
+        self.grams, self.first, self.last = inner_symbols(levels, len(self.tokens), length, plan, self.at)
+        self.width = np.minimum(self.last - self.first + 1, 3)
+
+    def features(self) -> tuple[np.ndarray, np.ndarray]:
+        """(owner, name), distinct, of what windows need: three inner symbols in a row, else two, else one."""
+        owners, names = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        symbols = self.grams.shape[1]
+        for w in (1, 2, 3):
+            at = self.width == w
+            if at.any():
+                wanted = np.zeros(symbols + 1, dtype=np.int64)
+                np.add.at(wanted, self.first[at], 1)
+                np.add.at(wanted, self.last[at] - w + 2, -1)
+                chosen = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
+                owners.append(self.symbol_owner[chosen])
+                names.append(self.grams[w - 1][chosen].astype(np.int64))
+        o, f = np.concatenate(owners), np.concatenate(names)
+        order = np.lexsort((f, o))
+        o, f = o[order], f[order]
+        fresh = np.r_[True, (o[1:] != o[:-1]) | (f[1:] != f[:-1])][: len(o)]
+        return o[fresh], f[fresh]
+
+    def candidates(self, shared: list[np.ndarray]) -> np.ndarray:
+        """Indices of the windows all of whose inner symbols stand in other records too."""
+        keys = lambda owner, name: combine(name.astype(np.int64).astype(U), owner.astype(U), 77)
+        n = [len(x) for x in shared]
+        known = np.unique(keys(np.repeat(np.arange(len(shared)), n), np.concatenate([*shared, np.empty(0, np.int64)])))
+        good = self.width < 1  # no inner symbol: only the tokens can tell
+        owner = self.symbol_owner
+        for w in (1, 2, 3):
+            at = self.width == w
+            if at.any():
+                missing = np.r_[0, np.cumsum(~np.isin(keys(owner, self.grams[w - 1]), known))]
+                good[at] = missing[self.last[at] - w + 2] == missing[self.first[at]]
+        return np.flatnonzero(good)
 
 
 def window_keys(tokens: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,6 +216,18 @@ def window_keys(tokens: np.ndarray, at: np.ndarray, length: int) -> tuple[np.nda
     return keys[0], keys[1]
 
 
+def groups_of(sizes: list[int], most: int = 100_000) -> Iterator[slice]:
+    """Slices of consecutive records of about ``most`` tokens, so the work tables stay small."""
+    begin, total = 0, 0
+    for i, n in enumerate(sizes):
+        if total and total + n > most:
+            yield slice(begin, i)
+            begin, total = i, 0
+        total += n
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
+
+
 def shared_windows(prepared: DataFrame, length: int = 32) -> DataFrame:
     """``(piece_id, start)`` of every window of ``length`` tokens that also stands in another piece."""
     plan = rounds_for(length)
@@ -185,10 +235,10 @@ def shared_windows(prepared: DataFrame, length: int = 32) -> DataFrame:
 
     def name_symbols(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [features(whole(t), length, plan) for t in batch["tokens"]]
-            yield pd.DataFrame(
-                {"piece_id": batch["piece_id"].repeat([len(f) for f in found]), "symbol": np.concatenate([*found, np.empty(0, np.int64)])}
-            )
+            tokens, ids = [whole(t) for t in batch["tokens"]], batch["piece_id"].to_numpy()
+            for part in groups_of([len(t) for t in tokens]):
+                owner, name = Laid(tokens[part], length, plan).features()
+                yield pd.DataFrame({"piece_id": ids[part][owner], "symbol": name})
 
     symbols = items.mapInPandas(name_symbols, "piece_id string, symbol bigint")
     symbols = cut_lineage(symbols)
@@ -202,16 +252,14 @@ def shared_windows(prepared: DataFrame, length: int = 32) -> DataFrame:
 
     def pick_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts, parts = [], [(np.empty(0, np.int64),) * 3]
-            for tokens, shared in zip(batch["tokens"], batch["shared"]):
-                t = whole(tokens)
-                at = candidate_windows(t, np.asarray(shared, dtype=np.int64), length, plan)
-                counts.append(len(at))
-                parts.append((at, *window_keys(t, at, length)))
-            start, key_a, key_b = (np.concatenate(x) for x in zip(*parts))
-            yield pd.DataFrame(
-                {"piece_id": batch["piece_id"].repeat(counts), "start": start.astype(np.int32), "key_a": key_a, "key_b": key_b}
-            )
+            tokens, ids = [whole(t) for t in batch["tokens"]], batch["piece_id"].to_numpy()
+            shared = [np.asarray(x, dtype=np.int64) for x in batch["shared"]]
+            for part in groups_of([len(t) for t in tokens]):
+                laid = Laid(tokens[part], length, plan)
+                found = laid.candidates(shared[part])
+                owner, at = laid.window_owner[found], laid.at[found]
+                key_a, key_b = window_keys(laid.tokens, at, length)
+                yield pd.DataFrame({"piece_id": ids[part][owner], "start": (at - laid.offset[owner]).astype(np.int32), "key_a": key_a, "key_b": key_b})
 
     windows = cut_lineage(
         items.join(per_piece, "piece_id").mapInPandas(pick_windows, "piece_id string, start int, key_a bigint, key_b bigint")
