@@ -186,27 +186,39 @@ def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, lengths
 
 
-def close_pairs(left: list[str], right: list[str], radius: int) -> list[tuple[str, str, int]]:
+def letter_counts(strings: list[str]) -> np.ndarray:
+    out = np.zeros((32, len(strings)), dtype=np.int16)
+    for i, s in enumerate(strings):
+        for c in s:
+            out[ord(c) & 31, i] += 1
+    return out
+
+
+def close_pairs(left: list[str], right: list[str], radius: int, same: bool = False) -> list[tuple[str, str, int]]:
     """Pairs (x, y, distance) of different strings within the radius, x from left and y from right.
 
-    Letter counts bound the distance from below and leave few pairs for the full metric.
+    If both are the ``same`` list each pair comes once. Letter counts bound the distance from
+    below (surplus letters of either side) and leave few pairs for the full metric.
     """
-    def counts(strings: list[str]) -> np.ndarray:
-        out = np.zeros((len(strings), 32), dtype=np.int16)
-        for i, s in enumerate(strings):
-            for c in s:
-                out[i, ord(c) & 31] += 1
-        return out
-
-    a, b = counts(left), counts(right)
+    if not left or not right:
+        return []
+    a, b = letter_counts(left), letter_counts(right)
+    gap = np.zeros((len(left), len(right)), dtype=np.int16)
+    net = np.zeros_like(gap)
+    for c in range(32):
+        if a[c].any() or b[c].any():
+            d = a[c][:, None] - b[c][None, :]
+            net += d
+            gap += np.abs(d)
+    bound = (gap + np.abs(net)) // 2
+    near = bound <= radius
+    if same:
+        near = np.triu(near, 1)
     out = []
-    for i, x in enumerate(left):
-        difference = b - a[i]
-        bound = np.maximum(np.where(difference > 0, difference, 0).sum(1), np.where(difference < 0, -difference, 0).sum(1))
-        for j in np.flatnonzero(bound <= radius):
-            y = right[j]
-            if x != y and (d := edit_distance(x, y, radius)) <= radius:
-                out.append((x, y, d))
+    for i, j in zip(*np.nonzero(near)):
+        x, y = left[i], right[j]
+        if x != y and (d := edit_distance(x, y, radius)) <= radius:
+            out.append((x, y, d))
     return out
 
 
@@ -214,8 +226,10 @@ def metric_join(strings: DataFrame, radius: int, cell: int = 1024, most_pivots:
     """All pairs ``(block, a, b, distance)`` with a < b of one block within Damerau-Levenshtein ``radius``.
 
     ``strings`` has ``(block, s)``, distinct. Every pair is found: if x and y are within the radius,
-    y is replicated to x's home cell. A cell of any size is compared in chunks of about ``cell``
-    strings, each pair of chunks a row of its own, so no task meets a whole hot cell.
+    each lies within twice that of the other's home cell, and the one with the later home is
+    replicated to the earlier. A cell of any size is compared in chunks of strings of one length,
+    each pair of chunks with lengths within the radius a row of its own, so no task meets a whole
+    hot cell.
     """
     reach = 4 * radius  # twice the radius in Levenshtein distance, which is at most doubled
     sizes = strings.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
@@ -240,7 +254,7 @@ def metric_join(strings: DataFrame, radius: int, cell: int = 1024, most_pivots:
                 codes, lengths = encode(strings)
                 d = np.stack([levenshtein_many(p, codes, lengths) for p in names], axis=1)
                 home = d.argmin(axis=1)
-                inside = d <= d.min(axis=1)[:, None] + reach
+                inside = (d <= d.min(axis=1)[:, None] + reach) & (np.arange(len(names)) <= home[:, None])
                 for i, c in zip(*np.nonzero(inside)):
                     rows.append((block, int(c), strings[i], bool(c == home[i])))
             yield pd.DataFrame(rows, columns=["block", "cell", "s", "home"])
@@ -248,26 +262,29 @@ def metric_join(strings: DataFrame, radius: int, cell: int = 1024, most_pivots:
     cells = cut_lineage(
         strings.join(pivots, "block").mapInPandas(to_cells, "block string, cell int, s string, home boolean")
     )
-    chunks = lambda df: (
-        df.join(
-            df.groupBy("block", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell)).cast("int").alias("parts")), ["block", "cell"]
-        )
-        .groupBy("block", "cell", F.pmod(F.xxhash64("s", F.lit(2)), F.col("parts")).alias("chunk"))
+    sized = cells.withColumn("len", F.length("s"))
+    parts = sized.groupBy("block", "cell", "home", "len").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell)).cast("int").alias("parts"))
+    chunks = cut_lineage(
+        sized.join(parts, ["block", "cell", "home", "len"])
+        .groupBy("block", "cell", "home", "len", F.pmod(F.xxhash64("s", F.lit(2)), F.col("parts")).alias("chunk"))
         .agg(F.collect_list("s").alias("strings"))
     )
-    left = chunks(cells.where("home")).select("block", "cell", F.col("strings").alias("own"))
-    right = chunks(cells).select("block", "cell", F.col("strings").alias("other"))
+    left = chunks.where("home").select("block", "cell", F.col("len").alias("l"), F.col("chunk").alias("i"), F.col("strings").alias("own"))
+    right = chunks.select("block", "cell", "home", F.col("len").alias("m"), F.col("chunk").alias("j"), F.col("strings").alias("other"))
+    once = ~F.col("home") | (F.col("l") < F.col("m")) | ((F.col("l") == F.col("m")) & (F.col("i") <= F.col("j")))
+    met = left.join(right, ["block", "cell"]).where((F.abs(F.col("l") - F.col("m")) <= radius) & once)
+    same = F.col("home") & (F.col("l") == F.col("m")) & (F.col("i") == F.col("j"))
+    met = met.select("block", "own", "other", same.alias("same")).repartition(F.col("block"), F.xxhash64("own"), F.xxhash64("other"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
                 (block, x, y, d)
-                for block, own, other in zip(batch["block"], batch["own"], batch["other"])
-                for x, y, d in close_pairs(list(own), list(other), radius)
+                for block, own, other, same in zip(batch["block"], batch["own"], batch["other"], batch["same"])
+                for x, y, d in close_pairs(list(own), list(other), radius, same)
             ]
             yield pd.DataFrame(rows, columns=["block", "x", "y", "distance"])
 
-    met = left.join(right, ["block", "cell"]).repartition(F.col("block"), F.col("cell"), F.xxhash64("own"), F.xxhash64("other"))
     found = met.mapInPandas(compare, "block string, x string, y string, distance int")
     return found.select("block", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance").distinct()
 
