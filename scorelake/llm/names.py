@@ -76,9 +76,13 @@ def known_given(token: str) -> str | None:
         return token
     if len(token) < 4:
         return None
-    limit = 1 if len(token) < 7 else 2
-    near = [(edit_distance(token, name, limit), name) for name in GIVEN if abs(len(name) - len(token)) <= limit]
-    near = sorted(x for x in near if x[0] <= limit)
-    if near and (len(near) == 1 or near[1][0] > near[0][0]):
-        return near[0][1]
+    for names in (GIVEN, NICKNAMES):  # a full name before a nickname
+        near = []
+        for name in names:
+            limit = 2 if len(name) > 6 and len(token) > 5 else 1
+            if len(name) > 3 and (d := edit_distance(token, name, limit)) <= limit:
+                near.append((d, name))
+        near.sort()
+        if near:
+            return near[0][1] if len(near) == 1 or near[1][0] > near[0][0] else None
     return None

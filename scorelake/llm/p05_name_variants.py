@@ -35,7 +35,7 @@ ENSEMBLE = frozenset(
     "wind chamber string folk music brass".split()
 )
 ENSEMBLE_HEADS = frozenset("ensemble choir chorus orchestra society quartet quintet trio band press consort singers philharmonic symphony".split())
-SHORT = {"ens": "ensemble", "orch": "orchestra", "soc": "society", "ch": "chamber", "qt": "quartet", "chor": "choral", "str": "string", "phil": "philharmonic"}
+SHORT = {"ens": "ensemble", "orch": "orchestra", "soc": "society", "ch": "chamber", "qt": "quartet", "chor": "choral", "str": "string", "phil": "philharmonic", "mus": "music", "pr": "press"}
 #: Form words in other languages, and their abbreviations.
 FORMS = {
     "ballad": "ballad ballade balada bal", "nocturne": "nocturne nocturno notturno noct", "sonata": "sonata sonate son",
@@ -49,26 +49,40 @@ FORMS = {
 FORM_OF = {word: form for form, words in FORMS.items() for word in words.split()}
 STOP = frozenset("the of at a an in for and de la el le der die das und y no nr num op".split())
 KEY_WORDS = frozenset("major minor dur moll mayor menor flat sharp a b c d e f g h bemol sostenido re mi fa sol la si do".split())
-ARRANGEMENT = re.compile(
-    r"\s*(?:[-–—:,]\s*|\()(?:(?:easy|solo|simple|simplified|full|arr(?:anged|angement|\.)?|transcription|transcribed|version|duet|for|by|piano|"
-    r"guitar|violin|cello|flute|facil|leicht)\b[\w. ]*)\)?\s*$",
-    re.I,
+#: Words that tell how a work was arranged.
+ARRANGED = frozenset(
+    "easy solo simple simplified full arr arranged arrangement transcription transcribed version duet for by piano guitar violin "
+    "cello flute viola harp oboe horn clarinet voice choir facil leicht beginner beginners".split()
 )
+TAIL = re.compile(r"\s*(?:\(([^()]*)\)|\[([^\[\]]*)\]|\s[-–—]\s*([^-–—]*))\s*$")
+
+
+@lru_cache(maxsize=200_000)
+def arranged(word: str) -> bool:
+    return word in ARRANGED or (len(word) > 2 and any(len(w) > 3 and edit_distance(word, w, 1) <= 1 for w in ARRANGED))
+
+
+def without_arrangement(text: str) -> str:
+    """A folded title without a tail in brackets or after a dash that tells an arrangement."""
+    tail = TAIL.search(text)
+    words = re.findall(r"[^\W_]+", next((g for g in tail.groups() if g is not None), "")) if tail else []
+    return text[: tail.start()] if words and all(map(arranged, words)) else text
 
 
 @lru_cache(maxsize=200_000)
 def form_of(word: str) -> str | None:
-    """The form a folded word names, allowing for one or two typos in longer words."""
+    """The form a folded word names, allowing for one typo, or two in forms of seven letters or more."""
     if word in FORM_OF:
         return FORM_OF[word]
     if len(word) < 4:
         return None
-    limit = 1 if len(word) < 7 else 2
-    near = sorted({(edit_distance(word, w, limit), f) for w, f in FORM_OF.items() if len(w) > 3 and abs(len(w) - len(word)) <= limit})
-    near = [x for x in near if x[0] <= limit]
-    if near and (len(near) == 1 or near[1][0] > near[0][0] or near[1][1] == near[0][1]):
-        return near[0][1]
-    return None
+    near = []
+    for w, f in FORM_OF.items():
+        limit = 2 if len(w) > 6 and len(word) > 4 else 1
+        if len(w) > 3 and (d := edit_distance(word, w, limit)) <= limit:
+            near.append((d, f))
+    near.sort()
+    return near[0][1] if near and all(f == near[0][1] for d, f in near if d == near[0][0]) else None
 
 
 @lru_cache(maxsize=200_000)
@@ -136,7 +150,7 @@ def read_composer(name: str) -> tuple[str, str, str, str] | None:
 def read_title(title: str) -> tuple[str, str, str, str] | None:
     """``('title', form, core, number)`` of a title's spelling, or None if it names no work."""
     text = fold(title).replace("_", " ")
-    text = ARRANGEMENT.sub("", text)
+    text = without_arrangement(text)
     text = re.sub(r"\bst\.(?=\s|$)", "street", text)
     number = ""
     numbered = re.search(r"(?:\b(?:no|nr|num)\b\.?|\bn[°º]|#)\s*(\d+)", text)
@@ -148,15 +162,12 @@ def read_title(title: str) -> tuple[str, str, str, str] | None:
         number += f"op{opus.group(1)}"
         text = text[: opus.start()] + " " + text[opus.end() :]
     words = re.findall(r"[^\W_]+", text)
-    form = ""
     # the form stands first or last, or right before "of"
     order = [0, len(words) - 1, *range(1, len(words) - 1)] if words else []
-    for i in order:
-        if not form and (f := form_of(words[i])):
-            form, at = f, i
-            break
-    else:
-        at = -1
+    at = next((i for i in order if words[i] in FORM_OF), None)
+    if at is None:
+        at = next((i for i in order if form_of(words[i])), -1)
+    form = form_of(words[at]) if at >= 0 else ""
     kept = [w for i, w in enumerate(words) if i != at and not stop_word(w)]
     if all(w in KEY_WORDS or w in PLACEHOLDERS or w.isdigit() for w in kept):
         return None
@@ -336,7 +347,7 @@ def entities(records: DataFrame, radius: int = 2, rare: int = 3) -> DataFrame:
     """``(field, name, entity)`` for every spelling that names something.
 
     Parts at distance one are one; at distance two they are one if the rarer is carried by at most
-    ``rare`` pieces (two common spellings that far apart are two names). Composers need agreeing
+    ``rare`` pieces or by a quarter of the other's (two common spellings that far apart are two names). Composers need agreeing
     given names; a spelling with a surname alone or with initials joins the one person it fits
     best, or none if several fit equally well. Titles need equal numbers and forms.
     """
@@ -366,7 +377,8 @@ def entities(records: DataFrame, radius: int = 2, rare: int = 3) -> DataFrame:
         .distinct()
     )
     met = cut_lineage(met)
-    sure = (F.col("distance") <= 1) | (F.least("x_pieces", "y_pieces") <= rare)
+    fewer, more = F.least("x_pieces", "y_pieces"), F.greatest("x_pieces", "y_pieces")
+    sure = (F.col("distance") <= 1) | (fewer <= rare) | (fewer * 4 <= more)
     whole = met.where(
         sure
         & (F.col("x_kind") == F.col("y_kind"))
