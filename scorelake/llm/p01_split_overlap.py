@@ -68,7 +68,8 @@ def split_overlap(prepared: DataFrame, records: DataFrame, share: float = 0.8, w
     probe = ranked.where("in_train").select(
         F.col("class_id").alias("t"), F.col("n").alias("t_n"), F.posexplode("ranked").alias("t_pos", "shingle")
     )
-    reach = 1 + F.least(F.col("e_n") - F.col("e_pos"), F.col("t_n") - F.col("t_pos")) - 1
+    # the first common shingle of a pair in this order leaves at most so many common ones
+    reach = F.least(F.col("e_n") - F.col("e_pos"), F.col("t_n") - F.col("t_pos"))
     candidates = (
         index.join(probe, "shingle")
         .where((F.col("t_n") >= F.col("c")) & (reach >= F.col("c")) & (F.col("e") != F.col("t")))
