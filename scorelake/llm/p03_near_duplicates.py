@@ -67,7 +67,7 @@ def chosen_path_candidates(
     Nodes that are still large at ``max_depth`` are compared too, by a join that AQE may split.
     """
     slim = embedded.select("id", "n")
-    rows = embedded.withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).cast("bigint"))
+    rows = embedded.withColumn("node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(trees - 1).cast("bigint"))))
     candidates = None
     for depth in range(max_depth):
         picks = F.array_distinct(
