@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from scorelake.plans.common import Catalogue
@@ -184,3 +185,81 @@ def strm2(spark, d):
     source, target, state = f"{d.rstrip('/')}/events.parquet", scratch_folder(spark, "ingested"), scratch_folder(spark, "state")
     ST.ingest_new(spark, source, target, state)
     return ST.ingest_new(spark, source, target, state).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@C.add("src07_source_catalogs", f"""WITH {RECORDS_SQL} SELECT split_part(piece_id, '/', 1) AS source, piece_id, title, CASE WHEN split_part(piece_id, '/', 1) = 'symbtr' THEN split_part(regexp_extract(piece_id, '([^/]*)$', 1), '_', 1) END AS form,
+  CASE WHEN split_part(piece_id, '/', 1) = 'pdmx' THEN n_events END AS declared_events FROM records""")
+def src07(spark, d):
+    """One builder a source, each with columns of its own, in one catalogue."""
+    r = records(spark, d).withColumn("source", F.substring_index("piece_id", "/", 1))
+    core = ["source", "piece_id", "title"]
+    symbtr = r.where("source = 'symbtr'").select(*core, F.substring_index(F.substring_index("piece_id", "/", -1), "_", 1).alias("form"))
+    pdmx = r.where("source = 'pdmx'").select(*core, F.col("n_events").alias("declared_events"))
+    rest = r.where("source not in ('symbtr', 'pdmx')").select(*core)
+    return catalogs.union_catalogs([symbtr, pdmx, rest])
+
+
+@C.add("src12_annotation_csv", f"WITH {EVENTS_SQL} SELECT piece_id, t AS event_index, CAST(measure AS VARCHAR) AS segment_label FROM ev WHERE measure IS NOT NULL")
+def src12(spark, d):
+    """Annotations written as CSV and read with their schema; rows that don't fit it are dropped."""
+    folder = scratch_folder(spark, "annotations")
+    rows = events(spark, d).where("measure is not null").select("piece_id", F.col("t").cast("string").alias("event_index"), F.col("measure").cast("string").alias("segment_label"))
+    bad = spark.createDataFrame([("x", "not a number", "1"), ("x", "-1", "1")], "piece_id string, event_index string, segment_label string")
+    rows.unionByName(bad).write.csv(folder, header=True)
+    read = spark.read.schema("piece_id string, event_index int, segment_label string, _torn string").option("columnNameOfCorruptRecord", "_torn").csv(folder, header=True)
+    return read.where("_torn is null and event_index >= 0").select("piece_id", "event_index", "segment_label")
+
+
+@C.add("src15_eligible_rows", f"WITH {METRICS_SQL} SELECT piece_id, model, nll FROM metrics WHERE abs(frac - 1) <= 1e-9 AND nll >= 0 AND model <> 'vomm'")
+def src15(spark, d):
+    """Rows that may be used, the conditions reaching the scan of the written table."""
+    folder = scratch_folder(spark, "costs")
+    metrics(spark, d).write.parquet(folder)
+    return spark.read.parquet(folder).where((F.abs(F.col("frac") - 1) <= 1e-9) & (F.col("nll") >= 0) & (F.col("model") != "vomm")).select("piece_id", "model", "nll")
+
+
+@C.add("snk01_tables", f"WITH {RECORDS_SQL}, {PIECES_SQL} SELECT 'records' AS name, count(*) AS n FROM records UNION ALL SELECT 'pieces', count(*) FROM pieces")
+def snk01(spark, d):
+    """Two tables written as CSV and counted again."""
+    folder = scratch_folder(spark, "tables")
+    sinks.write_tables({"records": records(spark, d).select("piece_id", "split"), "pieces": pieces(spark, d).select("piece_id", "n_events")}, folder)
+    count = lambda name: spark.read.csv(f"{folder}/{name}", header=True).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+    return count("records").union(count("pieces"))
+
+
+@C.add("snk12_split_manifest", f"WITH {RECORDS_SQL} SELECT '{{\"split\":\"' || split || '\",\"n\":' || count(*) || '}}' AS manifest FROM records WHERE split IS NOT NULL GROUP BY split")
+def snk12(spark, d):
+    """A JSON object a split."""
+    counts = records(spark, d).where("split is not null").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.to_json(F.struct("split", "n")).alias("manifest"))
+
+
+@C.add("snk14_fresh_folder", "SELECT true AS refused")
+def snk14(spark, d):
+    """A folder that is there already is not written over."""
+    folder = scratch_folder(spark, "fresh")
+    rows = records(spark, d).select("piece_id")
+    rows.write.parquet(folder)
+    try:
+        rows.write.mode("errorifexists").parquet(folder)
+        refused = False
+    except AnalysisException:
+        refused = True
+    return spark.createDataFrame([(refused,)], "refused boolean")
+
+
+@C.add("jon11_planned_grid", f"WITH {METRICS_SQL}, m AS (SELECT DISTINCT model FROM metrics WHERE model IS NOT NULL), s AS (SELECT DISTINCT data_seed FROM metrics WHERE data_seed IS NOT NULL) SELECT model, data_seed, CAST(frac AS DOUBLE) AS frac FROM m CROSS JOIN s CROSS JOIN (VALUES (0.1), (0.25), (0.5), (0.75), (1.0)) f(frac)")
+def jon11(spark, d):
+    """Models by seeds by fractions: a plan of a few rows."""
+    m = metrics(spark, d)
+    seeds = m.where("data_seed is not null").select("data_seed").distinct()
+    fractions = F.explode(F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 1.0)]))
+    return m.where("model is not null").select("model").distinct().crossJoin(F.broadcast(seeds)).select("model", "data_seed", fractions.alias("frac"))
+
+
+@C.add("jon07_manifest_changes")
+def jon07(spark, d):
+    """A manifest held against a changed copy of itself."""
+    now = sinks.file_manifest(spark, d).where(F.col("path").rlike(r"(?i)\.parquet$"))
+    then = now.where("not path like 'part.%'").withColumn("sha256", F.when(F.col("path").like("nation%"), "0").otherwise(F.col("sha256")))
+    return sinks.compare_manifests(then, now).groupBy("status").agg(F.count(F.lit(1)).alias("n"))

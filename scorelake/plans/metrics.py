@@ -214,7 +214,7 @@ def agg30(spark, d):
 
 @C.add("win14_best_so_far", SERIES_SQL + """, b AS (SELECT *, min(nll) OVER (PARTITION BY model ORDER BY t) AS best, min(nll) OVER (PARTITION BY model ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x),
   i AS (SELECT *, coalesce(nll < before, true) AS improved FROM b)
-  SELECT model, t, round(best, 6) AS best, improved, CAST(t - max(CASE WHEN improved THEN t END) OVER (PARTITION BY model ORDER BY t) AS INTEGER) AS patience FROM i""")
+  SELECT model, CAST(t AS INTEGER) AS t, round(best, 6) AS best, improved, CAST(t - max(CASE WHEN improved THEN t END) OVER (PARTITION BY model ORDER BY t) AS INTEGER) AS patience FROM i""")
 def win14(spark, d):
     return best_so_far(series(spark, d), "model", "t", "nll").select("model", "t", F.round("best", 6).alias("best"), "improved", "patience")
 

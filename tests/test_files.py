@@ -122,3 +122,14 @@ def test_contract(spark):
     assert set(sql) <= set(queries) and len(queries) > 150
     out = entry.entry(spark)
     assert out.count() > 0 and out.columns == ["piece_id", "n_tokens", "nll", "perplexity", "accuracy", "brier"]
+
+
+def test_workers_get_the_package_path(spark):
+    from pathlib import Path
+
+    from scorelake.session import let_workers_import
+
+    let_workers_import(spark)
+    let_workers_import(spark)
+    paths = spark.sparkContext.environment["PYTHONPATH"].split(":")
+    assert paths.count(str(Path(__file__).resolve().parents[1])) == 1
