@@ -110,7 +110,10 @@ def similar_classes(prepared: DataFrame, threshold: float = 0.6, width: int = 5,
     """``(links(class_a, class_b, common, either), members(class_id, piece_id))``.
 
     Links join classes of equal tokens whose shingle sets have a Jaccard similarity of at least
-    ``threshold``; copies are members of one class and are not expanded into pairs.
+    ``threshold``; copies are members of one class and are not expanded into pairs. Pieces with
+    fewer than ``width`` tokens or without id or tokens are like nothing, null tokens equal each
+    other, repeated deliveries are one piece, other columns are ignored and an empty table gives
+    an empty result.
     """
     items = pieces(prepared.select("piece_id", "tokens", "prepared_at")).where(F.size("tokens") >= width)
     classes, members = copies(items)

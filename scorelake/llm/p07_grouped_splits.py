@@ -11,11 +11,12 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.llm.common import present_split
 from scorelake.operators.components import connected_components
+from scorelake.session import cut_lineage
 
 TARGETS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -48,7 +49,11 @@ def piece_groups(prepared: DataFrame) -> DataFrame:
 
 
 def found(prepared: DataFrame, records: DataFrame) -> DataFrame:
-    """Pieces of groups whose pieces have more than one present split."""
+    """Pieces of groups whose pieces have more than one present split.
+
+    A piece without present split is a case like the others of its group; pieces that only the
+    records name are none. Empty tables give an empty result.
+    """
     groups = piece_groups(prepared)
     split = present_split(records.select("piece_id", "split", "registered_at"))
     mixed = (
@@ -129,8 +134,6 @@ def assign(prepared: DataFrame, bins: int = 20, targets: dict[str, float] = TARG
     without a global sort: counts per hash range give each range its first rank.
     """
     groups = piece_groups(prepared)
-    from scorelake.session import cut_lineage
-
     sized = cut_lineage(
         groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("weight"))
         .withColumn("h", F.xxhash64("group_id")).withColumn("range", F.shiftright("h", 52))
@@ -140,8 +143,6 @@ def assign(prepared: DataFrame, bins: int = 20, targets: dict[str, float] = TARG
     if not histogram:
         return groups.select("piece_id", "group_id", F.lit(None).cast("string").alias("new_split"))
     plan = spark.createDataFrame(allocate(histogram, bins, targets), "weight bigint, split string, from_rank bigint, to_rank bigint")
-    from pyspark.sql import Window
-
     per_range = sized.groupBy("weight", "range").agg(F.count(F.lit(1)).alias("n"))
     base = per_range.withColumn(
         "base",
