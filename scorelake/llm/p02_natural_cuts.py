@@ -2,8 +2,8 @@
 
 Boundary strengths come from the events: a new measure is a natural boundary. A sparse table
 over a piece's strengths answers range-maximum queries in constant time; the cutter asks for
-the strongest cut in the permissible window of lengths, takes the rightmost of equals, and
-steps back by the overlap.
+the strongest cut in the preferred window of lengths, failing that in all lengths above the
+overlap, takes the rightmost of equals, and steps back by the overlap.
 """
 
 from __future__ import annotations
@@ -39,14 +39,17 @@ def strongest(levels: list[np.ndarray], strength: np.ndarray, lo: int, hi: int)
 def cut_points(strength: np.ndarray, limit: int, overlap: int, least: int) -> list[tuple[int, int]]:
     """Pieces [start, stop) of at most ``limit`` tokens covering the item.
 
-    A cut before token i has strength[i]. Each piece but the last is at least ``least`` long
-    (more than the overlap, so every step moves on); the next starts ``overlap`` before it ends.
+    A cut before token i has strength[i]. Lengths from ``least`` on are preferred; only where they
+    have no boundary is a piece shorter, but longer than the overlap, so every step moves on. The
+    next piece starts ``overlap`` before one ends.
     """
     n = len(strength)
     levels = sparse_table(strength)
     out, start = [], 0
     while n - start > limit:
         stop = strongest(levels, strength, start + least, start + limit + 1)
+        if not strength[stop] > 0:
+            stop = strongest(levels, strength, start + overlap + 1, start + limit + 1)  # the limit if all are zero
         out.append((start, stop))
         start = stop - overlap
     out.append((start, n))
@@ -82,9 +85,10 @@ def cuts(
 ) -> DataFrame:
     """``(piece_id, part, start, stop, natural)``: the parts of every piece above ``limit`` tokens.
 
-    ``least`` is the shortest part allowed before the last (default half the limit). Where no
-    boundary lies in the permissible window the cut falls at the limit. ``natural`` tells if the
-    part ends at a boundary or at the end of the piece.
+    ``least`` is the shortest part preferred before the last (default half the limit). Where no
+    boundary lies from there to the limit, the last one above the overlap is taken; only where
+    there is none either does the cut fall at the limit. ``natural`` tells if the part ends at a
+    boundary or at the end of the piece.
     """
     least = limit // 2 if least is None else least
     if not overlap < least <= limit:

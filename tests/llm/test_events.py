@@ -39,6 +39,17 @@ def test_cuts_cover_and_overlap(spark):
         p2.cuts(long, events(spark, []), overlap=200)
 
 
+def test_cut_at_a_boundary_below_the_preferred_window(spark):
+    long = spark.createDataFrame([("a", [1] * 300, DAY, 0, 0, "")], PREPARED)
+    rows = [("a", i, float(i), 1.0, "C4", 1 + (i >= 100)) for i in range(300)]
+    parts = sorted((r["start"], r["stop"], r["natural"]) for r in p2.cuts(long, events(spark, rows)).collect())
+    assert parts == [(0, 100, True), (68, 300, True)]
+    for at, stop in ((33, 33), (32, 256), (127, 127)):  # the overlap itself is no length
+        strength = np.zeros(300)
+        strength[at] = 1.0
+        assert p2.cut_points(strength, 256, 32, 128)[0] == (0, stop)
+
+
 def test_sparse_table_takes_the_rightmost_maximum():
     rng = np.random.default_rng(0)
     s = rng.integers(0, 3, 200).astype(float)
