@@ -27,9 +27,9 @@ class Parameters:
     emission: np.ndarray
 
     @staticmethod
-    def start(states: int, symbols: int, seed: int) -> Parameters:
+    def start(states: int, symbols: int, seed: int, concentration: float = 5.0) -> Parameters:
         rng = np.random.default_rng(seed)
-        rows = lambda n, m: rng.dirichlet(np.full(m, 5.0), n)
+        rows = lambda n, m: rng.dirichlet(np.full(m, concentration), n)
         return Parameters(rows(1, states)[0], rows(states, states), rows(states, symbols))
 
 
@@ -142,6 +142,98 @@ def fit(tokens: DataFrame, states: int, symbols: int, iterations: int = 10, smoo
     return p, history
 
 
+def maximised(counts: pd.DataFrame, p: Parameters, smoothing: float) -> Parameters:
+    """The parameters that expected counts make likeliest."""
+    rows = lambda part, m: (matrix(counts, part, m.shape) + smoothing) / (matrix(counts, part, m.shape) + smoothing).sum(1, keepdims=True)
+    first = matrix(counts, "first", (len(p.initial), 1))[:, 0] + smoothing
+    return Parameters(first / first.sum(), rows("move", p.transition), rows("emit", p.emission))
+
+
+def begun(tokens: DataFrame, bos: int) -> DataFrame:
+    """Whole sequences after the start symbol, as models are fitted to them."""
+    return tokens.select("piece_id", F.concat(F.array(F.lit(bos)), "tokens").alias("tokens"))
+
+
+def begun_slices(tokens: DataFrame, bos: int, length: int) -> DataFrame:
+    """Slices of ``length`` tokens, each after the start symbol, as models are scored on them; every token stands in one."""
+    starts = F.sequence(F.lit(1), F.size("tokens"), F.lit(length))
+    cut = tokens.where(F.size("tokens") > 0).withColumn("start", F.explode(starts))
+    return cut.select("piece_id", F.concat(F.array(F.lit(bos)), F.slice("tokens", F.col("start"), F.lit(length))).alias("tokens"))
+
+
+def conditional_scores(slices: DataFrame, p: Parameters, bos: int) -> DataFrame:
+    """``(piece_id, n, ll)`` of each piece given the start symbol of its slices, which isn't scored itself."""
+    known = float(np.log(max((p.initial * p.emission[:, bos]).sum(), TINY)))
+    per = log_likelihoods(slices, p)
+    return per.groupBy("piece_id").agg(F.sum(F.col("n") - 1).cast("int").alias("n"), F.sum(F.col("ll") - known).alias("ll"))
+
+
+def held_out_nll(slices: DataFrame, p: Parameters, bos: int) -> float:
+    """Negative log likelihood a token."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            n, ll = 0, 0.0
+            for batch in batches_by_length([np.asarray(t, dtype=np.int64) for t in part["tokens"]]):
+                n, ll = n + sum(len(s) - 1 for s in batch), ll + conditional_log_likelihood(p, batch)
+            yield pd.DataFrame({"n": [n], "ll": [ll]})
+
+    total = slices.select("tokens").mapInPandas(run, "n long, ll double").agg(F.sum("n").alias("n"), F.sum("ll").alias("ll")).first()
+    return -(total["ll"] or 0.0) / max(1, total["n"] or 0)
+
+
+def conditional_log_likelihood(p: Parameters, sequences: list[np.ndarray]) -> float:
+    """Of sequences together, each given its first symbol."""
+    order = sorted(sequences, key=len, reverse=True)  # the live ones are a prefix
+    lengths = np.array([len(s) for s in order])
+    a = p.initial * p.emission.T[[s[0] for s in order]]
+    a, ll = a / np.maximum(a.sum(1, keepdims=True), TINY), 0.0
+    for t in range(1, lengths[0]):
+        live = int((lengths > t).sum())
+        a = (a[:live] @ p.transition) * p.emission.T[[s[t] for s in order[:live]]]
+        total = np.maximum(a.sum(1, keepdims=True), TINY)
+        a, ll = a / total, ll + float(np.log(total).sum())
+    return ll
+
+
+def fit_validated(
+    train: DataFrame, validation: DataFrame, p: Parameters, bos: int, iterations: int = 100, smoothing: float = 1e-3, tolerance: float = 1e-4
+) -> tuple[Parameters, float, list[tuple[float, float]]]:
+    """Baum-Welch on ``begun`` sequences, kept by the NLL of the ``begun_slices`` of the validation pieces.
+
+    After each update the validation NLL is taken. The parameters of the last update that
+    betters it by more than ``tolerance`` are returned with their NLL; the first that is within
+    ``tolerance`` of the best without doing so ends the fit. The history holds the train log
+    likelihood before, and the validation NLL after each update.
+    """
+    best, least, history = p, float("inf"), []
+    for _ in range(iterations):
+        counts = expected_counts(train, p)
+        if counts.empty:
+            break
+        p = maximised(counts, p, smoothing)
+        nll = held_out_nll(validation, p, bos)
+        history.append((float(matrix(counts, "ll", (1, 1))[0, 0]), nll))
+        if nll + tolerance < least:
+            best, least = p, nll
+        elif abs(nll - least) <= tolerance:
+            break
+    return best, least, history
+
+
+def fit_grid(
+    train: DataFrame, validation: DataFrame, grid: tuple[int, ...], symbols: int, bos: int, iterations: int = 100, tolerance: float = 1e-4, seed: int = 0
+) -> tuple[int, Parameters, dict[int, tuple[float, list[tuple[float, float]]]]]:
+    """One fit for each number of states: the number with the least validation NLL, its parameters, and the NLL and history of all."""
+    rng, fits, log = np.random.default_rng(seed), {}, {}
+    for states in grid:
+        start = Parameters.start(states, symbols, int(rng.integers(0, 2**32 - 1)), 1.0)
+        fits[states], least, history = fit_validated(train, validation, start, bos, iterations, tolerance=tolerance)
+        log[states] = (least, history)
+    best = min(grid, key=lambda k: log[k][0])
+    return best, fits[best], log
+
+
 def log_likelihoods(tokens: DataFrame, p: Parameters) -> DataFrame:
     """``(piece_id, n, ll)`` for any number of states."""
 

@@ -142,16 +142,41 @@ def hmm05(spark, d):
     return HM.backward_samples(pitch_sequences(spark, d), HM.example_parameters(), 3).select("piece_id", F.size("states").alias("n"), F.xxhash64("states").alias("path"))
 
 
-@C.add("hmm07_fit")
-def hmm07(spark, d):
-    """Baum-Welch on the train pieces: the likelihood of each iteration."""
-    train = records(spark, d).where("split = 'train'").select("piece_id")
-    rows = pitch_sequences(spark, d).join(train, "piece_id", "left_semi").persist()
+#: As in the reference: states tried, updates at most, tokens a scored slice, and the start symbol beside the twelve pitch classes.
+HMM_STATES, HMM_UPDATES, HMM_SLICE, HMM_BOS = (12, 24, 48), 100, 128, 12
+
+
+def split_sequences(spark, d, split: str):
+    """The pitch classes of the pieces of one split."""
+    return pitch_sequences(spark, d).join(records(spark, d).where(F.col("split") == split).select("piece_id"), "piece_id", "left_semi")
+
+
+def hmm_grid(spark, d):
+    """``HM.fit_grid`` on the whole train and validation splits."""
+    train = HM.begun(split_sequences(spark, d, "train"), HMM_BOS).persist()
+    validation = HM.begun_slices(split_sequences(spark, d, "validation"), HMM_BOS, HMM_SLICE).persist()
     try:
-        _, history = HM.fit(rows, 4, 12, iterations=5, seed=1)
+        return HM.fit_grid(train, validation, HMM_STATES, HMM_BOS + 1, HMM_BOS, HMM_UPDATES, seed=1)
     finally:
-        rows.unpersist()
-    return spark.createDataFrame([(i, round(x, 3)) for i, x in enumerate(history)], "iteration int, log_likelihood double")
+        train.unpersist()
+        validation.unpersist()
+
+
+@C.add("hmm07_fit")
+def hmm07(spark, d):
+    """Baum-Welch for each number of states, kept by validation NLL: train likelihood and validation NLL of each update."""
+    best, _, log = hmm_grid(spark, d)
+    rows = [(k, i + 1, round(ll, 3), round(nll, 6), k == best) for k, (_, history) in log.items() for i, (ll, nll) in enumerate(history)]
+    return spark.createDataFrame(rows, "states int, iteration int, log_likelihood double, validation_nll double, selected boolean")
+
+
+@C.add("hmm09_evaluation")
+def hmm09(spark, d):
+    """The selected model on each test piece."""
+    best, p, _ = hmm_grid(spark, d)
+    scores = HM.conditional_scores(HM.begun_slices(split_sequences(spark, d, "test"), HMM_BOS, HMM_SLICE), p, HMM_BOS)
+    nll = -F.col("ll") / F.col("n")
+    return scores.select("piece_id", F.lit(best).alias("states"), "n", F.round("ll", 6).alias("ll"), F.round(nll, 6).alias("nll"), F.round(F.exp(nll), 6).alias("perplexity"))
 
 
 @C.add("hmm08_conditional", HMM_SQL + """

@@ -12,7 +12,7 @@ from scorelake.operators import sequences as S
 from scorelake.operators import statistics as T
 from scorelake.plans.common import Catalogue
 from scorelake.plans.metrics import RUNS_SQL, model_points, runs
-from scorelake.plans.models import HAR_SQL, pitch_sequences
+from scorelake.plans.models import HAR_SQL, hmm_grid, pitch_sequences
 from scorelake.sources.relations import EVENTS_SQL, METRICS_SQL, PIECES_SQL, RECORDS_SQL, TOKENS_SQL, events, metrics, pieces, records, tokens
 from scorelake.sources.tables import table
 
@@ -278,12 +278,7 @@ def cmp01(spark, d):
 
 @C.add("cmp05_capacity")
 def cmp05(spark, d):
-    """Likelihood of the train pieces by the number of states, and whether the largest is best."""
-    train = records(spark, d).where("split = 'train'").select("piece_id")
-    rows = pitch_sequences(spark, d).join(train, "piece_id", "left_semi").persist()
-    try:
-        fits = [(k, HM.fit(rows, k, 12, iterations=3, tolerance=0.0, seed=1)[1][-1]) for k in (2, 4)]
-    finally:
-        rows.unpersist()
-    best = max(fits, key=lambda f: f[1])[0]
-    return spark.createDataFrame([(k, ll, k == best, "grid_too_small" if best == 4 else "grid_informative") for k, ll in fits], "states int, log_likelihood double, best boolean, verdict string")
+    """Validation NLL by the number of states, and whether the largest is best."""
+    best, _, log = hmm_grid(spark, d)
+    verdict = "grid_too_small" if best == max(log) else "grid_informative"
+    return spark.createDataFrame([(k, round(nll, 6), k == best, verdict) for k, (nll, _) in log.items()], "states int, validation_nll double, best boolean, verdict string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scorelake.operators import harmony as H
 from scorelake.operators import hidden_markov as HM
 from scorelake.operators import markov as V
+from scorelake.plans import models as M
 
 
 def tokens(spark, *sequences):
@@ -74,6 +75,34 @@ def test_fit_raises_the_likelihood(spark):
     assert all(b > a for a, b in zip(history, history[1:])) and np.allclose(p.transition.sum(1), 1) and np.allclose(p.emission.sum(1), 1)
 
 
+def test_fit_keeps_the_best_by_validation(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(f"p{i}", np.repeat(rng.integers(0, 4, 12), 4).tolist()) for i in range(12)]
+    df = spark.createDataFrame(rows, "piece_id string, tokens array<int>")
+    train, held = HM.begun(df.where("piece_id < 'p5'"), 4), HM.begun_slices(df.where("piece_id >= 'p5'"), 4, 10)
+    assert sorted(len(r["tokens"]) for r in held.collect()) == sorted([11] * 20 + [9] * 5)
+    start = HM.Parameters.start(3, 5, 1, 1.0)
+    p, least, history = HM.fit_validated(train, held, start, 4, iterations=8)
+    ps = [np.concatenate([[4], np.array(t[a : a + 10])]) for i, t in rows if i >= "p5" for a in range(0, 48, 10)]
+    known = math.log((p.initial * p.emission[:, 4]).sum())
+    brute = -sum(naive_forward(p, s) - known for s in ps) / sum(len(s) - 1 for s in ps)
+    assert math.isclose(least, brute, rel_tol=1e-9) and least <= min(nll for _, nll in history) + 1e-4
+    scored = HM.conditional_scores(held, p, 4).collect()
+    assert sum(r["n"] for r in scored) == 48 * 5 and math.isclose(-sum(r["ll"] for r in scored) / 240, brute, rel_tol=1e-9)
+    # a worsening beyond the tolerance goes on; one that is near the best ends the fit
+    for nlls, updates, want in (([3.0, 2.0, 2.5, 1.0, 1.00005, 0.5], 5, 1.0), ([3.0, 4.0, 5.0, 6.0, 7.0, 8.0], 6, 3.0)):
+        told = iter(nlls)
+        monkeypatch.setattr(HM, "held_out_nll", lambda *a, told=told: next(told))
+        _, least, history = HM.fit_validated(train, held, start, 4, iterations=6)
+        assert len(history) == updates and least == want
+    monkeypatch.setattr(HM, "fit_validated", lambda a, b, start, *c, **d: (start, {2: 1.0, 3: 0.5, 4: 0.7}[len(start.initial)], []))
+    assert HM.fit_grid(train, held, (2, 3, 4), 5, 4)[0] == 3
+
+
+def test_registered_hmm_grid():
+    assert (M.HMM_STATES, M.HMM_UPDATES, M.HMM_SLICE) == ((12, 24, 48), 100, 128)
+
+
 def test_viterbi_and_sampling(spark):
     sharp = HM.Parameters(np.full(3, 1 / 3), np.full((3, 3), 1 / 3), np.full((3, 3), 1e-9) + np.eye(3) * (1 - 3e-9))
     y = [0, 1, 2, 1, 0, 2, 2, 0]
