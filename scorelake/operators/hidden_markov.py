@@ -311,15 +311,64 @@ def backward_samples(tokens: DataFrame, p: Parameters, seed: int) -> DataFrame:
     return tokens.select("piece_id", "tokens").mapInPandas(run, "piece_id string, states array<int>")
 
 
+def sample_states_together(pairs: list[tuple[np.ndarray, np.ndarray]], p: Parameters, cells: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``sample_states`` of many sequences, each with its own uniform numbers, step by step at once: ``(tokens, states)``."""
+    order = sorted(pairs, key=lambda x: -len(x[0]))
+    k = len(p.initial)
+    while order:
+        m = max(1, cells // (k * len(order[0][0])))
+        batch, order = order[:m], order[m:]
+        lengths = np.array([len(y) for y, _ in batch])
+        width = lengths[0]
+        y, u = np.zeros((len(batch), width), dtype=np.int64), np.zeros((len(batch), width))
+        for i, (a, b) in enumerate(batch):
+            y[i, : len(a)], u[i, : len(a)] = a, b
+        alpha, path = np.zeros((width, len(batch), k)), np.zeros((width, len(batch)), dtype=np.int32)
+        live = [int((lengths > t).sum()) for t in range(width)]  # the longest stand first
+        for t in range(width):
+            n = live[t]
+            a = (p.initial if t == 0 else alpha[t - 1, :n] @ p.transition) * p.emission.T[y[:n, t]]
+            alpha[t, :n] = a / np.maximum(a.sum(1, keepdims=True), TINY)
+        for t in range(width - 1, -1, -1):
+            w = alpha[t, : live[t]].copy()
+            if t + 1 < width:
+                w[: live[t + 1]] *= p.transition.T[path[t + 1, : live[t + 1]]]
+            c = np.cumsum(w, axis=1)
+            path[t, : live[t]] = np.minimum((c <= u[: live[t], t, None] * c[:, -1:]).sum(1), k - 1)
+        for i, (a, _) in enumerate(batch):
+            yield a, path[: len(a), i]
+
+
+def table_count(n: int, a: float, rng: np.random.Generator, chunk: int = 1 << 20) -> int:
+    """Tables of n customers with concentration a, each customer drawn, so the law is exact at every n."""
+    return sum(int((rng.random(min(chunk, n - i)) < a / (a + np.arange(i, min(i + chunk, n)))).sum()) for i in range(0, n, chunk))
+
+
+def gibbs_grid(
+    train: DataFrame, validation: DataFrame, grid: tuple[tuple[float, float, float], ...], states: int, symbols: int, bos: int, iterations: int, burn_in: int, seed: int
+) -> tuple[int, Parameters, list[tuple[float, list[dict]]]]:
+    """A chain for each (alpha, alpha of first states, gamma), without stickiness: the one of least validation NLL, its posterior mean, and the NLL and trace of all."""
+    out = []
+    for i, (alpha, initial, gamma) in enumerate(grid):
+        p, trace = gibbs(train, states, symbols, iterations, alpha, gamma, 0.0, 1.0 / symbols, seed + i, initial, burn_in)
+        out.append((held_out_nll(validation, p, bos), trace, p))
+    best = min(range(len(grid)), key=lambda i: out[i][0])
+    return best, out[best][2], [(nll, trace) for nll, trace, _ in out]
+
+
 def gibbs(
-    tokens: DataFrame, states: int, symbols: int, iterations: int = 10, alpha: float = 4.0, gamma: float = 3.0, kappa: float = 10.0, rho: float = 0.5, seed: int = 0
+    tokens: DataFrame, states: int, symbols: int, iterations: int = 10, alpha: float = 4.0, gamma: float = 3.0, kappa: float = 10.0, rho: float = 0.5, seed: int = 0,
+    alpha_initial: float | None = None, burn_in: int | None = None,
 ) -> tuple[Parameters, list[dict]]:
     """Truncated sticky HDP-HMM by blocked Gibbs: paths are sampled where the pieces are, counts are summed, parameters drawn on the driver.
 
     The shared weights are drawn from the numbers of tables of a Chinese restaurant franchise.
-    Returns the mean of the later half of the parameters and a trace with the log likelihood,
-    the active states and the entropy of the weights of each iteration.
+    ``alpha_initial`` weighs the shared weights for first states (default ``alpha``). Returns the
+    mean of the parameters from iteration ``burn_in`` on (default the later half) and a trace with
+    the log likelihood, the active states and the entropy of the weights of each iteration.
     """
+    alpha_initial = alpha if alpha_initial is None else alpha_initial
+    burn_in = iterations // 2 if burn_in is None else burn_in
     rng = np.random.default_rng(seed)
     sticks = rng.beta(1.0, gamma, states)
     beta = sticks * np.r_[1.0, np.cumprod(1 - sticks)[:-1]]
@@ -332,11 +381,8 @@ def gibbs(
         def count(parts: Iterator[pd.DataFrame], it: int = it, p: Parameters = here) -> Iterator[pd.DataFrame]:
             for part in parts:
                 first, moves, emitted, ll = np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols)), 0.0
-                for piece, t in zip(part["piece_id"], part["tokens"]):
-                    y = np.asarray(t, dtype=np.int64)
-                    if not len(y):
-                        continue
-                    z = sample_states(y, p, np.random.default_rng(piece_seed(piece, seed * 10_007 + it)))
+                pairs = [(np.asarray(t, dtype=np.int64), np.random.default_rng(piece_seed(i, seed * 10_007 + it)).random(len(t))) for i, t in zip(part["piece_id"], part["tokens"]) if len(t)]
+                for y, z in sample_states_together(pairs, p):
                     first[z[0]] += 1
                     np.add.at(moves, (z[:-1], z[1:]), 1)
                     np.add.at(emitted, (z, y), 1)
@@ -351,20 +397,17 @@ def gibbs(
         moves, emitted = matrix(counts, "move", (states, states)), matrix(counts, "emit", (states, symbols))
         tables = np.zeros((states, states))
         for i, j in np.argwhere(moves > 0):
-            a = alpha * beta[j] + kappa * (i == j)
-            n = int(moves[i, j])
-            # tables of n customers: exact draws for few, their mean's Poisson beyond
-            tables[i, j] = (rng.random(n) < a / (a + np.arange(n))).sum() if n < 5000 else 1 + rng.poisson(a * np.log1p(n / a))
+            tables[i, j] = table_count(int(moves[i, j]), alpha * beta[j] + kappa * (i == j), rng)
         own = rng.binomial(np.diag(tables).astype(int), kappa / (kappa + alpha * np.maximum(beta, TINY)))
         shared = tables - np.diag(own)
         beta = rng.dirichlet(gamma / states + shared.sum(0))
         transition = np.stack([rng.dirichlet(np.maximum(alpha * beta + kappa * (np.arange(states) == i) + moves[i], TINY)) for i in range(states)])
         emission = np.stack([rng.dirichlet(rho + emitted[i]) for i in range(states)])
-        p = Parameters(rng.dirichlet(np.maximum(alpha * beta, TINY) + matrix(counts, "first", (states, 1))[:, 0]), transition, emission)
+        p = Parameters(rng.dirichlet(np.maximum(alpha_initial * beta, TINY) + matrix(counts, "first", (states, 1))[:, 0]), transition, emission)
         trace.append(
             {"iteration": it, "log_likelihood": float(matrix(counts, "ll", (1, 1))[0, 0]), "active_states": int((emitted.sum(1) > 0).sum()), "beta_entropy": float(-(beta * np.log(beta + TINY)).sum())}
         )
-        if it >= iterations // 2:
+        if it >= burn_in:
             kept.append(p)
     if kept:
         p = Parameters(*(np.mean([getattr(k, f) for k in kept], axis=0) for f in ("initial", "transition", "emission")))

@@ -191,16 +191,27 @@ def hmm08(spark, d):
     return cut.select("piece_id", "slice", F.size("part").alias("n"), F.round(HM.forward_column(F.col("part"), HM.example_parameters()), 6).alias("ll"))
 
 
-@C.add("hdp01_gibbs")
-def hdp01(spark, d):
-    """Trace of a short chain of the sticky HDP-HMM on the train pieces."""
-    train = records(spark, d).where("split = 'train'").select("piece_id")
-    rows = pitch_sequences(spark, d).join(train, "piece_id", "left_semi").persist()
+#: As in the reference: (alpha, alpha of first states, gamma) tried, truncation, sweeps, burn-in.
+HDP_GRID, HDP_STATES, HDP_SWEEPS, HDP_BURN_IN = ((8.0, 4.0, 2.0), (8.0, 8.0, 2.0), (12.0, 4.0, 2.0)), 24, 120, 60
+
+
+def hdp_grid(spark, d):
+    """``HM.gibbs_grid`` on the whole train and validation splits."""
+    train = HM.begun(split_sequences(spark, d, "train"), HMM_BOS).persist()
+    validation = HM.begun_slices(split_sequences(spark, d, "validation"), HMM_BOS, HMM_SLICE).persist()
     try:
-        _, trace = HM.gibbs(rows, 8, 12, iterations=4, seed=2)
+        return HM.gibbs_grid(train, validation, HDP_GRID, HDP_STATES, HMM_BOS + 1, HMM_BOS, HDP_SWEEPS, HDP_BURN_IN, seed=2)
     finally:
-        rows.unpersist()
-    return spark.createDataFrame([(t["iteration"], t["log_likelihood"], t["active_states"], t["beta_entropy"]) for t in trace], "iteration int, log_likelihood double, active_states int, beta_entropy double")
+        train.unpersist()
+        validation.unpersist()
+
+
+@C.add("hdp01_gibbs")
+def hdp01(spark, d):
+    """Trace of the chains of the HDP-HMM on the train pieces, and which of them validation selects."""
+    best, _, chains = hdp_grid(spark, d)
+    rows = [(i, t["iteration"], t["log_likelihood"], t["active_states"], t["beta_entropy"], nll, i == best) for i, (nll, trace) in enumerate(chains) for t in trace]
+    return spark.createDataFrame(rows, "candidate int, iteration int, log_likelihood double, active_states int, beta_entropy double, validation_nll double, selected boolean")
 
 
 @C.add("hdp04_state_interpretation")

@@ -12,7 +12,7 @@ from scorelake.operators import sequences as S
 from scorelake.operators import statistics as T
 from scorelake.plans.common import Catalogue
 from scorelake.plans.metrics import RUNS_SQL, model_points, runs
-from scorelake.plans.models import HAR_SQL, hmm_grid, pitch_sequences
+from scorelake.plans.models import HAR_SQL, hdp_grid, hmm_grid, pitch_sequences
 from scorelake.sources.relations import EVENTS_SQL, METRICS_SQL, PIECES_SQL, RECORDS_SQL, TOKENS_SQL, events, metrics, pieces, records, tokens
 from scorelake.sources.tables import table
 
@@ -122,14 +122,9 @@ def jon17(spark, d):
 
 @C.add("agg31_posterior_mean")
 def agg31(spark, d):
-    """Mean emission of the kept samples of a short chain."""
-    train = records(spark, d).where("split = 'train'").select("piece_id")
-    rows = pitch_sequences(spark, d).join(train, "piece_id", "left_semi").persist()
-    try:
-        p, _ = HM.gibbs(rows, 4, 12, iterations=4, seed=5)
-    finally:
-        rows.unpersist()
-    return spark.createDataFrame([(i, j, float(p.emission[i, j])) for i in range(4) for j in range(12)], "state int, pc int, p double")
+    """Mean emission of the kept samples of the selected chain; symbol 12 starts a piece."""
+    _, p, _ = hdp_grid(spark, d)
+    return spark.createDataFrame([(i, j, float(x)) for (i, j), x in np.ndenumerate(p.emission)], "state int, pc int, p double")
 
 
 @C.add("agg40_structural_metrics")

@@ -119,6 +119,32 @@ def test_gibbs(spark):
     assert HM.gibbs(df, 5, 3, iterations=2, seed=1)[1] == HM.gibbs(df, 5, 3, iterations=2, seed=1)[1]
 
 
+def test_states_sampled_together():
+    rng, p = np.random.default_rng(5), HM.Parameters.start(6, 5, 2)
+    ys = [rng.integers(0, 5, n) for n in (1, 7, 40, 7, 2)]
+    alone = sorted((y.tolist(), HM.sample_states(y, p, np.random.default_rng(i)).tolist()) for i, y in enumerate(ys))
+    pairs = [(y, np.random.default_rng(i).random(len(y))) for i, y in enumerate(ys)]
+    for cells in (1, 400, 10_000):
+        assert sorted((y.tolist(), z.tolist()) for y, z in HM.sample_states_together(pairs, p, cells)) == alone
+
+
+def test_table_counts_have_one_law():
+    n, a, rng = 6000, 30.0, np.random.default_rng(6)  # the Poisson stand-in has variance 159, the law 129
+    q = a / (a + np.arange(n))
+    draws = np.array([HM.table_count(n, a, rng, 1 << 12) for _ in range(4000)])
+    assert abs(draws.mean() - q.sum()) < 1 and abs(draws.var() / (q * (1 - q)).sum() - 1) < 0.1
+    assert HM.table_count(0, a, rng) == 0 and HM.table_count(1, a, rng) == 1
+
+
+def test_gibbs_grid(spark):
+    assert (M.HDP_STATES, M.HDP_SWEEPS, M.HDP_BURN_IN, len(M.HDP_GRID)) == (24, 120, 60, 3)
+    df = spark.createDataFrame([(f"p{i}", [0, 1, 0, 1]) for i in range(4)], "piece_id string, tokens array<int>")
+    train, held = HM.begun(df, 2), HM.begun_slices(df, 2, 3)
+    best, p, chains = HM.gibbs_grid(train, held, ((8.0, 4.0, 2.0), (8.0, 8.0, 2.0)), 3, 3, 2, 4, 2, 1)
+    nlls = [nll for nll, _ in chains]
+    assert nlls[best] == min(nlls) and all(len(t) == 4 for _, t in chains) and math.isclose(HM.held_out_nll(held, p, 2), min(nlls), rel_tol=1e-9)
+
+
 def test_harmony(spark):
     sets = spark.createDataFrame([("a", [0, 4, 7, 11, 2]), ("b", [2, 4, 5, 7, 9, 11, 0]), ("c", [])], "k string, pcs array<int>")
     marked = H.with_bits(sets, "pcs")
