@@ -15,6 +15,7 @@ from scorelake.sources.relations import EVENTS_SQL, RECORDS_SQL, TOKENS_SQL, eve
 
 C = Catalogue()
 BOS, DEPTH, SLICE = 60, 2, 32
+ORDERS = (1, 2, 4, 8)  # candidates of the selection
 
 
 def part(spark, d, split: str):
@@ -82,8 +83,8 @@ def agg36(spark, d):
 
 @C.add("vom04_order")
 def vom04(spark, d):
-    """Orders 0 to 2 on the validation pieces."""
-    return V.select_order(part(spark, d, "train"), part(spark, d, "validation"), [0, 1, 2], BOS, SLICE)
+    """The reference's orders on the validation pieces."""
+    return V.select_order(part(spark, d, "train"), part(spark, d, "validation"), list(ORDERS), BOS, SLICE)
 
 
 @C.add("nn04_generated")

@@ -145,6 +145,17 @@ def test_gibbs_grid(spark):
     assert nlls[best] == min(nlls) and all(len(t) == 4 for _, t in chains) and math.isclose(HM.held_out_nll(held, p, 2), min(nlls), rel_tol=1e-9)
 
 
+def test_registered_orders_reach_eight(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    known = [int(x) for x in rng.integers(0, 2, 64)]  # binary, so that only long contexts tell what follows
+    rows = [(f"p{i}", known, None) for i in range(500)]
+    spark.createDataFrame(rows, "piece_id string, tokens array<int>, prepared_at timestamp").write.parquet(str(tmp_path / "prepared_pieces.parquet"))
+    splits = [(f"p{i}", "validation" if i > 490 else "train", None) for i in range(500)]
+    spark.createDataFrame(splits, "piece_id string, split string, registered_at timestamp").write.parquet(str(tmp_path / "score_records.parquet"))
+    got = {r["depth"]: r["nll"] for r in M.vom04(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2, 4, 8] and min(got, key=got.get) == 8
+
+
 def test_harmony(spark):
     sets = spark.createDataFrame([("a", [0, 4, 7, 11, 2]), ("b", [2, 4, 5, 7, 9, 11, 0]), ("c", [])], "k string, pcs array<int>")
     marked = H.with_bits(sets, "pcs")
