@@ -105,7 +105,7 @@ def holm(df: DataFrame, p: str, *order: str) -> DataFrame:
     return adjusted.unionByName(df.where(F.col(p).isNull()).withColumn("holm", F.lit(None).cast("double")))
 
 
-def bootstrap(differences: DataFrame, resamples: int = 200, seed: int = 7) -> DataFrame:
+def bootstrap(differences: DataFrame, resamples: int = 10_000, seed: int = 7) -> DataFrame:
     """Percentile interval of the mean of each pair's differences, by resampling with replacement.
 
     Draw i of resample b takes the unit number md5(seed, b, i) mod n, the same in any engine.

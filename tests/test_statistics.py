@@ -1,7 +1,9 @@
 """Statistics, structural agreement, fronts, samples and audits."""
 
+import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +39,17 @@ def test_wilcoxon(spark):
     assert T.wilcoxon_p(1.0, 1, 0.0) is None
 
 
+def test_bootstrap_takes_ten_thousand_resamples(spark):
+    values = [0.3, -1.0, 2.5, 0.7]
+    df = spark.createDataFrame([("a", "b", f"w{i}", x) for i, x in enumerate(values)], "model_a string, model_b string, work string, difference double")
+    pick = lambda b, i: values[int(hashlib.md5(f"7:{b}:{i}".encode()).hexdigest()[:8], 16) % 4]
+    means = np.array([sum(pick(b, i) for i in range(4)) / 4 for b in range(10_000)])
+    few = T.bootstrap(df, 200).first()
+    got = T.bootstrap(df).first()
+    assert np.allclose([got["low"], got["high"]], np.percentile(means, [2.5, 97.5]), atol=1e-6)
+    assert np.allclose([few["low"], few["high"]], np.percentile(means[:200], [2.5, 97.5]), atol=1e-6) and few != got
+
+
 def test_agreement(spark):
     def score(a, b):
         r = T.agreement(spark.createDataFrame(list(zip(a, b)), "x string, y string"), "x", "y").first()
