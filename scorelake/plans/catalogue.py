@@ -149,10 +149,19 @@ def stx17(spark, d):
 
 @C.add("stx18_number_lists", TOK + ", s AS (SELECT piece_id, count(*) AS n, sum(token) AS total FROM tok WHERE t < 8 GROUP BY 1) SELECT piece_id, CAST(n AS INTEGER) AS n, CAST(total AS BIGINT) AS total FROM s")
 def stx18(spark, d):
-    """Lists typed with commas, blanks between, read as numbers."""
-    typed = F.concat(F.array_join(F.slice("tokens", 1, 8), " , "), F.lit(", ,"))
-    numbers = X.number_list(typed)
-    return pieces(spark, d).where(F.size("tokens") > 0).select("piece_id", F.size(numbers).alias("n"), F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+    """Lists typed with commas, blanks between, read as numbers; the first eight tokens, as in its SQL."""
+    return typed_lists(pieces(spark, d).withColumn("tokens", F.slice("tokens", 1, 8)))
+
+
+@C.add("stx18_number_lists_whole")
+def stx18_whole(spark, d):
+    """The same over every token of each piece."""
+    return typed_lists(pieces(spark, d))
+
+
+def typed_lists(rows):
+    numbers = X.number_list(F.concat(F.array_join("tokens", " , "), F.lit(", ,")))
+    return rows.where(F.size("tokens") > 0).select("piece_id", F.size(numbers).alias("n"), F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
 @C.add("stx19_short_names", REC + "SELECT piece_id, left(title, 31) AS sheet FROM records WHERE title IS NOT NULL")

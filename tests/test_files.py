@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorelake.functions import text as X
+from scorelake.plans import catalogue
 from scorelake.sources import catalogs, musicxml, sinks
 from scorelake.streaming import sequences as ST
 
@@ -101,6 +102,12 @@ def test_text_functions(spark):
     assert (one["d"], one["t"], one["m"], one["n"], one["s"]) == ("advanced", True, None, [1, 2, None], False) and one["p"] == "at <path> see https://a.example/b/c"
 
 
+def test_number_lists_of_whole_pieces(spark, tmp_path):
+    rows = [("a", list(range(40)), None), ("b", [5], None), ("c", [], None)]
+    spark.createDataFrame(rows, "piece_id string, tokens array<int>, prepared_at timestamp").write.parquet(str(tmp_path / "prepared_pieces.parquet"))
+    assert {tuple(r) for r in catalogue.stx18_whole(spark, str(tmp_path)).collect()} == {("a", 40, 780), ("b", 1, 5)}
+
+
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([("u", 1, 2.0), ("u", 3, 5.0), ("v", 1, 1.0)], "k string, t int, x double")
     source = str(tmp_path / "source")
