@@ -2,7 +2,7 @@
 
 Scoring and decoding run where the sequences are; fitting keeps the parameters (a few states by
 a few symbols) on the driver and sends them to one job an iteration, which returns summed
-counts. Sequences of like length are worked on together, in linear scale.
+counts. Many sequences are worked on together, step by step, in linear scale.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TINY = 1e-12
@@ -41,64 +41,109 @@ def example_parameters(states: int = 3, symbols: int = 12) -> Parameters:
     return Parameters(np.full(states, 1.0 / states), transition, ramp / ramp.sum(1, keepdims=True))
 
 
-def forward_column(tokens: Column, p: Parameters) -> Column:
-    """Log likelihood of a token array for a few states, as one built-in expression (scaled forward)."""
-    k = len(p.initial)
-    lit = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    emission = F.array(*[lit(p.emission[:, v]) for v in range(p.emission.shape[1])])
-    into = F.array(*[lit(p.transition[:, j]) for j in range(k)])
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    start = F.struct(lit(p.initial).alias("a"), F.lit(0.0).alias("ll"), F.lit(True).alias("first"))
-
-    def step(acc: Column, token: Column) -> Column:
-        moved = F.when(acc["first"], acc["a"]).otherwise(F.transform(into, lambda col: dot(acc["a"], col)))
-        weighted = F.zip_with(moved, F.get(emission, token), lambda x, y: x * y)
-        total = F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x)
-        return F.struct(F.transform(weighted, lambda x: x / total).alias("a"), (acc["ll"] + F.ln(total)).alias("ll"), F.lit(False).alias("first"))
-
-    return F.aggregate(tokens, start, step, lambda acc: acc["ll"])
+class Packed:
+    """Sequences laid out step by step without padding.
 
+    Sequences are ranked from long to short, so those that still run at a step are the first
+    ``live[t]`` of them, and the flat arrays hold step 0 of all, then step 1 of all that have one,
+    and so on: rows ``offset[t]`` to ``offset[t + 1]`` belong to step t.
+    """
 
-def forward_backward(p: Parameters, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected initial, transition and emission counts and the log likelihood of padded sequences."""
-    lengths = np.array([len(s) for s in sequences])
-    width = lengths.max()
-    y = np.zeros((len(sequences), width), dtype=np.int64)
+    def __init__(self, sequences: list[np.ndarray]) -> None:
+        lengths = np.fromiter((len(s) for s in sequences), dtype=np.int64, count=len(sequences))
+        self.order = np.argsort(-lengths, kind="stable")
+        sizes = lengths[self.order]
+        steps = int(sizes[0]) if len(sizes) else 0
+        self.live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(steps), side="right")
+        self.offset = np.r_[0, np.cumsum(self.live)]
+        self.rank = np.repeat(np.arange(len(sizes)), sizes)
+        step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        #: where each token, sequences end to end in rank order, stands in the flat arrays
+        self.slot = self.offset[step] + self.rank
+        self.sizes = sizes
+        self.y = self.lay([sequences[i] for i in self.order], np.int64)
+
+    def lay(self, ranked: list[np.ndarray], kind: type) -> np.ndarray:
+        """Flat array of values given for each sequence in rank order."""
+        out = np.empty(len(self.slot), dtype=kind)
+        if ranked:
+            out[self.slot] = np.concatenate(ranked)
+        return out
+
+    def rows(self, t: int, most: int | None = None) -> slice:
+        n = self.live[t] if most is None else min(most, self.live[t])
+        return slice(self.offset[t], self.offset[t] + n)
+
+    def sums(self, flat: np.ndarray) -> np.ndarray:
+        """Sum over each sequence, in the order given at first."""
+        out = np.empty(len(self.order))
+        out[self.order] = np.bincount(self.rank, flat[self.slot], len(self.order))
+        return out
+
+    def split(self, flat: np.ndarray) -> list[np.ndarray]:
+        """Values of each sequence, in the order given at first."""
+        parts = np.split(flat[self.slot], np.cumsum(self.sizes)[:-1])
+        out: list[np.ndarray] = [np.empty(0, flat.dtype)] * len(parts)
+        for rank, i in enumerate(self.order):
+            out[i] = parts[rank]
+        return out
+
+
+def packs(sequences: list[np.ndarray], states: int, cells: int = 4_000_000) -> Iterator[tuple[int, Packed]]:
+    """Consecutive sequences together, about ``cells`` tokens times states a pack: (first index, pack)."""
+    begin, total = 0, 0
     for i, s in enumerate(sequences):
-        y[i, : len(s)] = s
-    live = np.arange(width)[None, :] < lengths[:, None]
-    b = p.emission.T[y]  # sequence x step x state
-    alpha, scale = np.zeros(b.shape), np.ones(y.shape)
-    now = p.initial * b[:, 0]
-    for t in range(width):
+        if total and (total + len(s)) * states > cells:
+            yield begin, Packed(sequences[begin:i])
+            begin, total = i, 0
+        total += len(s)
+    if begin < len(sequences):
+        yield begin, Packed(sequences[begin:])
+
+
+def filtered(p: Parameters, pack: Packed) -> tuple[np.ndarray, np.ndarray]:
+    """State probabilities at every step given the past, and the probability of each symbol given the past."""
+    alpha = p.emission.T[pack.y]
+    scale = np.empty(len(pack.y))
+    for t in range(len(pack.live)):
+        here = pack.rows(t)
         if t:
-            now = np.where(live[:, t, None], (alpha[:, t - 1] @ p.transition) * b[:, t], alpha[:, t - 1])
-        total = np.where(live[:, t], np.maximum(now.sum(1), TINY), 1.0)
-        scale[:, t] = total
-        alpha[:, t] = now / total[:, None]
-    beta = np.ones(b.shape)
-    onward = np.zeros(b.shape)
-    for t in range(width - 2, -1, -1):
-        onward[:, t + 1] = b[:, t + 1] * beta[:, t + 1] / scale[:, t + 1, None]
-        beta[:, t] = np.where(live[:, t + 1, None], onward[:, t + 1] @ p.transition.T, 1.0)
-    gamma = alpha * beta * live[:, :, None]
-    pair = live[:, 1:, None]
-    moves = p.transition * np.tensordot(alpha[:, :-1] * pair, onward[:, 1:] * pair, axes=([0, 1], [0, 1]))
-    emitted = np.zeros((p.emission.shape[1], len(p.initial)))
-    np.add.at(emitted, y[live], gamma[live])
-    return gamma[:, 0].sum(0), moves, emitted.T, float(np.log(scale).sum())
-
-
-def batches_by_length(sequences: list[np.ndarray], cells: int = 100_000) -> Iterator[list[np.ndarray]]:
-    """Sequences of like length together, at most ``cells`` padded tokens a batch."""
-    batch: list[np.ndarray] = []
-    for s in sorted(sequences, key=len):
-        if batch and (len(batch) + 1) * len(s) > cells:
-            yield batch
-            batch = []
-        batch.append(s)
-    if batch:
-        yield batch
+            alpha[here] *= alpha[pack.rows(t - 1, pack.live[t])] @ p.transition
+        else:
+            alpha[here] *= p.initial
+        scale[here] = np.maximum(alpha[here].sum(1), TINY)
+        alpha[here] /= scale[here, None]
+    return alpha, scale
+
+
+def expectations(p: Parameters, pack: Packed) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected initial, transition and emission counts and the log likelihood of a pack.
+
+    ``ahead`` is the evidence of the symbols still to come; one step back is folded into the
+    transition counts at once, so only two steps of it are ever held besides the posteriors.
+    """
+    states, symbols = p.emission.shape
+    posterior, scale = filtered(p, pack)
+    moves = np.zeros((states, states))
+    ahead = np.empty((0, states))
+    for t in range(len(pack.live) - 1, -1, -1):
+        here = pack.rows(t)
+        now = np.ones((pack.live[t], states))
+        if len(ahead):
+            after = pack.rows(t + 1)
+            seen = p.emission.T[pack.y[after]] * ahead / scale[after, None]
+            moves += posterior[here][: len(ahead)].T @ seen
+            now[: len(ahead)] = seen @ p.transition.T
+        posterior[here] *= now
+        ahead = now
+    cell = pack.y[:, None] * states + np.arange(states)
+    emitted = np.bincount(cell.ravel(), posterior.ravel(), symbols * states).reshape(symbols, states)
+    first = posterior[pack.rows(0)].sum(0) if len(pack.live) else np.zeros(states)
+    return first, moves * p.transition, emitted.T, float(np.log(scale).sum())
+
+
+def arrays(column: pd.Series) -> list[np.ndarray]:
+    return [np.asarray(t, dtype=np.int64) for t in column]
 
 
 COUNTS = "part string, i int, j int, n double"
@@ -110,8 +155,8 @@ def expected_counts(tokens: DataFrame, p: Parameters) -> pd.DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             first, moves, emitted, ll = np.zeros_like(p.initial), np.zeros_like(p.transition), np.zeros_like(p.emission), 0.0
-            for batch in batches_by_length([np.asarray(t, dtype=np.int64) for t in part["tokens"] if len(t)]):
-                a, b, c, d = forward_backward(p, batch)
+            for _, pack in packs(arrays(part["tokens"]), len(p.initial)):
+                a, b, c, d = expectations(p, pack)
                 first, moves, emitted, ll = first + a, moves + b, emitted + c, ll + d
             rows = [("first", i, 0, x) for i, x in enumerate(first)] + [("ll", 0, 0, ll)]
             rows += [("move", i, j, moves[i, j]) for i, j in np.ndindex(moves.shape)] + [("emit", i, j, emitted[i, j]) for i, j in np.ndindex(emitted.shape)]
@@ -135,8 +180,7 @@ def fit(tokens: DataFrame, states: int, symbols: int, iterations: int = 10, smoo
         if counts.empty:
             break
         history.append(float(matrix(counts, "ll", (1, 1))[0, 0]))
-        rows = lambda m: (m + smoothing) / (m + smoothing).sum(1, keepdims=True)
-        p = Parameters(rows(matrix(counts, "first", (states, 1)).T)[0], rows(matrix(counts, "move", (states, states))), rows(matrix(counts, "emit", (states, symbols))))
+        p = maximised(counts, p, smoothing)
         if len(history) > 1 and abs(history[-1] - history[-2]) <= tolerance * abs(history[-2]):
             break
     return p, history
@@ -169,33 +213,21 @@ def conditional_scores(slices: DataFrame, p: Parameters, bos: int) -> DataFrame:
 
 
 def held_out_nll(slices: DataFrame, p: Parameters, bos: int) -> float:
-    """Negative log likelihood a token."""
+    """Negative log likelihood a token; every slice begins with the start symbol, which isn't scored."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             n, ll = 0, 0.0
-            for batch in batches_by_length([np.asarray(t, dtype=np.int64) for t in part["tokens"]]):
-                n, ll = n + sum(len(s) - 1 for s in batch), ll + conditional_log_likelihood(p, batch)
+            for _, pack in packs(arrays(part["tokens"]), len(p.initial)):
+                log = np.log(filtered(p, pack)[1])
+                begin = pack.live[0] if len(pack.live) else 0
+                n, ll = n + len(log) - int(begin), ll + float(log[begin:].sum())
             yield pd.DataFrame({"n": [n], "ll": [ll]})
 
     total = slices.select("tokens").mapInPandas(run, "n long, ll double").agg(F.sum("n").alias("n"), F.sum("ll").alias("ll")).first()
     return -(total["ll"] or 0.0) / max(1, total["n"] or 0)
 
 
-def conditional_log_likelihood(p: Parameters, sequences: list[np.ndarray]) -> float:
-    """Of sequences together, each given its first symbol."""
-    order = sorted(sequences, key=len, reverse=True)  # the live ones are a prefix
-    lengths = np.array([len(s) for s in order])
-    a = p.initial * p.emission.T[[s[0] for s in order]]
-    a, ll = a / np.maximum(a.sum(1, keepdims=True), TINY), 0.0
-    for t in range(1, lengths[0]):
-        live = int((lengths > t).sum())
-        a = (a[:live] @ p.transition) * p.emission.T[[s[t] for s in order[:live]]]
-        total = np.maximum(a.sum(1, keepdims=True), TINY)
-        a, ll = a / total, ll + float(np.log(total).sum())
-    return ll
-
-
 def fit_validated(
     train: DataFrame, validation: DataFrame, p: Parameters, bos: int, iterations: int = 100, smoothing: float = 1e-3, tolerance: float = 1e-4
 ) -> tuple[Parameters, float, list[tuple[float, float]]]:
@@ -234,66 +266,92 @@ def fit_grid(
     return best, fits[best], log
 
 
-def log_likelihoods(tokens: DataFrame, p: Parameters) -> DataFrame:
-    """``(piece_id, n, ll)`` for any number of states."""
+def log_likelihoods(tokens: DataFrame, p: Parameters, *keys: str) -> DataFrame:
+    """``(piece_id, *keys, n, ll)``: scaled forward likelihood for any number of states; an empty sequence has 0."""
+    keep = ["piece_id", *keys]
+    schema = tokens.select(*keep).schema.add("n", "integer").add("ll", "double")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            ll = []
-            for t in part["tokens"]:
-                a, total = p.initial, 0.0
-                for i, v in enumerate(np.asarray(t, dtype=np.int64)):
-                    a = (a if i == 0 else a @ p.transition) * p.emission[:, v]
-                    s = max(a.sum(), TINY)
-                    a, total = a / s, total + np.log(s)
-                ll.append(total)
-            yield pd.DataFrame({"piece_id": part["piece_id"], "n": part["tokens"].map(len), "ll": ll})
+            ll = np.zeros(len(part))
+            for at, pack in packs(arrays(part["tokens"]), len(p.initial)):
+                ll[at : at + len(pack.order)] = pack.sums(np.log(filtered(p, pack)[1]))
+            yield part[keep].assign(n=part["tokens"].map(len).astype("int32"), ll=ll)
 
-    return tokens.select("piece_id", "tokens").mapInPandas(run, "piece_id string, n int, ll double")
+    return tokens.select(*keep, "tokens").mapInPandas(run, schema)
+
+
+def best_paths(p: Parameters, pack: Packed) -> np.ndarray:
+    """Likeliest state at every row of a pack; of equals the lowest."""
+    log = lambda m: np.log(np.maximum(m, TINY))
+    come, emit = log(p.transition).T[None], log(p.emission).T
+    states = len(p.initial)
+    origin = np.zeros((len(pack.y), states), dtype=np.int16 if states < 2**15 else np.int32)
+    score = log(p.initial) + emit[pack.y[pack.rows(0)]]
+    final = [score]
+    wide = max(1, 4_000_000 // states**2)
+    for t in range(1, len(pack.live)):
+        here, fresh = pack.rows(t), np.empty((pack.live[t], states))
+        for i in range(0, len(fresh), wide):
+            reach = score[i : min(i + wide, len(fresh)), None, :] + come  # row x to x from
+            best = reach.argmax(2)
+            origin[here.start + i : here.start + i + len(best)] = best
+            fresh[i : i + len(best)] = np.take_along_axis(reach, best[:, :, None], 2)[:, :, 0]
+        score = fresh + emit[pack.y[here]]
+        final.append(score)
+    path = np.empty(len(pack.y), dtype=np.int32)
+    for t in range(len(pack.live) - 1, -1, -1):
+        here = pack.rows(t)
+        goes_on = pack.live[t + 1] if t + 1 < len(pack.live) else 0
+        if goes_on:
+            after = pack.rows(t + 1)
+            path[here.start : here.start + goes_on] = origin[np.arange(after.start, after.stop), path[after]]
+        path[here.start + goes_on : here.stop] = final[t][goes_on:].argmax(1)
+    return path
 
 
 def viterbi(tokens: DataFrame, p: Parameters) -> DataFrame:
     """``(piece_id, t, state)``: the likeliest path of each sequence, the lowest state of equals."""
-    log = lambda m: np.log(np.maximum(m, TINY))
-    la, lb, li = log(p.transition), log(p.emission), log(p.initial)
-
-    def decode(y: np.ndarray) -> np.ndarray:
-        d, back = li + lb[:, y[0]], np.zeros((len(y), len(li)), dtype=np.int64)
-        for t in range(1, len(y)):
-            reach = d[:, None] + la
-            back[t] = reach.argmax(0)
-            d = reach.max(0) + lb[:, y[t]]
-        path = np.empty(len(y), dtype=np.int32)
-        path[-1] = d.argmax()
-        for t in range(len(y) - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
-        return path
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            paths = [decode(np.asarray(t, dtype=np.int64)) if len(t) else np.empty(0, np.int32) for t in part["tokens"]]
-            n = [len(x) for x in paths]
-            yield pd.DataFrame(
-                {"piece_id": part["piece_id"].repeat(n), "t": np.concatenate([np.arange(k) for k in n] + [[]]).astype(np.int32), "state": np.concatenate([*paths, np.empty(0, np.int32)])}
-            )
+            ids = part["piece_id"].to_numpy()
+            for at, pack in packs(arrays(part["tokens"]), len(p.initial)):
+                n = np.zeros(len(pack.order), dtype=np.int64)
+                n[pack.order] = pack.sizes
+                states = pack.split(best_paths(p, pack)) if len(pack.y) else []
+                yield pd.DataFrame(
+                    {
+                        "piece_id": np.repeat(ids[at : at + len(n)], n),
+                        "t": (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32),
+                        "state": np.concatenate([*states, np.empty(0, np.int32)]),
+                    }
+                )
 
     return tokens.select("piece_id", "tokens").mapInPandas(run, "piece_id string, t int, state int")
 
 
-def sample_states(y: np.ndarray, p: Parameters, rng: np.random.Generator) -> np.ndarray:
-    """A state path from the posterior: scaled forward, then backward sampling."""
-    alpha = np.zeros((len(y), len(p.initial)))
-    for t, v in enumerate(y):
-        a = (p.initial if t == 0 else alpha[t - 1] @ p.transition) * p.emission[:, v]
-        alpha[t] = a / max(a.sum(), TINY)
-    u, path = rng.random(len(y)), np.empty(len(y), dtype=np.int32)
-    for t in range(len(y) - 1, -1, -1):
-        w = alpha[t] if t == len(y) - 1 else alpha[t] * p.transition[:, path[t + 1]]
-        c = np.cumsum(w)
-        path[t] = min(np.searchsorted(c, u[t] * c[-1], side="right"), len(w) - 1)
+def drawn_paths(p: Parameters, pack: Packed, uniform: np.ndarray) -> np.ndarray:
+    """A state path of each sequence from its posterior: filtered forward, drawn backward, one uniform number a row."""
+    alpha, _ = filtered(p, pack)
+    path = np.empty(len(pack.y), dtype=np.int32)
+    for t in range(len(pack.live) - 1, -1, -1):
+        here, weight = pack.rows(t), alpha[pack.rows(t)]
+        if t + 1 < len(pack.live):
+            weight = weight.copy()
+            weight[: pack.live[t + 1]] *= p.transition.T[path[pack.rows(t + 1)]]
+        mass = np.cumsum(weight, axis=1)
+        path[here] = np.minimum((mass <= uniform[here, None] * mass[:, -1:]).sum(1), len(p.initial) - 1)
     return path
 
 
+def drawn_in_packs(ids: list[str], sequences: list[np.ndarray], p: Parameters, seed: int) -> Iterator[tuple[int, Packed, np.ndarray]]:
+    """(first index, pack, path at every row); numbers come from each piece's own seed, so tasks may be repeated."""
+    for at, pack in packs(sequences, len(p.initial)):
+        numbers = [np.random.default_rng(piece_seed(ids[at + i], seed)).random(len(sequences[at + i])) for i in pack.order]
+        yield at, pack, drawn_paths(p, pack, pack.lay(numbers, np.float64))
+
+
 def piece_seed(piece_id: str, seed: int) -> int:
     import hashlib
 
@@ -301,44 +359,18 @@ def piece_seed(piece_id: str, seed: int) -> int:
 
 
 def backward_samples(tokens: DataFrame, p: Parameters, seed: int) -> DataFrame:
-    """``(piece_id, states)``: one posterior path a piece; the seed is the piece's own, so tasks may be repeated."""
+    """``(piece_id, states)``: one posterior path a piece."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            paths = [sample_states(np.asarray(t, dtype=np.int64), p, np.random.default_rng(piece_seed(i, seed))).tolist() for i, t in zip(part["piece_id"], part["tokens"])]
+            ids, paths = part["piece_id"].tolist(), []
+            for _, pack, path in drawn_in_packs(ids, arrays(part["tokens"]), p, seed):
+                paths += [x.tolist() for x in pack.split(path)]
             yield pd.DataFrame({"piece_id": part["piece_id"], "states": paths})
 
     return tokens.select("piece_id", "tokens").mapInPandas(run, "piece_id string, states array<int>")
 
 
-def sample_states_together(pairs: list[tuple[np.ndarray, np.ndarray]], p: Parameters, cells: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``sample_states`` of many sequences, each with its own uniform numbers, step by step at once: ``(tokens, states)``."""
-    order = sorted(pairs, key=lambda x: -len(x[0]))
-    k = len(p.initial)
-    while order:
-        m = max(1, cells // (k * len(order[0][0])))
-        batch, order = order[:m], order[m:]
-        lengths = np.array([len(y) for y, _ in batch])
-        width = lengths[0]
-        y, u = np.zeros((len(batch), width), dtype=np.int64), np.zeros((len(batch), width))
-        for i, (a, b) in enumerate(batch):
-            y[i, : len(a)], u[i, : len(a)] = a, b
-        alpha, path = np.zeros((width, len(batch), k)), np.zeros((width, len(batch)), dtype=np.int32)
-        live = [int((lengths > t).sum()) for t in range(width)]  # the longest stand first
-        for t in range(width):
-            n = live[t]
-            a = (p.initial if t == 0 else alpha[t - 1, :n] @ p.transition) * p.emission.T[y[:n, t]]
-            alpha[t, :n] = a / np.maximum(a.sum(1, keepdims=True), TINY)
-        for t in range(width - 1, -1, -1):
-            w = alpha[t, : live[t]].copy()
-            if t + 1 < width:
-                w[: live[t + 1]] *= p.transition.T[path[t + 1, : live[t + 1]]]
-            c = np.cumsum(w, axis=1)
-            path[t, : live[t]] = np.minimum((c <= u[: live[t], t, None] * c[:, -1:]).sum(1), k - 1)
-        for i, (a, _) in enumerate(batch):
-            yield a, path[: len(a), i]
-
-
 def table_count(n: int, a: float, rng: np.random.Generator, chunk: int = 1 << 20) -> int:
     """Tables of n customers with concentration a, each customer drawn, so the law is exact at every n."""
     return sum(int((rng.random(min(chunk, n - i)) < a / (a + np.arange(i, min(i + chunk, n)))).sum()) for i in range(0, n, chunk))
@@ -381,12 +413,15 @@ def gibbs(
         def count(parts: Iterator[pd.DataFrame], it: int = it, p: Parameters = here) -> Iterator[pd.DataFrame]:
             for part in parts:
                 first, moves, emitted, ll = np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols)), 0.0
-                pairs = [(np.asarray(t, dtype=np.int64), np.random.default_rng(piece_seed(i, seed * 10_007 + it)).random(len(t))) for i, t in zip(part["piece_id"], part["tokens"]) if len(t)]
-                for y, z in sample_states_together(pairs, p):
-                    first[z[0]] += 1
-                    np.add.at(moves, (z[:-1], z[1:]), 1)
-                    np.add.at(emitted, (z, y), 1)
-                    ll += np.log(np.maximum(p.emission[z, y], TINY)).sum() + np.log(np.maximum(p.transition[z[:-1], z[1:]], TINY)).sum()
+                for _, pack, z in drawn_in_packs(part["piece_id"].tolist(), arrays(part["tokens"]), p, seed * 10_007 + it):
+                    emitted += np.bincount(z * symbols + pack.y, minlength=states * symbols).reshape(states, symbols)
+                    ll += np.log(np.maximum(p.emission[z, pack.y], TINY)).sum()
+                    if len(pack.live):
+                        first += np.bincount(z[pack.rows(0)], minlength=states)
+                    for t in range(1, len(pack.live)):
+                        before, now = z[pack.rows(t - 1, pack.live[t])], z[pack.rows(t)]
+                        moves += np.bincount(before * states + now, minlength=states * states).reshape(states, states)
+                        ll += np.log(np.maximum(p.transition[before, now], TINY)).sum()
                 rows = [("first", i, 0, x) for i, x in enumerate(first)] + [("ll", 0, 0, ll)]
                 rows += [("move", i, j, moves[i, j]) for i, j in np.ndindex(moves.shape)] + [("emit", i, j, emitted[i, j]) for i, j in np.ndindex(emitted.shape)]
                 yield pd.DataFrame(rows, columns=["part", "i", "j", "n"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,10 +62,26 @@ def signed_ranks(differences: DataFrame) -> DataFrame:
     return differences.where(F.round("difference", 12) != 0).withColumn("rank", F.rank().over(by) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 
-def wilcoxon_p(w: float, n: int, ties: float) -> float | None:
-    """Two-sided p of the signed-rank statistic: normal approximation with tie correction."""
+def rank_sum_counts(n: int) -> np.ndarray:
+    """How many subsets of the ranks 1..n have each sum."""
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1.0
+    for rank in range(1, n + 1):
+        ways[rank:] = ways[rank:] + ways[: len(ways) - rank]
+    return ways
+
+
+def wilcoxon_p(w: float, n: int, ties: float, exact_to: int = 50) -> float | None:
+    """Two-sided p of the smaller signed-rank sum.
+
+    Up to ``exact_to`` differences without ties the law itself (each sign falls either way);
+    else the normal approximation with tie correction.
+    """
     if n < 2:
         return None
+    if n <= exact_to and ties == 0:
+        ways = rank_sum_counts(n)
+        return float(min(1.0, 2.0 * ways[: int(w) + 1].sum() / 2.0**n))
     variance = n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0
     if variance <= 0:
         return None
@@ -75,25 +92,32 @@ def wilcoxon(differences: DataFrame) -> DataFrame:
     """``(model_a, model_b, n_nonzero, w_plus, w_minus, statistic, p_value)`` by the signed-rank test.
 
     Zero differences are left out; fewer than two others give no p. Ranks come from counts of
-    equal absolute differences, so a pair of models with very many units is not ranked in one task.
+    equal absolute differences, so a pair of models with very many units is not ranked in one
+    task. The p is exact for up to 50 differences without ties or zeros.
     """
-    rows = differences.withColumn("r", F.round("difference", 12)).where("r <> 0")
+    rows = differences.where("difference is not null").withColumn("r", F.round("difference", 12))
+    other = F.col("r") != 0
     counts = rows.groupBy("model_a", "model_b", F.abs("r").alias("size")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("r") > 0).alias("n_plus")
+        F.count_if(other).alias("n"), F.count_if(F.col("r") > 0).alias("n_plus"), F.count_if(~other).alias("zeros")
     )
     before = Window.partitionBy("model_a", "model_b").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     ranked = counts.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2.0)
     total = ranked.groupBy("model_a", "model_b").agg(
         F.sum("n").alias("n_nonzero"), F.sum(F.col("rank") * F.col("n_plus")).alias("w_plus"),
         F.sum(F.col("rank") * (F.col("n") - F.col("n_plus"))).alias("w_minus"),
-        F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"),
+        F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"), F.sum("zeros").alias("zeros"),
     )
 
     @F.pandas_udf("double")
-    def p(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
-        return pd.Series([wilcoxon_p(a, int(b), c) for a, b, c in zip(w, n, ties)], dtype="float64")
-
-    return total.withColumn("statistic", F.least("w_plus", "w_minus")).withColumn("p_value", p("statistic", "n_nonzero", "ties")).drop("ties")
+    def p(w: pd.Series, n: pd.Series, ties: pd.Series, zeros: pd.Series) -> pd.Series:
+        return pd.Series([wilcoxon_p(a, int(b), c, 0 if z else 50) for a, b, c, z in zip(w, n, ties, zeros)], dtype="float64")
+
+    return (
+        total.where("n_nonzero > 0")
+        .withColumn("statistic", F.least("w_plus", "w_minus"))
+        .withColumn("p_value", p("statistic", "n_nonzero", "ties", "zeros"))
+        .drop("ties", "zeros")
+    )
 
 
 def holm(df: DataFrame, p: str, *order: str) -> DataFrame:
@@ -180,7 +204,11 @@ def match_boundaries(reference: list[int], predicted: list[int], tolerance: int)
 
 
 def boundary_scores(df: DataFrame, key: str, reference: str, predicted: str, tolerance: int = 0) -> DataFrame:
-    """``(key, n_match, precision, recall, f1)``; both empty is 1, one empty 0."""
+    """``(key, n_match, precision, recall, f1)``.
+
+    Precision is 1 where nothing was predicted and recall 1 where the reference has no boundary,
+    each on its own; F1 is their harmonic mean, 0 if both are 0.
+    """
     if tolerance == 0:
         n = F.size(F.array_intersect(reference, predicted))
     else:
@@ -190,12 +218,11 @@ def boundary_scores(df: DataFrame, key: str, reference: str, predicted: str, tol
             return pd.Series([match_boundaries(list(x), list(y), tolerance) for x, y in zip(a, b)], dtype="int32")
 
         n = matches(reference, predicted)
-    a, b = F.size(reference), F.size(predicted)
-    both = (a == 0) & (b == 0)
-    ratio = lambda x, y: F.when(both, 1.0).otherwise(F.coalesce(F.try_divide(x, y), F.lit(0.0)))
-    m = F.col("n_match")
-    return df.withColumn("n_match", n).select(
-        key, "n_match", F.round(ratio(m, b), 6).alias("precision"), F.round(ratio(m, a), 6).alias("recall"), F.round(ratio(2 * m, a + b), 6).alias("f1")
+    ratio = lambda of: F.coalesce(F.try_divide("n_match", F.size(of)), F.lit(1.0))
+    precision, recall = F.col("precision"), F.col("recall")
+    return df.withColumn("n_match", n).withColumns({"precision": ratio(predicted), "recall": ratio(reference)}).select(
+        key, "n_match", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"),
+        F.round(F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)), 6).alias("f1"),
     )
 
 
@@ -259,13 +286,22 @@ def drift(df: DataFrame, key: str, order: str, value: str, tolerance: float = 0.
     )
 
 
-def chain_verdict(chains: DataFrame, least: int = 50, tolerance: float = 0.02) -> DataFrame:
-    """One row: the verdict on chains given as ``(n, late, stable)``, never a claim of convergence."""
+def chain_verdict(chains: DataFrame, least: int = 50, tolerance: float = 0.02, states: float = 1.0) -> DataFrame:
+    """One row: the verdict on chains given as ``(n, late, stable)``, never a claim of convergence.
+
+    Chains may also give ``late_active``, the mean number of active states of their later half;
+    chains disagree if these lie more than ``states`` apart, or their late values more than
+    ``tolerance`` of the largest.
+    """
     spread, scale = F.max("late") - F.min("late"), F.max(F.abs("late"))
     n = F.count(F.lit(1))
-    agree = spread <= tolerance * F.when(scale == 0, 1.0).otherwise(scale)
+    agree = F.coalesce(spread <= tolerance * F.when(scale == 0, 1.0).otherwise(scale), F.lit(True))
+    known = "late_active" in chains.columns
+    active = (F.max("late_active") - F.min("late_active")) if known else F.lit(None).cast("double")
+    same = F.coalesce(active <= states, F.lit(True))
     verdict = (
         F.when(n == 0, "no_evidence").when(F.coalesce(F.min("n"), F.lit(0)) < least, "chains_too_short").when(~F.coalesce(F.bool_and("stable"), F.lit(True)), "drift_detected")
-        .when((n > 1) & ~agree, "chains_disagree").when(n < 2, "single_chain_no_cross_chain_evidence").otherwise("stable_within_the_observed_window")
+        .when((n > 1) & ~(agree & same), "chains_disagree").when(n < 2, "single_chain_no_cross_chain_evidence").otherwise("stable_within_the_observed_window")
     )
-    return chains.agg(n.alias("n_chains"), F.round(spread, 6).alias("spread"), verdict.alias("verdict"))
+    columns = [n.alias("n_chains"), F.round(spread, 6).alias("spread"), verdict.alias("verdict")]
+    return chains.agg(*columns, *([F.round(active, 6).alias("active_spread")] if known else []))

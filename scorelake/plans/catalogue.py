@@ -474,7 +474,7 @@ def dq05(spark, d):
   f AS (SELECT *, CASE WHEN len(h) >= 2 THEN substr(sha256(array_to_string(list_transform(range(2, len(h) + 1), lambda i: CAST(h[i] - h[i - 1] AS VARCHAR)), ',')), 1, 16) END AS fp FROM l)
   SELECT work, count(*) AS n_files, count(DISTINCT fp) > 1 AS fingerprints_disagree, count(DISTINCT composer) > 1 AS multiple_composers FROM f WHERE work IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
 def dq08(spark, d):
-    """Works of several files: do their melodies and composers agree."""
+    """Works of several files: do their tunes and composers agree."""
     work = F.nullif(F.trim(F.lower(F.regexp_replace("canonical_work_id", r"[\s_.\-]+", " "))), F.lit(""))
     rows = pieces(spark, d).select("composer", work.alias("work"), fingerprint(F.col("tokens")).alias("fp")).where("work is not null")
     return rows.groupBy("work").agg(F.count(F.lit(1)).alias("n_files"), (F.countDistinct("fp") > 1).alias("fingerprints_disagree"), (F.countDistinct("composer") > 1).alias("multiple_composers")).where("n_files > 1")

@@ -213,10 +213,17 @@ def agg29(spark, d):
     return T.drift(series(spark, d), "model", "t", "nll")
 
 
-@C.add("agg30_verdict", DRIFT_SQL + """ SELECT count(*) AS n_chains, round(max(late) - min(late), 6) AS spread, CASE WHEN count(*) = 0 THEN 'no_evidence' WHEN min(n) < 50 THEN 'chains_too_short' WHEN NOT bool_and(stable) THEN 'drift_detected'
-  WHEN count(*) > 1 AND NOT (max(late) - min(late) <= 0.02 * max(abs(late))) THEN 'chains_disagree' WHEN count(*) < 2 THEN 'single_chain_no_cross_chain_evidence' ELSE 'stable_within_the_observed_window' END AS verdict FROM chains""")
+@C.add("agg30_verdict", DRIFT_SQL + """, k AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY work) AS t, k, count(*) OVER (PARTITION BY model) AS n FROM (SELECT model, work, count(*) AS k FROM metrics WHERE model IS NOT NULL AND work IS NOT NULL AND nll IS NOT NULL AND frac = 1.0 GROUP BY ALL)),
+  la AS (SELECT model, round(avg(CASE WHEN t > greatest(1, n // 2) THEN k END), 6) AS late_active FROM k GROUP BY 1)
+  SELECT count(*) AS n_chains, round(max(late) - min(late), 6) AS spread, CASE WHEN count(*) = 0 THEN 'no_evidence' WHEN min(n) < 50 THEN 'chains_too_short' WHEN NOT bool_and(stable) THEN 'drift_detected'
+  WHEN count(*) > 1 AND NOT (max(late) - min(late) <= 0.02 * max(abs(late)) AND max(late_active) - min(late_active) <= 1) THEN 'chains_disagree' WHEN count(*) < 2 THEN 'single_chain_no_cross_chain_evidence' ELSE 'stable_within_the_observed_window' END AS verdict,
+  round(max(late_active) - min(late_active), 6) AS active_spread FROM chains JOIN la USING (model)""")
 def agg30(spark, d):
-    return T.chain_verdict(T.drift(series(spark, d), "model", "t", "nll"))
+    """The works' scores as chains; the runs behind each work stand for active states."""
+    k = metrics(spark, d).where("model is not null and work is not null and nll is not null and frac = 1.0").groupBy("model", "work").agg(F.count(F.lit(1)).alias("k"))
+    numbered = k.withColumn("t", F.row_number().over(Window.partitionBy("model").orderBy("work")))
+    active = T.drift(numbered, "model", "t", "k").select("model", F.col("late").alias("late_active"))
+    return T.chain_verdict(T.drift(series(spark, d), "model", "t", "nll").join(active, "model"))
 
 
 @C.add("win14_best_so_far", SERIES_SQL + """, b AS (SELECT *, min(nll) OVER (PARTITION BY model ORDER BY t) AS best, min(nll) OVER (PARTITION BY model ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -109,8 +110,8 @@ HMM_SQL = f"""WITH RECURSIVE {EVENTS_SQL}, y AS (SELECT piece_id, CAST(row_numbe
     UNION ALL SELECT piece_id, t, m0 / s, m1 / s, m2 / s, ll + ln(s) FROM (SELECT *, m0 + m1 + m2 AS s FROM (SELECT f.piece_id, y2.t, (0.8 * a0 + 0.1 * a1 + 0.1 * a2) * b0 AS m0, (0.1 * a0 + 0.8 * a1 + 0.1 * a2) * b1 AS m1, (0.1 * a0 + 0.1 * a1 + 0.8 * a2) * b2 AS m2, ll FROM f JOIN y2 ON y2.piece_id = f.piece_id AND y2.t = f.t + 1)))
   SELECT piece_id, CAST(max(t) + 1 AS INTEGER) AS n, round(arg_max(ll, t), 6) AS ll FROM f GROUP BY 1""")
 def hmm02(spark, d):
-    """Scaled forward likelihood for three states, inside the JVM."""
-    return pitch_sequences(spark, d).select("piece_id", F.size("tokens").alias("n"), F.round(HM.forward_column(F.col("tokens"), HM.example_parameters()), 6).alias("ll"))
+    """Scaled forward likelihood for three states."""
+    return HM.log_likelihoods(pitch_sequences(spark, d), HM.example_parameters()).select("piece_id", "n", F.round("ll", 6).alias("ll"))
 
 
 @C.add("hmm02_forward_any")
@@ -180,16 +181,18 @@ def hmm09(spark, d):
     return scores.select("piece_id", F.lit(best).alias("states"), "n", F.round("ll", 6).alias("ll"), F.round(nll, 6).alias("nll"), F.round(F.exp(nll), 6).alias("perplexity"))
 
 
-@C.add("hmm08_conditional", HMM_SQL + """
+@C.add("hmm08_conditional", HMM_SQL.replace("% 12) / 78.0", "% 13) / 91.0") + """
   s AS (SELECT piece_id || '#' || CAST(t // 64 AS VARCHAR) AS s, piece_id, t // 64 AS slice, t % 64 AS u, b0, b1, b2 FROM y2),
-  f AS (SELECT s, piece_id, slice, 0 AS u, b0 / (b0 + b1 + b2) AS a0, b1 / (b0 + b1 + b2) AS a1, b2 / (b0 + b1 + b2) AS a2, ln((b0 + b1 + b2) / 3) AS ll FROM s WHERE u = 0
+  f AS (SELECT s, piece_id, slice, -1 AS u, 13 / 25.0::DOUBLE AS a0, 4 / 25.0::DOUBLE AS a1, 8 / 25.0::DOUBLE AS a2, 0.0::DOUBLE AS ll FROM s WHERE u = 0
     UNION ALL SELECT s, piece_id, slice, u, m0 / z, m1 / z, m2 / z, ll + ln(z) FROM (SELECT *, m0 + m1 + m2 AS z FROM (SELECT f.s, f.piece_id, f.slice, s.u, (0.8 * a0 + 0.1 * a1 + 0.1 * a2) * b0 AS m0, (0.1 * a0 + 0.8 * a1 + 0.1 * a2) * b1 AS m1, (0.1 * a0 + 0.1 * a1 + 0.8 * a2) * b2 AS m2, ll FROM f JOIN s ON s.s = f.s AND s.u = f.u + 1)))
   SELECT piece_id, CAST(slice AS INTEGER) AS slice, CAST(max(u) + 1 AS INTEGER) AS n, round(arg_max(ll, u), 6) AS ll FROM f GROUP BY 1, 2""")
 def hmm08(spark, d):
-    """Likelihood of each slice of 64, the state starting anew."""
-    rows = pitch_sequences(spark, d)
-    cut = rows.where(F.size("tokens") > 0).withColumn("slice", F.explode(F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / 64).cast("int")))).withColumn("part", F.slice("tokens", F.col("slice") * 64 + 1, F.lit(64)))
-    return cut.select("piece_id", "slice", F.size("part").alias("n"), F.round(HM.forward_column(F.col("part"), HM.example_parameters()), 6).alias("ll"))
+    """Likelihood of each slice of 64 given the start symbol before it: that of both less that of the symbol alone."""
+    p = HM.example_parameters(3, HMM_BOS + 1)
+    known = float(np.log((p.initial * p.emission[:, HMM_BOS]).sum()))
+    rows = pitch_sequences(spark, d).where(F.size("tokens") > 0).withColumn("slice", F.explode(F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / 64).cast("int"))))
+    cut = rows.select("piece_id", "slice", F.concat(F.array(F.lit(HMM_BOS)), F.slice("tokens", F.col("slice") * 64 + 1, F.lit(64))).alias("tokens"))
+    return HM.log_likelihoods(cut, p, "slice").select("piece_id", "slice", (F.col("n") - 1).alias("n"), F.round(F.col("ll") - known, 6).alias("ll"))
 
 
 #: As in the reference: (alpha, alpha of first states, gamma) tried, truncation, sweeps, burn-in.
@@ -303,9 +306,12 @@ def hmm01(spark, d):
     return H.transition_scores(spark).select("i", "j", F.round("p", 9).alias("p"))
 
 
-@C.add("jon09_boundary_f1", f"WITH {EVENTS_SQL}, " + """ m AS (SELECT piece_id, t, measure <> lag(measure) OVER w AS mb, pc IS DISTINCT FROM lag(pc) OVER w AND lag(t) OVER w IS NOT NULL AS pb FROM ev WHERE measure IS NOT NULL WINDOW w AS (PARTITION BY piece_id ORDER BY t)),
-  c AS (SELECT piece_id, sum(CASE WHEN mb THEN 1 ELSE 0 END) AS r, sum(CASE WHEN pb THEN 1 ELSE 0 END) AS p, sum(CASE WHEN mb AND pb THEN 1 ELSE 0 END) AS n FROM m GROUP BY 1)
-  SELECT piece_id, CAST(n AS INTEGER) AS n_match, round(CASE WHEN r = 0 AND p = 0 THEN 1.0 WHEN p = 0 THEN 0.0 ELSE n / p END, 6) AS precision, round(CASE WHEN r = 0 AND p = 0 THEN 1.0 WHEN r = 0 THEN 0.0 ELSE n / r END, 6) AS recall, round(CASE WHEN r + p = 0 THEN 1.0 ELSE 2 * n / (r + p) END, 6) AS f1 FROM c""")
+BOUNDARY_SQL = f"WITH {EVENTS_SQL}, " + """ m AS (SELECT piece_id, t, measure <> lag(measure) OVER w AS mb, pc IS DISTINCT FROM lag(pc) OVER w AND lag(t) OVER w IS NOT NULL AS pb FROM ev WHERE measure IS NOT NULL WINDOW w AS (PARTITION BY piece_id ORDER BY t)),
+  c AS (SELECT piece_id, sum(CASE WHEN mb THEN 1 ELSE 0 END) AS r, sum(CASE WHEN pb THEN 1 ELSE 0 END) AS p, sum(CASE WHEN mb AND pb THEN 1 ELSE 0 END) AS n FROM m GROUP BY 1),
+  s AS (SELECT piece_id, CAST(n AS INTEGER) AS n_match, CASE WHEN p = 0 THEN 1.0 ELSE n / p END AS precision, CASE WHEN r = 0 THEN 1.0 ELSE n / r END AS recall FROM c)"""
+
+
+@C.add("jon09_boundary_f1", BOUNDARY_SQL + " SELECT piece_id, n_match, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END, 6) AS f1 FROM s")
 def jon09(spark, d):
     """Changes of pitch class held against changes of measure, at tolerance 0."""
     return boundary_scores(boundaries(spark, d), "piece_id", "reference", "predicted")

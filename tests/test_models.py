@@ -1,6 +1,8 @@
 """Sequence models against literal values and naive versions."""
 
+import itertools
 import math
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -48,24 +50,64 @@ def naive_forward(p, y):
     return np.logaddexp.reduce(a)
 
 
-def test_forward_in_both_forms(spark):
+def test_forward_equals_the_log_domain(spark):
     rng, p = np.random.default_rng(0), HM.example_parameters()
-    data = [(f"p{n}", rng.integers(0, 12, n).tolist()) for n in (1, 2, 17, 263)]
-    df = spark.createDataFrame(data, "piece_id string, tokens array<int>")
-    inside = {r["piece_id"]: r["ll"] for r in df.select("piece_id", HM.forward_column(F.col("tokens"), p).alias("ll")).collect()}
-    outside = {r["piece_id"]: r["ll"] for r in HM.log_likelihoods(df, p).collect()}
-    for k, y in data:
-        assert math.isclose(inside[k], naive_forward(p, y), rel_tol=1e-9) and math.isclose(outside[k], inside[k], rel_tol=1e-9)
+    data = [(f"p{n}", rng.integers(0, 12, n).tolist(), n) for n in (1, 2, 17, 263)] + [("none", [], 0)]
+    df = spark.createDataFrame(data, "piece_id string, tokens array<int>, slice int")
+    rows = {r["piece_id"]: r for r in HM.log_likelihoods(df, p, "slice").collect()}
+    for k, y, n in data:
+        assert rows[k]["n"] == rows[k]["slice"] == n
+        assert math.isclose(rows[k]["ll"], naive_forward(p, y), rel_tol=1e-9) if y else rows[k]["ll"] == 0
 
 
-def test_expected_counts_of_ragged_sequences():
+def all_paths(p, y):
+    """Every state path of a short sequence with its joint probability, by enumeration in the log domain."""
+    out = {}
+    for path in itertools.product(range(len(p.initial)), repeat=len(y)):
+        logp = math.log(p.initial[path[0]]) + sum(math.log(p.emission[z, v]) for z, v in zip(path, y))
+        out[path] = math.exp(logp + sum(math.log(p.transition[a, b]) for a, b in zip(path, path[1:])))
+    return out
+
+
+def test_expectations_equal_enumeration():
     rng, p = np.random.default_rng(1), HM.Parameters.start(3, 5, 4)
-    sequences = [rng.integers(0, 5, n) for n in (1, 2, 9, 40)]
-    first, moves, emitted, ll = HM.forward_backward(p, sequences)
-    alone = [HM.forward_backward(p, [s]) for s in sequences]
-    assert np.allclose(first, sum(a[0] for a in alone)) and np.allclose(moves, sum(a[1] for a in alone)) and np.allclose(emitted, sum(a[2] for a in alone))
-    assert math.isclose(ll, sum(naive_forward(p, s) for s in sequences), rel_tol=1e-9)
-    assert math.isclose(first.sum(), 4) and math.isclose(moves.sum(), 48) and math.isclose(emitted.sum(), 52)
+    sequences = [rng.integers(0, 5, n) for n in (1, 6, 2, 6, 4)]
+    first, moves, emitted, total = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5)), 0.0
+    for y in sequences:
+        paths = all_paths(p, y)
+        evidence = sum(paths.values())
+        total += math.log(evidence)
+        for path, joint in paths.items():
+            first[path[0]] += joint / evidence
+            for a, b in zip(path, path[1:]):
+                moves[a, b] += joint / evidence
+            for z, v in zip(path, y):
+                emitted[z, v] += joint / evidence
+    got = HM.expectations(p, HM.Packed(sequences))
+    for want, have in zip((first, moves, emitted, total), got):
+        assert np.allclose(want, have, rtol=1e-9)
+    none = HM.expectations(p, HM.Packed([]))
+    assert none[1].sum() == 0 and none[3] == 0
+
+
+def test_best_paths_equal_enumeration():
+    rng, p = np.random.default_rng(8), HM.Parameters.start(3, 4, 9)
+    sequences = [rng.integers(0, 4, n) for n in (3, 6, 1, 5, 6)]
+    pack = HM.Packed(sequences)
+    for y, path in zip(sequences, pack.split(HM.best_paths(p, pack))):
+        paths = all_paths(p, y)
+        assert math.isclose(paths[tuple(path)], max(paths.values()), rel_tol=1e-12)
+    even = HM.Parameters(np.full(2, 0.5), np.full((2, 2), 0.5), np.full((2, 3), 1 / 3))
+    assert all(not x.any() for x in HM.Packed([np.array([0, 1, 2])]).split(HM.best_paths(even, HM.Packed([np.array([0, 1, 2])]))))
+
+
+def test_drawn_paths_follow_the_posterior():
+    p, y = HM.Parameters.start(2, 3, 3), np.array([0, 2, 1])
+    paths = all_paths(p, y)
+    evidence, n = sum(paths.values()), 20_000
+    pack = HM.Packed([y] * n)
+    drawn = Counter(tuple(x) for x in pack.split(HM.drawn_paths(p, pack, np.random.default_rng(0).random(3 * n))))
+    assert all(abs(drawn[k] / n - v / evidence) < 0.015 for k, v in paths.items())
 
 
 def test_fit_raises_the_likelihood(spark):
@@ -119,13 +161,14 @@ def test_gibbs(spark):
     assert HM.gibbs(df, 5, 3, iterations=2, seed=1)[1] == HM.gibbs(df, 5, 3, iterations=2, seed=1)[1]
 
 
-def test_states_sampled_together():
+def test_packs_do_not_change_draws():
     rng, p = np.random.default_rng(5), HM.Parameters.start(6, 5, 2)
-    ys = [rng.integers(0, 5, n) for n in (1, 7, 40, 7, 2)]
-    alone = sorted((y.tolist(), HM.sample_states(y, p, np.random.default_rng(i)).tolist()) for i, y in enumerate(ys))
-    pairs = [(y, np.random.default_rng(i).random(len(y))) for i, y in enumerate(ys)]
-    for cells in (1, 400, 10_000):
-        assert sorted((y.tolist(), z.tolist()) for y, z in HM.sample_states_together(pairs, p, cells)) == alone
+    ys = [rng.integers(0, 5, n) for n in (1, 7, 40, 0, 7, 2)]
+    ids = [f"p{i}" for i in range(len(ys))]
+    alone = [[x.tolist() for _, pack, z in HM.drawn_in_packs([i], [y], p, 3) for x in pack.split(z)] for i, y in zip(ids, ys)]
+    together = [x.tolist() for _, pack, z in HM.drawn_in_packs(ids, ys, p, 3) for x in pack.split(z)]
+    assert [x[0] for x in alone] == together and [len(x) for x in together] == [len(y) for y in ys]
+    assert [at for at, _ in HM.packs(ys, 6, cells=60)] == [0, 2, 3]
 
 
 def test_table_counts_have_one_law():

@@ -37,6 +37,10 @@ def test_wilcoxon(spark):
     assert (one["n_nonzero"], one["w_plus"], one["w_minus"], one["statistic"]) == (6, 14.0, 7.0, 7.0)
     assert 0.4 < one["p_value"] < 0.6
     assert T.wilcoxon_p(1.0, 1, 0.0) is None
+    # all 2^5 signs enumerated: sums of 1 or less are 2 of 32 on either side
+    assert T.wilcoxon_p(1.0, 5, 0.0) == 4 / 32 and T.wilcoxon_p(0.0, 6, 0.0) == 2 / 64
+    exact = spark.createDataFrame([("a", "b", f"w{i}", v) for i, v in enumerate([1.0, -2.0, 3.0, 4.0, 5.0])], rows.schema)
+    assert T.wilcoxon(exact).first()["p_value"] == 6 / 32
 
 
 def test_bootstrap_takes_ten_thousand_resamples(spark):
@@ -64,6 +68,9 @@ def test_boundaries(spark):
     f0 = {r["k"]: r["f1"] for r in T.boundary_scores(rows, "k", "a", "b").collect()}
     f1 = {r["k"]: r["f1"] for r in T.boundary_scores(rows, "k", "a", "b", 1).collect()}
     assert f0 == {"one": 0.666667, "two": 0.666667, "none": 1.0, "half": 0.0} and f1["one"] == 1.0 and f1["two"] == 0.666667
+    sided = spark.createDataFrame([("no prediction", [1], []), ("no reference", [], [1])], "k string, a array<int>, b array<int>")
+    rows = {r["k"]: (r["precision"], r["recall"], r["f1"]) for r in T.boundary_scores(sided, "k", "a", "b").collect()}
+    assert rows == {"no prediction": (1.0, 0.0, 0.0), "no reference": (0.0, 1.0, 0.0)}
 
 
 def test_fronts(spark):
@@ -85,6 +92,9 @@ def test_chains(spark):
     assert T.chain_verdict(T.drift(apart, "c", "t", "v")).first()["verdict"] == "chains_disagree"
     assert T.chain_verdict(T.drift(apart.limit(0), "c", "t", "v")).first()["verdict"] == "no_evidence"
     assert T.lag_one(apart, "c", "t", "v").first()["lag_one"] is None
+    near = spark.createDataFrame([(60, -100.0, True, 4.0), (60, -101.0, True, 5.5)], "n int, late double, stable boolean, late_active double")
+    assert T.chain_verdict(near.drop("late_active")).first()["verdict"] == "stable_within_the_observed_window"
+    assert T.chain_verdict(near).first()["verdict"] == "chains_disagree"
 
 
 def test_samples_and_splits(spark):
