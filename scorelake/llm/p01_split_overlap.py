@@ -1,9 +1,9 @@
 """Problem 1: the same or nearly the same records in more than one split.
 
-Exact prefix-filter bipartite join. Shingles are ordered from rare to frequent. An evaluation
-piece with n shingles of which c must occur in a training piece cannot reach c without one of
-its first n - c + 1 shingles, so only those are indexed; every training piece probes with all
-its shingles, and a length filter and a position filter drop pairs that can't reach c. What
+Exact prefix-filter bipartite join. Shingles are ordered from rare to frequent. If an evaluation
+piece with n shingles has c of them in a training piece, then at least k of its first
+n - c + k are there; only these prefixes are indexed. Training pieces probe with all their
+shingles, and pairs that are too short, or that meet fewer than k times, are dropped. What
 remains is verified on the whole shingle sets.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import copies, pieces, present_split, shingle_set
+from scorelake.llm.common import copies, merged, pieces, present_split, with_shingles
 from scorelake.session import cut_lineage
 
 EVALUATION = ("validation", "test")
@@ -23,82 +23,70 @@ def needed(n: Column, share: float) -> Column:
     return F.ceil(n * F.lit(share) - F.lit(1e-9)).cast("int")
 
 
-def split_overlap(prepared: DataFrame, records: DataFrame, share: float = 0.8, width: int = 5) -> DataFrame:
+def split_overlap(prepared: DataFrame, records: DataFrame, share: float = 0.8, width: int = 5, meets: int = 4) -> DataFrame:
     """Pairs ``(train_id, eval_id, eval_split, common, n_eval)`` of pieces across splits.
 
     A pair is reported if at least ``share`` of the evaluation piece's distinct shingles occur
     in the training piece. Pieces with equal tokens are joined once, as a class. A piece
-    without present split, or with fewer than ``width`` tokens, is in no pair. Columns beyond
-    those named are ignored; empty tables give an empty result; no pair is dropped or capped.
+    without present split, or with fewer than ``width`` tokens, is in no pair. ``meets`` is how
+    often a pair must meet in the prefix (fewer where fewer shingles are needed at all); it moves
+    work from verification to the index and changes no result. Columns beyond those named are
+    ignored; empty tables give an empty result; no pair is dropped or capped.
     """
-    items = pieces(prepared.select("piece_id", "tokens", "prepared_at"))
+    items = pieces(prepared.select("piece_id", "tokens", "prepared_at")).where(F.size("tokens") >= width)
     split = present_split(records.select("piece_id", "split", "registered_at")).where(
         F.col("split").isin("train", *EVALUATION)
     )
-    classes, members = copies(items)
-    members = cut_lineage(members.join(split, "piece_id").select("class_id", "piece_id", "split"))
+    classes, members = copies(items.join(merged(split), "piece_id"))
+    members = cut_lineage(members)
     roles = members.groupBy("class_id").agg(
         F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval")
     )
-    shingled = cut_lineage(
-        classes.join(roles, "class_id").select(
-            "class_id", "in_train", "in_eval", shingle_set(F.col("tokens"), width).alias("shingles")
-        )
+    sets = cut_lineage(
+        with_shingles(classes.select("class_id", "tokens").join(merged(roles), "class_id"), width).withColumn("n", F.size("shingles"))
     )
-    flat = shingled.select("class_id", F.explode("shingles").alias("shingle"))
-    frequency = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    frequency = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    evals = sets.where("in_eval").withColumn("c", needed(F.col("n"), share)).withColumn("k", F.least(F.lit(meets), F.col("c")))
+    # rare first: a hot shingle is indexed only by pieces that have nothing rarer
     ranked = (
-        flat.join(frequency, "shingle")
-        .groupBy("class_id")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ranked"))
-        .join(shingled.select("class_id", "in_train", "in_eval"), "class_id")
-        .select("class_id", "in_train", "in_eval", F.col("ranked.shingle").alias("ranked"), F.size("ranked").alias("n"))
+        evals.select(F.col("class_id").alias("e"), F.explode("shingles").alias("shingle"))
+        .join(merged(frequency), "shingle")
+        .groupBy("e")
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "shingle"))), lambda x: x["shingle"]).alias("ranked"))
     )
-    ranked = cut_lineage(ranked)
-    index = (
-        ranked.where("in_eval")
-        .withColumn("c", needed(F.col("n"), share))
-        .select(
-            F.col("class_id").alias("e"),
-            F.col("n").alias("e_n"),
-            "c",
-            F.posexplode(F.slice("ranked", F.lit(1), F.col("n") - F.col("c") + 1)).alias("e_pos", "shingle"),
+    index = cut_lineage(
+        ranked.join(merged(evals.select(F.col("class_id").alias("e"), "n", "c", "k")), "e").select(
+            "e", "c", "k", F.explode(F.slice("ranked", F.lit(1), F.col("n") - F.col("c") + F.col("k"))).alias("shingle")
         )
     )
-    probe = ranked.where("in_train").select(
-        F.col("class_id").alias("t"), F.col("n").alias("t_n"), F.posexplode("ranked").alias("t_pos", "shingle")
-    )
-    # the first common shingle of a pair in this order leaves at most so many common ones
-    reach = F.least(F.col("e_n") - F.col("e_pos"), F.col("t_n") - F.col("t_pos"))
+    probe = sets.where("in_train").select(F.col("class_id").alias("t"), F.col("n").alias("t_n"), F.explode("shingles").alias("shingle"))
     candidates = (
-        index.join(probe, "shingle")
-        .where((F.col("t_n") >= F.col("c")) & (reach >= F.col("c")) & (F.col("e") != F.col("t")))
+        probe.join(merged(index), "shingle")
+        .where((F.col("t_n") >= F.col("c")) & (F.col("e") != F.col("t")))
+        .groupBy("e", "t")
+        .agg(F.count(F.lit(1)).alias("met"), F.min("k").alias("k"))
+        .where("met >= k")
         .select("e", "t")
-        .distinct()
     )
-    sets = ranked.select("class_id", "ranked")
     verified = (
-        candidates.join(sets.select(F.col("class_id").alias("e"), F.col("ranked").alias("e_set")), "e")
-        .join(sets.select(F.col("class_id").alias("t"), F.col("ranked").alias("t_set")), "t")
-        .select(
-            "e", "t", F.size("e_set").alias("n_eval"), F.size(F.array_intersect("e_set", "t_set")).alias("common")
-        )
+        candidates.join(merged(sets.select(F.col("class_id").alias("e"), F.col("shingles").alias("e_set"))), "e")
+        .join(merged(sets.select(F.col("class_id").alias("t"), F.col("shingles").alias("t_set"))), "t")
+        .select("e", "t", F.size("e_set").alias("n_eval"), F.size(F.array_intersect("e_set", "t_set")).alias("common"))
         .where(F.col("common") >= needed(F.col("n_eval"), share))
     )
-    both = ranked.where("in_eval and in_train").select(
+    both = sets.where("in_eval and in_train").select(
         F.col("class_id").alias("e"), F.col("class_id").alias("t"), F.col("n").alias("n_eval"), F.col("n").alias("common")
     )
-    evals = members.where(F.col("split") != "train").select(
+    of_evals = members.where(F.col("split") != "train").select(
         F.col("class_id").alias("e"), F.col("piece_id").alias("eval_id"), F.col("split").alias("eval_split")
     )
-    trains = members.where(F.col("split") == "train").select(
+    of_trains = members.where(F.col("split") == "train").select(
         F.col("class_id").alias("t"), F.col("piece_id").alias("train_id")
     )
     return (
-        verified.select("e", "t", "n_eval", "common")
-        .unionByName(both)
-        .join(evals, "e")
-        .join(trains, "t")
+        cut_lineage(verified.unionByName(both))
+        .join(merged(of_evals), "e")
+        .join(merged(of_trains), "t")
         .select("train_id", "eval_id", "eval_split", "common", "n_eval")
     )
 
@@ -108,7 +96,7 @@ def found(prepared: DataFrame, records: DataFrame, share: float = 0.8) -> DataFr
     pairs = split_overlap(prepared, records, share)
     return pairs.select(
         F.least("train_id", "eval_id").alias("piece_id_a"), F.greatest("train_id", "eval_id").alias("piece_id_b")
-    ).distinct()
+    )
 
 
 def report(prepared: DataFrame, records: DataFrame, share: float = 0.8) -> DataFrame:
