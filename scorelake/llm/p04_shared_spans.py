@@ -1,29 +1,36 @@
 """Problem 4: long exact spans shared between records.
 
-Recompression. Rounds name runs of one symbol and then pairs of symbols; a name is a hash of
-what it stands for, so it means the same in every record and every task without a dictionary.
-A pair is only formed from a left symbol and a right symbol (a hash bit decides), so pairs
-can't overlap and equal substrings get equal symbols except near their ends. The lengths of
-symbols are bounded per round so that every window of ``length`` tokens keeps at least one
-whole symbol whose name depends on the window alone. A window can only stand in another
-record if all its inner symbols do (three in a row where it has as many), which one
-aggregation over the few high-level symbols reveals; only windows that pass are verified by
-the tokens themselves.
+Recompression. Rounds replace runs of one symbol, then pairs of symbols, by names. A round first
+marks in every record the runs or pairs to be named, groups them over the whole corpus, gives
+each distinct one a number of its own, and joins the numbers back. A name therefore stands for
+one string of tokens everywhere, and equal names mean equal tokens. A pair is only formed from a
+left symbol and a right symbol (a bit of the name decides), so pairs can't overlap and equal
+substrings get equal symbols except near their ends. The lengths of symbols are bounded per
+round, so every window of ``length`` tokens keeps at least one whole symbol that depends on the
+window alone: its inner zone, which is followed window by window through the rounds.
+
+A window can only stand in another record if its inner symbols do (three in a row where it has as
+many), which one aggregation over the high-level symbols reveals. Windows that pass are verified
+by grouping them on their tokens.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scorelake.llm.common import pieces, whole
+from scorelake.llm.common import as_list, copies, flat, in_parts, merged, pieces
 from scorelake.session import cut_lineage
 
 U = np.uint64
+#: A dictionary of names is broadcast up to this many rows (24 bytes each); beyond, it is joined by merge.
+BROADCAST_NAMES = 20_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,9 +40,10 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-def combine(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+def is_right(name: np.ndarray, round_no: int) -> np.ndarray:
+    """Whether a symbol may only be the second of a pair in this round."""
     with np.errstate(over="ignore"):
-        return mix(mix(a + U(salt)) * U(0x9E3779B97F4A7C15) + b)
+        return (mix(name.astype(np.int64).view(U) * U(0x9E3779B97F4A7C15) + U(round_no + 1)) & U(1)).astype(bool)
 
 
 def rounds_for(length: int) -> list[tuple[str, int]]:
@@ -55,239 +63,295 @@ def rounds_for(length: int) -> list[tuple[str, int]]:
         longest = plan[-1][1]
 
 
-def parse(
-    tokens: np.ndarray, plan: list[tuple[str, int]], breaks: np.ndarray | None = None
-) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Levels of the parse: starts and names of the symbols before each round and at the end.
+@dataclass
+class Symbols:
+    """Symbols of records laid end to end: each with its record, name, start, size and whether it joins nothing."""
 
-    Positions in ``breaks`` part records laid end to end: each is a symbol of its own kind that
-    joins nothing.
-    """
-    name = mix(tokens.astype(np.int64).astype(U) + U(1))
-    start = np.arange(len(tokens))
-    size = np.ones(len(tokens), dtype=np.int64)
-    fixed = np.zeros(len(tokens), dtype=bool)
-    if breaks is not None and len(breaks):
-        name[breaks] = mix(breaks.astype(U) + U(1 << 62))
-        fixed[breaks] = True
-    starts, names = [start], [name]
-    for r, (kind, bound) in enumerate(plan):
+    owner: np.ndarray
+    name: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    fixed: np.ndarray
+
+    def run_edges(self) -> np.ndarray:
+        return np.r_[True, (self.name[1:] != self.name[:-1]) | (self.owner[1:] != self.owner[:-1])][: len(self.name)]
+
+    def marked(self, kind: str, bound: int, round_no: int) -> tuple[Symbols, np.ndarray, np.ndarray, np.ndarray]:
+        """The symbols after a round, with the positions still to be named and the two parts of each new name."""
+        if not len(self.name):
+            none = np.empty(0, np.int64)
+            return self, none, none, none
         if kind == "run":
-            edge = np.r_[True, name[1:] != name[:-1]]
-            run = np.cumsum(edge) - 1
-            first = np.flatnonzero(edge)
-            count = np.diff(np.r_[first, len(name)])
-            total = count * size[first]
-            short = (count > 1) & (total <= bound)
-            keep = edge | ~short[run]
-            merged = short[run] & edge
-            named = np.where(merged, combine(name, count[run].astype(U), 3 * r + 1), name)
-            fixed = (fixed | ((count[run] > 1) & ~short[run]))[keep]
-            size = np.where(merged, total[run], size)[keep]
-            name, start = named[keep], start[keep]
+            edge = self.run_edges()
+            run, first = np.cumsum(edge) - 1, np.flatnonzero(edge)
+            count = np.diff(np.r_[first, len(self.name)])
+            total = count * self.size[first]
+            joined = (count > 1) & (total <= bound)
+            keep = edge | ~joined[run]
+            fresh = (edge & joined[run])[keep]
+            size = np.where(edge & joined[run], total[run], self.size)[keep]
+            fixed = (self.fixed | ((count > 1) & ~joined)[run])[keep]
+            second = count[run][keep]
         else:
-            right = (mix(name + U(7 * r + 5)) & U(1)).astype(bool)
-            pair = np.zeros(len(name), dtype=bool)
-            if len(name) > 1:
-                pair[:-1] = ~right[:-1] & right[1:] & ~fixed[:-1] & ~fixed[1:] & (size[:-1] + size[1:] <= bound)
-            second = np.r_[False, pair[:-1]]
-            follow = np.r_[name[1:], U(0)]
-            name = np.where(pair, combine(name, follow, 3 * r + 2), name)[~second]
-            size = np.where(pair, size + np.r_[size[1:], 0], size)[~second]
-            fixed, start = fixed[~second], start[~second]
-        starts.append(start)
-        names.append(name)
-    return starts, names
-
-
-def inner_zone(
-    levels: tuple[list[np.ndarray], list[np.ndarray]], plan: list[tuple[str, int]], n: int, at: np.ndarray, length: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """For each window [at, at + length), the part [lo, hi) that is parsed alike wherever it stands."""
-    starts, names = levels
-    lo, hi = at, at + length
-    for r, (kind, bound) in enumerate(plan):
-        start, name = starts[r], names[r]
-        ends = np.r_[start[1:], n]
-        # symbols by position: every lo is a start and every hi an end at its level
-        i = np.minimum(np.searchsorted(start, lo), len(start) - 1)
-        j = np.minimum(np.searchsorted(ends, hi), len(start) - 1)
+            right = is_right(self.name, round_no)
+            pair = np.zeros(len(self.name), dtype=bool)
+            pair[:-1] = (
+                ~right[:-1] & right[1:] & ~self.fixed[:-1] & ~self.fixed[1:]
+                & (self.owner[:-1] == self.owner[1:]) & (self.size[:-1] + self.size[1:] <= bound)
+            )
+            keep = ~np.r_[False, pair[:-1]]
+            fresh, fixed = pair[keep], self.fixed[keep]
+            size = np.where(pair, self.size + np.r_[self.size[1:], 0], self.size)[keep]
+            second = np.r_[self.name[1:], 0][keep]
+        at = np.flatnonzero(fresh)
+        out = Symbols(self.owner[keep], self.name[keep], self.start[keep], size, fixed)
+        return out, at, out.name[at], second[at]
+
+    def zone(self, kind: str, bound: int, round_no: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For windows whose part [lo, hi) is parsed alike wherever they stand, what of it stays so after a round."""
+        if not len(lo):
+            return lo, hi
+        stop = self.start + self.size
+        i = np.minimum(np.searchsorted(self.start, lo), len(self.start) - 1)
+        j = np.minimum(np.searchsorted(stop, hi), len(self.start) - 1)
         if kind == "run":
-            edge = np.r_[True, name[1:] != name[:-1]]
-            run = np.cumsum(edge) - 1
-            run_start = start[np.flatnonzero(edge)]
-            run_end = np.r_[run_start[1:], n]
-            seen = np.maximum(np.minimum(run_end[run[i]], hi) - lo, 0)
+            edge = self.run_edges()
+            run, first = np.cumsum(edge) - 1, np.flatnonzero(edge)
+            run_start, run_stop = self.start[first], stop[np.r_[first[1:] - 1, len(stop) - 1]]
+            seen = np.maximum(np.minimum(run_stop[run[i]], hi) - lo, 0)
             new_lo = np.where(seen <= bound, lo + seen, lo)
             seen = np.maximum(hi - np.maximum(run_start[run[j]], lo), 0)
             new_hi = np.where(seen <= bound, hi - seen, hi)
         else:
             # a left symbol is never the second of a pair, a right one never the first
-            right = (mix(name + U(7 * r + 5)) & U(1)).astype(bool)
-            new_lo, new_hi = np.where(right[i], ends[i], lo), np.where(right[j], hi, start[j])
+            right = is_right(self.name, round_no)
+            new_lo, new_hi = np.where(right[i], stop[i], lo), np.where(right[j], hi, self.start[j])
         lo = np.minimum(new_lo, hi)
-        hi = np.maximum(new_hi, lo)
-    return lo, hi
-
-
-def inner_symbols(
-    levels: tuple[list[np.ndarray], list[np.ndarray]], n: int, length: int, plan: list[tuple[str, int]], at: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names of symbols one, two and three in a row, and for each window its first and last inner symbol."""
-    lo, hi = inner_zone(levels, plan, n, at, length)
-    start, name = levels[0][-1], levels[1][-1]
-    first = np.searchsorted(start, lo)
-    last = np.searchsorted(np.r_[start[1:], n], hi, side="right") - 1
-    pad = np.r_[name, np.zeros(2, dtype=U)]
-    two = combine(pad[:-2], pad[1:-1], 901)
-    three = combine(two, pad[2:], 902)
-    return np.stack([name, two, three]), first, last
-
-
-def window_symbols(tokens: np.ndarray, length: int, plan: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """:func:`inner_symbols` of all windows of one record."""
-    return inner_symbols(parse(tokens, plan), len(tokens), length, plan, np.arange(len(tokens) - length + 1))
-
-
-class Laid:
-    """Records laid end to end with a break between, so that one pass names them all."""
-
-    def __init__(self, records: list[np.ndarray], length: int, plan: list[tuple[str, int]]) -> None:
-        sizes = np.array([len(r) for r in records], dtype=np.int64)
-        self.offset = np.cumsum(sizes + 1) - (sizes + 1)
-        self.tokens = np.zeros(int(sizes.sum() + len(sizes)), dtype=np.int64)
-        self.owner = np.repeat(np.arange(len(records)), sizes + 1)
-        for o, r in zip(self.offset, records):
-            self.tokens[o : o + len(r)] = r
-        counts = np.maximum(sizes - length + 1, 0)
-        self.window_owner = np.repeat(np.arange(len(records)), counts)
-        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.at = self.offset[self.window_owner] + inside
-        self.length = length
-        levels = parse(self.tokens, plan, self.offset + sizes)
-        self.symbol_owner = self.owner[levels[0][-1]]
-        self.grams, self.first, self.last = inner_symbols(levels, len(self.tokens), length, plan, self.at)
-        self.width = np.minimum(self.last - self.first + 1, 3)
+        return lo, np.maximum(new_hi, lo)
+
+
+STATE = T.StructType(
+    [
+        T.StructField("id", T.LongType()),
+        *(T.StructField(c, T.ArrayType(t)) for c, t in (
+            ("name", T.LongType()), ("size", T.IntegerType()), ("fixed", T.BooleanType()), ("lo", T.IntegerType()), ("hi", T.IntegerType()),
+            ("at", T.IntegerType()), ("first", T.LongType()), ("second", T.LongType()),
+        )),
+    ]
+)
+
+
+def begun(tokens: np.ndarray, lengths: np.ndarray, length: int) -> tuple[Symbols, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of one token each, and for every window its record and its zone, the whole window."""
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    symbols = Symbols(owner, tokens.astype(np.int64), np.arange(len(tokens)), np.ones(len(tokens), np.int64), np.zeros(len(tokens), bool))
+    counts = np.maximum(lengths - length + 1, 0)
+    windows = np.repeat(np.arange(len(lengths)), counts)
+    lo = np.cumsum(lengths)[windows] - lengths[windows] + np.arange(len(windows)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return symbols, windows, lo, lo + length
+
+
+def named(part: pa.RecordBatch) -> tuple[Symbols, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, windows and zones of a state whose marked positions have been given names."""
+    name, lengths = flat(part.column("name"))
+    size, _ = flat(part.column("size"))
+    fixed, _ = flat(part.column("fixed"), False)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    size = size.astype(np.int64)
+    start = np.cumsum(size) - size
+    given = part.column("given")
+    pairs, counts = given.flatten(), np.diff(given.offsets.to_numpy())
+    if len(pairs):
+        at, new = (pairs.field(k).to_numpy(zero_copy_only=False) for k in ("at", "new"))
+        base = np.cumsum(lengths) - lengths
+        name = name.copy()
+        name[np.repeat(base, counts) + at] = new
+    token_base = np.r_[0, np.cumsum(size)][np.cumsum(lengths) - lengths] if len(lengths) else np.empty(0, np.int64)
+    lo, n_windows = flat(part.column("lo"))
+    hi, _ = flat(part.column("hi"))
+    windows = np.repeat(np.arange(len(lengths)), n_windows)
+    return Symbols(owner, name, start, size, fixed.astype(bool)), windows, lo + token_base[windows], hi + token_base[windows]
+
+
+def state_after(ids: pa.Array, symbols: Symbols, windows: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: tuple[str, int], round_no: int) -> pa.RecordBatch:
+    """One round: zones are followed, the runs or pairs to be named are marked."""
+    lo, hi = symbols.zone(*step, round_no, lo, hi)
+    after, at, first, second = symbols.marked(*step, round_no)
+    n = len(ids)
+    per = np.bincount(after.owner, minlength=n)
+    base = np.cumsum(per) - per
+    tokens = np.bincount(symbols.owner, symbols.size, n).astype(np.int64)
+    token_base = np.cumsum(tokens) - tokens
+    marks, per_window = np.bincount(after.owner[at], minlength=n), np.bincount(windows, minlength=n)
+    small = lambda x: x.astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [
+            ids, as_list(after.name, per), as_list(small(after.size), per), as_list(after.fixed, per),
+            as_list(small(lo - token_base[windows]), per_window), as_list(small(hi - token_base[windows]), per_window),
+            as_list(small(at - base[after.owner[at]]), marks), as_list(first, marks), as_list(second, marks),
+        ],
+        STATE.names,
+    )
+
+
+def name_globally(state: DataFrame, round_no: int) -> DataFrame:
+    """``state`` with ``given``: a number for each marked run or pair, the same wherever it stands in the corpus."""
+    marks = state.select("id", F.explode(F.arrays_zip("at", "first", "second")).alias("m")).select("id", "m.at", "m.first", "m.second")
+    # tokens are below 2^31; numbers of a round are above those of the rounds before
+    number = F.monotonically_increasing_id() + F.lit((round_no + 1) << 57)
+    names = cut_lineage(marks.select("first", "second").distinct().withColumn("new", number))
+    side = F.broadcast(names) if names.count() <= BROADCAST_NAMES else merged(names)
+    given = marks.join(side, ["first", "second"]).groupBy("id").agg(F.collect_list(F.struct("at", "new")).alias("given"))
+    none = F.array().cast("array<struct<at:int,new:bigint>>")
+    return state.drop("at", "first", "second").join(merged(given), "id", "left").withColumn("given", F.coalesce("given", none))
+
+
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(a.astype(np.int64).view(U) + U(901)) * U(0x9E3779B97F4A7C15) + b.astype(np.int64).view(U)).view(np.int64)
+
+
+class Inner:
+    """The inner symbols of every window once all rounds are done.
+
+    Three (two, one) symbols in a row are told by a 64-bit key of their names. Keys only choose
+    windows to verify, so equal keys of different symbols cost work and change nothing.
+    """
+
+    def __init__(self, symbols: Symbols, windows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        self.owner, self.windows = symbols.owner, windows
+        name = np.r_[symbols.name, 0, 0]
+        two = combine(name[:-1], name[1:])
+        self.grams = [symbols.name, two[:-1], combine(two[:-1], name[2:])]
+        self.first = np.searchsorted(symbols.start, lo)
+        self.last = np.searchsorted(symbols.start + symbols.size, hi, side="right") - 1
+        self.width = np.clip(self.last - self.first + 1, 0, 3)
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
-        """(owner, name), distinct, of what windows need: three inner symbols in a row, else two, else one."""
-        owners, names = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        symbols = self.grams.shape[1]
+        """(record, key), distinct, of what the windows need."""
+        owners, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for w in (1, 2, 3):
             at = self.width == w
             if at.any():
-                wanted = np.zeros(symbols + 1, dtype=np.int64)
+                wanted = np.zeros(len(self.owner) + 1, dtype=np.int64)
                 np.add.at(wanted, self.first[at], 1)
                 np.add.at(wanted, self.last[at] - w + 2, -1)
                 chosen = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
-                owners.append(self.symbol_owner[chosen])
-                names.append(self.grams[w - 1][chosen].astype(np.int64))
-        o, f = np.concatenate(owners), np.concatenate(names)
-        order = np.lexsort((f, o))
-        o, f = o[order], f[order]
-        fresh = np.r_[True, (o[1:] != o[:-1]) | (f[1:] != f[:-1])][: len(o)]
-        return o[fresh], f[fresh]
-
-    def candidates(self, shared: list[np.ndarray]) -> np.ndarray:
-        """Indices of the windows all of whose inner symbols stand in other records too."""
-        keys = lambda owner, name: combine(name.astype(np.int64).astype(U), owner.astype(U), 77)
-        n = [len(x) for x in shared]
-        known = np.unique(keys(np.repeat(np.arange(len(shared)), n), np.concatenate([*shared, np.empty(0, np.int64)])))
+                owners.append(self.owner[chosen])
+                keys.append(self.grams[w - 1][chosen])
+        o, k = np.concatenate(owners), np.concatenate(keys)
+        order = np.lexsort((k, o))
+        o, k = o[order], k[order]
+        fresh = np.r_[True, (o[1:] != o[:-1]) | (k[1:] != k[:-1])][: len(o)]
+        return o[fresh], k[fresh]
+
+    def candidates(self, owners: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Indices of the windows all of whose inner symbols are among the given (record, key)."""
+        known = np.unique(combine(keys, owners))
         good = self.width < 1  # no inner symbol: only the tokens can tell
-        owner = self.symbol_owner
         for w in (1, 2, 3):
             at = self.width == w
             if at.any():
-                missing = np.r_[0, np.cumsum(~np.isin(keys(owner, self.grams[w - 1]), known))]
+                missing = np.r_[0, np.cumsum(~np.isin(combine(self.grams[w - 1], self.owner), known))]
                 good[at] = missing[self.last[at] - w + 2] == missing[self.first[at]]
         return np.flatnonzero(good)
 
 
-def window_keys(tokens: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit keys of the tokens themselves."""
-    keys = []
-    with np.errstate(over="ignore"):
-        for salt in (17, 91):
-            t = mix(tokens.astype(np.int64).astype(U) + U(salt))
-            h = np.full(len(at), salt, dtype=U)
-            for k in range(length):
-                h = mix(h * U(0x9E3779B97F4A7C15) + t[at + k])
-            keys.append(h.astype(np.int64))
-    return keys[0], keys[1]
-
-
-def groups_of(sizes: list[int], most: int = 100_000) -> Iterator[slice]:
-    """Slices of consecutive records of about ``most`` tokens, so the work tables stay small."""
-    begin, total = 0, 0
-    for i, n in enumerate(sizes):
-        if total and total + n > most:
-            yield slice(begin, i)
-            begin, total = i, 0
-        total += n
-    if begin < len(sizes):
-        yield slice(begin, len(sizes))
-
-
-def shared_windows(prepared: DataFrame, length: int = 32) -> DataFrame:
-    """``(piece_id, start)`` of every window of ``length`` tokens that also stands in another piece."""
+def window_strings(tokens: np.ndarray, at: np.ndarray, length: int) -> list[bytes]:
+    """The tokens of windows themselves as bytes: one byte a token where all are below 254, else eight."""
+    if not len(at):
+        return []
+    view = np.lib.stride_tricks.sliding_window_view(tokens, length)[at]
+    short = ((view >= -1) & (view < 254)).all(1)
+    out: list[bytes] = [b""] * len(at)
+    packed = np.ascontiguousarray((view[short] + 2).astype(np.uint8)).view(f"S{length}").ravel().tolist()
+    for i, b in zip(np.flatnonzero(short).tolist(), packed):
+        out[i] = b
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = b"\x00" + view[i].astype(">i8").tobytes()
+    return out
+
+
+def recompressed(classes: DataFrame, length: int) -> DataFrame:
+    """The state of ``classes(id, tokens)`` after all rounds, every symbol named."""
     plan = rounds_for(length)
-    items = cut_lineage(pieces(prepared.select("piece_id", "tokens", "prepared_at")).where(F.size("tokens") >= length))
-
-    def name_symbols(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            tokens, ids = [whole(t) for t in batch["tokens"]], batch["piece_id"].to_numpy()
-            for part in groups_of([len(t) for t in tokens]):
-                owner, name = Laid(tokens[part], length, plan).features()
-                yield pd.DataFrame({"piece_id": ids[part][owner], "symbol": name})
-
-    symbols = items.mapInPandas(name_symbols, "piece_id string, symbol bigint")
-    symbols = cut_lineage(symbols)
-    in_two = (
-        symbols.groupBy("symbol")
-        .agg(F.min("piece_id").alias("a"), F.max("piece_id").alias("b"))
-        .where("a <> b")
-        .select("symbol")
-    )
-    per_piece = symbols.join(in_two, "symbol").groupBy("piece_id").agg(F.collect_list("symbol").alias("shared"))
-
-    def pick_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            tokens, ids = [whole(t) for t in batch["tokens"]], batch["piece_id"].to_numpy()
-            shared = [np.asarray(x, dtype=np.int64) for x in batch["shared"]]
-            for part in groups_of([len(t) for t in tokens]):
-                laid = Laid(tokens[part], length, plan)
-                found = laid.candidates(shared[part])
-                owner, at = laid.window_owner[found], laid.at[found]
-                key_a, key_b = window_keys(laid.tokens, at, length)
-                yield pd.DataFrame({"piece_id": ids[part][owner], "start": (at - laid.offset[owner]).astype(np.int32), "key_a": key_a, "key_b": key_b})
-
-    windows = cut_lineage(
-        items.join(per_piece, "piece_id").mapInPandas(pick_windows, "piece_id string, start int, key_a bigint, key_b bigint")
-    )
-    repeated = (
-        windows.groupBy("key_a", "key_b")
-        .agg(F.min("piece_id").alias("a"), F.max("piece_id").alias("b"))
-        .where("a <> b")
-        .select("key_a", "key_b")
-    )
-    return windows.join(repeated, ["key_a", "key_b"]).select("piece_id", "start")
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_parts(batches, "tokens"):
+            yield state_after(part.column("id"), *begun(*flat(part.column("tokens")), length), plan[0] if plan else ("run", 0), 0)
+
+    state = classes.select("id", "tokens").mapInArrow(start, STATE)
+    for r in range(len(plan)):
+        whole = name_globally(cut_lineage(state), r)
+        if r + 1 == len(plan):
+            return whole
+        step = plan[r + 1]
+
+        def advance(batches: Iterator[pa.RecordBatch], r: int = r, step: tuple[str, int] = step) -> Iterator[pa.RecordBatch]:
+            for part in in_parts(batches, "name"):
+                yield state_after(part.column("id"), *named(part), step, r + 1)
+
+        state = whole.mapInArrow(advance, STATE)
+    none = F.array().cast("array<struct<at:int,new:bigint>>")
+    return state.drop("at", "first", "second").withColumn("given", none)
+
+
+def shared_windows(classes: DataFrame, length: int = 32) -> DataFrame:
+    """``(id, start)`` of every window of ``length`` tokens of ``classes(id, tokens)`` that also stands in another class."""
+    classes = classes.where(F.size("tokens") >= length)
+    state = cut_lineage(recompressed(classes, length))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_parts(batches, "name"):
+            owner, key = Inner(*named(part)).features()
+            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner)), pa.array(key)], ["id", "symbol"])
+
+    symbols = cut_lineage(state.mapInArrow(features, "id bigint, symbol bigint"))
+    in_two = symbols.groupBy("symbol").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("symbol")
+    per_class = symbols.join(merged(in_two), "symbol").groupBy("id").agg(F.collect_list("symbol").alias("shared"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_parts(batches, "tokens"):
+            tokens, lengths = flat(part.column("tokens"))
+            keys, n = flat(part.column("shared"))
+            inner = Inner(*named(part))
+            chosen = inner.candidates(np.repeat(np.arange(len(n)), n), keys)
+            _, windows, at, _ = begun(tokens, lengths, length)
+            owner, at = windows[chosen], at[chosen]
+            local = (at - (np.cumsum(lengths) - lengths)[owner]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id").take(pa.array(owner)), pa.array(local), pa.array(window_strings(tokens.astype(np.int64), at, length), pa.binary())],
+                ["id", "start", "window"],
+            )
+
+    # no inner symbol can be missing where windows have none, so such classes stay
+    whole = state.join(merged(per_class), "id", "left").join(merged(classes), "id").withColumn("shared", F.coalesce("shared", F.array().cast("array<bigint>")))
+    windows = cut_lineage(whole.mapInArrow(pick, "id bigint, start int, window binary"))
+    repeated = windows.groupBy("window").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("window")
+    return windows.join(merged(repeated), "window").select("id", "start")
 
 
 def spans(prepared: DataFrame, length: int = 32) -> DataFrame:
     """``(piece_id, start_pos, stop_pos)``: longest stretches of positions shared with other pieces.
 
-    Repeats within one piece alone do not count; pieces below ``length`` tokens share nothing;
-    null tokens equal each other; repeated deliveries are one piece.
+    Pieces with equal tokens are one class and share all they have; windows are sought between
+    classes. Repeats within one piece alone do not count; pieces below ``length`` tokens share
+    nothing; null tokens equal each other; repeated deliveries are one piece.
     """
-    starts = shared_windows(prepared, length)
-    by_piece = Window.partitionBy("piece_id").orderBy("start")  # a piece's own windows: bounded by its length
-    flagged = starts.withColumn(
-        "is_new", F.coalesce(F.col("start") > F.lag("start").over(by_piece) + length, F.lit(True)).cast("int")
-    ).withColumn("run", F.sum("is_new").over(by_piece))
+    items = pieces(prepared.select("piece_id", "tokens", "prepared_at")).where(F.size("tokens") >= length)
+    classes, members = copies(items)
+    starts = shared_windows(classes.select(F.col("class_id").alias("id"), "tokens"), length)
+    single = starts.join(merged(classes.where("n_copies = 1").select(F.col("class_id").alias("id"))), "id")
+    by_class = Window.partitionBy("id").orderBy("start")  # a record's own windows: bounded by its length
+    runs = single.withColumn(
+        "is_new", F.coalesce(F.col("start") > F.lag("start").over(by_class) + length, F.lit(True)).cast("int")
+    ).withColumn("run", F.sum("is_new").over(by_class))
+    stretches = runs.groupBy("id", "run").agg(F.min("start").alias("start_pos"), (F.max("start") + length).alias("stop_pos")).drop("run")
+    whole = classes.where("n_copies > 1").select(F.col("class_id").alias("id"), F.lit(0).alias("start_pos"), F.size("tokens").alias("stop_pos"))
     return (
-        flagged.groupBy("piece_id", "run")
-        .agg(F.min("start").cast("int").alias("start_pos"), (F.max("start") + length).cast("int").alias("stop_pos"))
-        .select("piece_id", "start_pos", "stop_pos")
+        cut_lineage(stretches.unionByName(whole))
+        .join(merged(members.withColumnRenamed("class_id", "id")), "id")
+        .select("piece_id", F.col("start_pos").cast("int").alias("start_pos"), F.col("stop_pos").cast("int").alias("stop_pos"))
     )
 
 
@@ -296,6 +360,6 @@ def shared_share(prepared: DataFrame, length: int = 32) -> DataFrame:
     total = spans(prepared, length).groupBy("piece_id").agg(F.sum(F.col("stop_pos") - F.col("start_pos")).alias("n_shared"))
     items = pieces(prepared.select("piece_id", "tokens", "prepared_at")).select("piece_id", F.size("tokens").alias("n_tokens"))
     n = F.coalesce("n_shared", F.lit(0)).cast("long")
-    return items.join(total, "piece_id", "left").select(
+    return items.join(merged(total), "piece_id", "left").select(
         "piece_id", "n_tokens", n.alias("n_shared"), F.round(F.try_divide(n, F.col("n_tokens")), 6).alias("share")
     )

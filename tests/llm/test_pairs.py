@@ -122,27 +122,48 @@ def test_shared_spans_are_exact(spark, corpus, length):
     assert want and got == want
 
 
+def symbols_of(tokens, length):
+    """The rounds on records of one process, with a plain dictionary as the naming: symbols, windows and zones."""
+    lengths = np.array([len(t) for t in tokens])
+    symbols, windows, lo, hi = p4.begun(np.concatenate(tokens), lengths, length)
+    names = {}
+    for r, step in enumerate(p4.rounds_for(length)):
+        lo, hi = symbols.zone(*step, r, lo, hi)
+        symbols, at, first, second = symbols.marked(*step, r)
+        for i, a, b in zip(at, first.tolist(), second.tolist()):
+            symbols.name[i] = names.setdefault((r, a, b), (1 << 40) + len(names))
+    return symbols, windows, lo, hi
+
+
 def test_every_window_keeps_an_inner_symbol():
     rng = np.random.default_rng(1)
     for length in (12, 20, 32, 64):
-        plan = p4.rounds_for(length)
         for alphabet in (1, 2, 3, 60):
-            t = rng.integers(0, alphabet, 400)
-            _, first, last = p4.window_symbols(t, length, plan)
-            assert (last >= first).all()
+            inner = p4.Inner(*symbols_of([rng.integers(0, alphabet, 400), rng.integers(0, alphabet, 90)], length))
+            assert (inner.width >= 1).all()
+
+
+def test_names_stand_for_one_string_of_tokens():
+    rng = np.random.default_rng(3)
+    tokens = np.concatenate([rng.integers(0, 2, 300), np.zeros(40, np.int64)])
+    symbols = symbols_of([tokens], 32)[0]
+    assert symbols.size.sum() == len(tokens) and symbols.size.max() > 2
+    seen = {}
+    for name, start, size in zip(symbols.name, symbols.start, symbols.size):
+        assert seen.setdefault(name, tuple(tokens[start : start + size])) == tuple(tokens[start : start + size])
 
 
 def test_equal_windows_have_equal_inner_symbols():
     rng = np.random.default_rng(2)
-    plan = p4.rounds_for(32)
     for alphabet in (1, 2, 4):
         w = rng.integers(0, alphabet, 32)
-        seen = set()
-        for _ in range(20):
-            t = np.r_[rng.integers(0, alphabet, rng.integers(0, 9)), w, rng.integers(0, alphabet, 5)]
+        texts = [np.r_[rng.integers(0, alphabet, rng.integers(0, 9)), w, rng.integers(0, alphabet, 5)] for _ in range(20)]
+        symbols, windows, lo, hi = symbols_of(texts, 32)
+        inner, seen = p4.Inner(symbols, windows, lo, hi), set()
+        for k, t in enumerate(texts):
             at = next(i for i in range(len(t) - 31) if (t[i : i + 32] == w).all())
-            grams, first, last = p4.window_symbols(t, 32, plan)
-            seen.add(tuple(grams[0][first[at] : last[at] + 1]))
+            i = np.flatnonzero(windows == k)[at]
+            seen.add(tuple(symbols.name[inner.first[i] : inner.last[i] + 1]))
         assert len(seen) == 1
 
 
