@@ -27,17 +27,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
     for _ in range(max_rounds):
         near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
+            both.join(labels.withColumnRenamed("node", "b").hint("merge"), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("component").alias("near"))
         )
-        hooked = labels.join(near, "node", "left").select(
+        hooked = labels.join(near.hint("merge"), "node", "left").select(
             "node", F.col("component").alias("before"), F.least("component", "near").alias("component")
         )
         # a label's own label is at least as small: follow it once
         roots = hooked.select(F.col("node").alias("component"), F.col("component").alias("root"))
         jumped = cut_lineage(
-            hooked.join(roots, "component", "left").select(
+            hooked.join(roots.hint("merge"), "component", "left").select(
                 "node", "before", F.least(F.col("component"), F.col("root")).alias("component")
             )
         )
