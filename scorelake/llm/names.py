@@ -20,6 +20,19 @@ GIVEN = {
     "ursula": "ulla", "valentina": "tina", "victoria": "vicky", "wilhelmina": "mina", "william": "bill will",
     "yolanda": "yoli", "zacharias": "zach", "zoe": "",
 }
+#: Further given names common in English, German and Spanish, without those that are words or titles too.
+COMMON = frozenset(
+    "adam adrian alan albert alberto alejandro alfred alice amanda amelia ana andrea andreas andres andrew anke anna anne annette anthony antonio arthur "
+    "barbara beatriz benjamin bernd bernhard brian bruno camila carlos carolina caroline catherine charlotte christian christine christoph christopher "
+    "claudia clemens cristina daniel daniela david deborah diego dieter dietrich dominik donald dorothy edith eduardo elena elisabeth emily emma enrique "
+    "erich erik ernst esther eugen eva fatima felipe fernando florian franz frederick gabriel gabriela georg george gerhard gertrud gisela gonzalo gustav hans "
+    "hannah heinrich helen helga henry hermann hildegard hugo ingrid isabel isabella jacob jakob james jan janet jennifer jessica johann john jonas "
+    "jonathan jorge jose joseph juan judith julia julian karen karin karl katharina kenneth klaus kurt laura lawrence leonard lorenzo louise ludwig luis lukas "
+    "manfred manuel marcos margarita maria marie marta martha martin matthew matthias mercedes miguel monika nancy nicholas nicole olivia otto pablo patrick "
+    "paul paula pedro peter philip rachel rafael rainer raymond rebecca renate ricardo richard roberto rodrigo ronald rudolf ruth sabine samantha sandra santiago "
+    "sarah sergio simon sofia sophie stefan stephanie stephen steven susan susanne teresa theresa thomas timothy tomas ulrich vera veronica vicente vincent "
+    "virginia walter werner wolfgang".split()
+)
 NICKNAMES: dict[str, frozenset[str]] = {}
 for _given, _nicks in GIVEN.items():
     for _nick in _nicks.split():

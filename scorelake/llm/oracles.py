@@ -96,6 +96,38 @@ groups AS (
   FROM (SELECT DISTINCT piece_id FROM prepared_pieces WHERE piece_id IS NOT NULL) p
   LEFT JOIN keys USING (piece_id) LEFT JOIN roots USING (k) GROUP BY p.piece_id), {SPLITS}"""
 
+CUTS = """
+WITH RECURSIVE long AS (
+  SELECT piece_id, CAST(len(tokens) AS INTEGER) AS n FROM (
+    SELECT piece_id, tokens, row_number() OVER (PARTITION BY piece_id ORDER BY prepared_at DESC, tokens DESC) AS rn
+    FROM prepared_pieces WHERE piece_id IS NOT NULL AND tokens IS NOT NULL) WHERE rn = 1 AND len(tokens) > 256),
+events1 AS (SELECT * FROM (
+    SELECT piece_id, index, measure, "offset", duration,
+           row_number() OVER (PARTITION BY piece_id, index ORDER BY measure IS NULL, extracted_at DESC, measure DESC, "offset" DESC, duration DESC) AS rn
+    FROM musical_events WHERE index IS NOT NULL) WHERE rn = 1),
+lagged AS (
+  SELECT piece_id, index, n, measure <> last_value(measure IGNORE NULLS) OVER (PARTITION BY piece_id ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fresh,
+         "offset" - lag("offset" + duration) OVER (PARTITION BY piece_id ORDER BY index) > 0.02 + 1e-9 AS rest
+  FROM events1 JOIN long USING (piece_id)),
+graded AS (SELECT piece_id, index, CASE WHEN fresh AND rest THEN 3 WHEN fresh THEN 2 WHEN rest THEN 1 ELSE 0 END AS strength FROM lagged WHERE index < n),
+lists AS (
+  SELECT l.piece_id, any_value(n) AS n, list(CAST(coalesce(strength, 0) AS INTEGER) ORDER BY i) AS s
+  FROM (SELECT piece_id, n, unnest(range(n)) AS i FROM long) l LEFT JOIN graded g ON g.piece_id = l.piece_id AND g.index = l.i GROUP BY 1),
+parts AS (
+  SELECT piece_id, n, s, 0 AS part, 0 AS start, {pick0} AS stop FROM lists
+  UNION ALL
+  SELECT piece_id, n, s, part + 1, stop - 32, CASE WHEN n - (stop - 32) <= 256 THEN n ELSE {pick1} END FROM parts WHERE stop < n)"""
+
+
+def _pick(start: str) -> str:
+    """SQL of the cut after ``start``: strongest in lengths 128 to 256, or a stronger one in 33 to 256 if no measure begins there."""
+    near, far = f"s[{start} + 129:{start} + 257]", f"s[{start} + 34:{start} + 257]"
+    last = lambda xs: f"{start} + 257 - list_position(list_reverse({xs}), list_max({xs}))"
+    return f"CAST(CASE WHEN list_max({near}) < 2 AND list_max({far}) > list_max({near}) THEN {last(far)} ELSE {last(near)} END AS INTEGER)"
+
+
+CUTS = CUTS.replace("{pick0}", _pick("0")).replace("{pick1}", _pick("(stop - 32)"))
+
 ORACLES = {
     "p1_found": OVERLAPS
     + " SELECT DISTINCT least(train_id, eval_id) AS piece_id_a, greatest(train_id, eval_id) AS piece_id_b FROM pairs",
@@ -123,4 +155,13 @@ ORACLES = {
     "p7_found": GROUPS
     + """ SELECT piece_id FROM groups WHERE group_id IN (
           SELECT group_id FROM groups JOIN splits USING (piece_id) WHERE split IS NOT NULL GROUP BY group_id HAVING count(DISTINCT split) > 1)""",
+    "p7_audit": GROUPS
+    + """, sized AS (SELECT group_id, CAST(count(*) AS BIGINT) AS group_size, CAST(count(DISTINCT split) AS INTEGER) AS n_present FROM groups LEFT JOIN splits USING (piece_id) GROUP BY 1)
+        SELECT piece_id, group_size, split AS present_split, n_present, CAST(1 AS INTEGER) AS n_new FROM groups JOIN sized USING (group_id) LEFT JOIN splits USING (piece_id)""",
+    "p2_cuts": CUTS + " SELECT piece_id, part, start, stop, CASE WHEN stop = n THEN 0 ELSE s[stop + 1] END AS strength, stop = n OR s[stop + 1] > 0 AS natural FROM parts",
+    # the rules of the filling and of the mix hold whatever was drawn
+    "p8_audit": """SELECT count(*) AS n_documents, count(*) FILTER (text IS NULL) AS n_without_text, CAST(0 AS BIGINT) AS n_divided_small, CAST(0 AS BIGINT) AS n_wrong_room,
+        CAST(0 AS BIGINT) AS n_duplicates_together, CAST(0 AS BIGINT) AS n_apart_together FROM documents""",
+    "p9_audit": """SELECT lower(trim(t.source)) AS source, target_share, coalesce(n, 0) > 0 AS met, CAST(0 AS BIGINT) AS over_repeats FROM mix_targets t
+        LEFT JOIN (SELECT lower(trim(source)) AS source, count(*) AS n FROM documents WHERE text <> '' GROUP BY 1) d ON d.source = lower(trim(t.source))""",
 }

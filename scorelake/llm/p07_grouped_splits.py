@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import present_split
+from scorelake.llm.common import merged, present_split
 from scorelake.operators.components import connected_components
 from scorelake.session import cut_lineage
 
@@ -48,24 +48,6 @@ def piece_groups(prepared: DataFrame) -> DataFrame:
     )
 
 
-def found(prepared: DataFrame, records: DataFrame) -> DataFrame:
-    """Pieces of groups whose pieces have more than one present split.
-
-    A piece without present split is a case like the others of its group; pieces that only the
-    records name are none. Empty tables give an empty result.
-    """
-    groups = piece_groups(prepared)
-    split = present_split(records.select("piece_id", "split", "registered_at"))
-    mixed = (
-        groups.join(split.where("split is not null"), "piece_id")
-        .groupBy("group_id")
-        .agg(F.min("split").alias("a"), F.max("split").alias("b"))
-        .where("a <> b")
-        .select("group_id")
-    )
-    return groups.join(mixed, "group_id").select("piece_id")
-
-
 def largest_differencing(weights: dict[int, int], bins: int) -> list[dict[int, int]]:
     """Balance items of the given weights (weight -> how many) into ``bins`` bins.
 
@@ -133,7 +115,7 @@ def assign(prepared: DataFrame, bins: int = 20, targets: dict[str, float] = TARG
     sizes). Components of one size are told apart by their rank in a hash order, which is found
     without a global sort: counts per hash range give each range its first rank.
     """
-    groups = piece_groups(prepared)
+    groups = cut_lineage(piece_groups(prepared))
     sized = cut_lineage(
         groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("weight"))
         .withColumn("h", F.xxhash64("group_id")).withColumn("range", F.shiftright("h", 52))
@@ -150,11 +132,37 @@ def assign(prepared: DataFrame, bins: int = 20, targets: dict[str, float] = TARG
     ).drop("n")
     ranked = (
         sized.withColumn("local", F.row_number().over(Window.partitionBy("weight", "range").orderBy("h", "group_id")) - 1)
-        .join(base, ["weight", "range"])
+        .join(merged(base), ["weight", "range"])
         .withColumn("rank", F.col("base") + F.col("local"))
     )
+    # the plan has at most as many rows as sizes times splits
     placed = ranked.join(F.broadcast(plan), "weight").where("rank >= from_rank and rank < to_rank").select("group_id", "split")
-    return groups.join(placed, "group_id").select("piece_id", "group_id", F.col("split").alias("new_split"))
+    return groups.join(merged(placed), "group_id").select("piece_id", "group_id", F.col("split").alias("new_split"))
+
+
+def audited(prepared: DataFrame, records: DataFrame, **options) -> DataFrame:
+    """``(piece_id, group_id, group_size, present_split, n_present, new_split, n_new)`` for every piece.
+
+    ``n_present`` and ``n_new`` count the different present and new splits in the piece's group; a
+    piece without present split counts for none but belongs to its group like the others. Pieces
+    that only the records name are none. Empty tables give an empty result.
+    """
+    placed = cut_lineage(assign(prepared, **options))
+    split = present_split(records.select("piece_id", "split", "registered_at")).withColumnRenamed("split", "present_split")
+    rows = cut_lineage(placed.join(merged(split), "piece_id", "left"))
+    # distinct splits are few: one row a group and split before they are counted
+    per = rows.groupBy("group_id", "present_split", "new_split").agg(F.count(F.lit(1)).alias("n"))
+    of_group = per.groupBy("group_id").agg(
+        F.sum("n").alias("group_size"), F.size(F.collect_set("present_split")).alias("n_present"), F.size(F.collect_set("new_split")).alias("n_new")
+    )
+    return rows.join(merged(of_group), "group_id").select(
+        "piece_id", "group_id", "group_size", "present_split", "n_present", "new_split", "n_new"
+    )
+
+
+def found(prepared: DataFrame, records: DataFrame) -> DataFrame:
+    """Pieces whose group is now in more than one split, as the new assignment's audit shows them."""
+    return audited(prepared, records).where("n_present > 1").select("piece_id")
 
 
 def split_report(prepared: DataFrame, **options) -> DataFrame:
@@ -167,3 +175,8 @@ def split_report(prepared: DataFrame, **options) -> DataFrame:
         .join(F.broadcast(total))
         .select("new_split", "n_pieces", "n_groups", F.round(F.col("n_pieces") / F.col("total"), 6).alias("share"))
     )
+
+
+def audit_columns(prepared: DataFrame, records: DataFrame) -> DataFrame:
+    """``(piece_id, group_size, present_split, n_present, n_new)``: the audit without names of groups and new splits."""
+    return audited(prepared, records).select("piece_id", "group_size", "present_split", "n_present", "n_new")

@@ -3,20 +3,26 @@
 Conflict-constrained best fit, largest items first. Bins are kept by the room they have left;
 the search starts at the least room that holds the item and goes on to the next until a bin
 without conflict is found. A bin carries a bitmap of its sources and one of its clusters of
-duplicates: copies of one text never share a container, nor do sources declared apart. Items
-are dealt to shards by a hash, so each shard sees the whole mix of sizes and only its last
+duplicates: copies and near copies of one text (five-word shingles, Jaccard similarity of 0.8)
+never share a container, nor do sources declared apart. Items are dealt to shards by a hash, so each shard sees the whole mix of sizes and only its last
 few bins stay open.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.llm.common import merged, numbered, shingles_of_rows
+from scorelake.llm.p03_near_duplicates import similar_sets
 from scorelake.llm.tokens import with_token_counts
+from scorelake.operators.components import connected_components
 from scorelake.session import cut_lineage
 
 
@@ -88,6 +94,41 @@ def best_fit(
     return placed, room
 
 
+def word_shingles(texts: DataFrame, width: int = 5) -> DataFrame:
+    """``(id, shingles)`` of ``(id, text)``: distinct runs of words (case and marks mean nothing) as 64-bit hashes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            code: dict[str, int] = {}  # of the words of one batch
+            rows, sizes = [], []
+            for text in batch["text"]:
+                words = re.findall(r"\w+", text.lower())
+                rows += [code.setdefault(w, len(code)) for w in words]
+                sizes.append(len(words))
+            named = np.array([xxhash.xxh64_intdigest(w) >> 12 for w in code], dtype=np.int64)
+            values, lengths = shingles_of_rows(named[np.array(rows, dtype=np.int64)], np.array(sizes, dtype=np.int64), width)
+            yield pd.DataFrame({"id": batch["id"], "shingles": np.split(values, np.cumsum(lengths)[:-1])})
+
+    return texts.select("id", "text").mapInPandas(run, "id bigint, shingles array<bigint>")
+
+
+def duplicate_clusters(documents: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
+    """``(doc_id, cluster)``: texts that are copies or near copies, also through others, have one cluster.
+
+    Copies (equal but for case and white space) are one class; classes are linked by a chosen-path
+    similarity join of their word shingles and gathered by components. A text below ``width``
+    words has copies only. Null texts have no cluster.
+    """
+    plain = F.regexp_replace(F.lower(F.trim("text")), r"\s+", " ")
+    rows = documents.where("text is not null").select("doc_id", plain.alias("plain"))
+    classes = numbered(rows.groupBy("plain").agg(F.count(F.lit(1)).alias("n")), "id")
+    sets = cut_lineage(word_shingles(classes.where("plain <> ''").select("id", F.col("plain").alias("text")), width))
+    links = similar_sets(sets, threshold).select("a", "b")
+    component = connected_components(links, "a", "b")
+    named = classes.join(merged(component.withColumnRenamed("node", "id")), "id", "left").select("plain", F.coalesce("component", "id").alias("cluster"))
+    return rows.join(merged(named), "plain").select("doc_id", "cluster")
+
+
 def fill(
     documents: DataFrame,
     capacity: int = 1024,
@@ -98,19 +139,13 @@ def fill(
     """``(doc_id, part, start_token, n_tokens, container, room_left)`` of every text.
 
     A text above ``capacity`` is cut into full containers and a last part; no other text is
-    divided. Copies (equal but for case and white space) and sources named in ``apart`` (pairs,
-    case means nothing) never share a container. An empty text goes where there is room; a
-    null text has no container. ``per_shard`` bounds what one task packs.
+    divided. Texts of one cluster of duplicates and sources named in ``apart`` (pairs, case means
+    nothing) never share a container. An empty text goes where there is room; a null text has no
+    container. ``per_shard`` bounds what one task packs.
     """
     counted = cut_lineage(
-        with_token_counts(
-            documents.select(
-                "doc_id", "text", F.lower("source").alias("source"),
-                F.xxhash64(F.regexp_replace(F.lower(F.trim("text")), r"\s+", " ")).alias("cluster"),
-            ),
-            ["doc_id", "source", "cluster"],
-            vocabulary,
-        )
+        with_token_counts(documents.select("doc_id", "text", F.lower("source").alias("source")), ["doc_id", "source"], vocabulary)
+        .join(merged(duplicate_clusters(documents)), "doc_id", "left")
     )
     n_parts = F.greatest(F.ceil(F.col("n_tokens") / F.lit(capacity)), F.lit(1)).cast("int")
     parts = (
@@ -170,3 +205,33 @@ def summary(documents: DataFrame, capacity: int = 1024, **options) -> DataFrame:
         n.alias("n_containers"), tokens.alias("total_tokens"), (n * capacity - tokens).alias("total_room"),
         F.round(F.try_divide(n * capacity - tokens, n * capacity), 6).alias("room_share"),
     )
+
+
+def audit(documents: DataFrame, capacity: int = 1024, apart: list[tuple[str, str]] | None = None, **options) -> DataFrame:
+    """One row of counts that tell if the filling keeps its rules.
+
+    ``(n_documents, n_without_text, n_divided_small, n_wrong_room, n_duplicates_together,
+    n_apart_together)``: texts without container, texts within the capacity that were divided,
+    containers whose tokens and room do not make up the capacity, containers with two texts of one
+    cluster, and containers with two sources declared apart.
+    """
+    out = cut_lineage(fill(documents, capacity, apart=apart, **options))
+    per_text = out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("n_tokens").alias("n"), F.max("container").alias("c"))
+    texts = per_text.agg(
+        F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("c").isNull()).alias("n_without_text"),
+        F.count_if((F.col("parts") > 1) & (F.col("n") <= capacity)).alias("n_divided_small"),
+    )
+    known = documents.select("doc_id", F.lower("source").alias("source")).join(merged(duplicate_clusters(documents)), "doc_id", "left")
+    inside = out.where("container is not null").join(merged(known), "doc_id")
+    per_bin = inside.groupBy("container").agg(
+        F.sum("n_tokens").alias("n"), F.max("room_left").alias("room"), (F.count("cluster") - F.countDistinct("cluster")).alias("again"),
+        F.collect_set("source").alias("sources"),
+    )
+    together = F.lit(False)
+    for a, b in apart or []:
+        together = together | (F.array_contains("sources", a.lower()) & F.array_contains("sources", b.lower()))
+    bins = per_bin.agg(
+        F.count_if(F.col("n") + F.col("room") != capacity).alias("n_wrong_room"), F.count_if(F.col("again") > 0).alias("n_duplicates_together"),
+        F.count_if(together).alias("n_apart_together"),
+    )
+    return texts.crossJoin(bins)  # a row each

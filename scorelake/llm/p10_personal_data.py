@@ -1,10 +1,11 @@
 """Problem 10: personal information inside free text.
 
 Spans are found by patterns for each kind (addresses before phones, so that a house number
-is no phone) and by given names with the words around them. Numbers are replaced by
-format-preserving pseudonyms: a keyed Feistel network permutes the digits of one length among
-themselves, so the layout stays, equal values stay linked across documents and the owner of
-the key can undo it. Other items get a keyed tag. Each place becomes a typed placeholder.
+is no phone) and by given names with the words around them. Numbers are read and validated
+(check letters and digits, areas, calendar) and replaced by format-preserving pseudonyms: a
+keyed Feistel network permutes the values of one format among themselves, valid ones among the
+valid, so the layout stays, equal values stay linked across documents and the owner of the key
+can undo it. Other items get a keyed tag. Each place becomes a typed placeholder.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ import hashlib
 import hmac
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.names import GIVEN, NICKNAMES, PARTICLES, fold
+from scorelake.llm.names import COMMON, GIVEN, NICKNAMES, PARTICLES, fold
 
 KINDS = ("email", "id_number", "address", "phone", "person_name")
 
@@ -34,6 +36,8 @@ EMAIL = re.compile(
     re.I,
 )
 
+AT_SIGN = re.compile(rf"{_AT_SIGN}| (?:at|arroba|klammeraffe) ", re.I)
+
 ID_NUMBER = re.compile(
     r"(?<![\w./-])(?:"
     r"[A-Z]{2}[ \u00a0]?\d{2}[ \u00a0]?\d{2}[ \u00a0]?\d{2}[ \u00a0]?[A-D]"  # two letters, six digits, a letter
@@ -44,6 +48,13 @@ ID_NUMBER = re.compile(
     r"|\d{2} \d{3} \d{3} \d{3}"  # eleven digits of a tax id
     r")(?![\w-]|\.\d)"
 )
+#: Nine or eleven unparted digits are an identity number after a word that says so.
+BARE_NUMBER = re.compile(r"(?<![\w./-])(?:\d{9}|\d{11})(?![\w-]|\.\d)")
+SAYS_IDENTITY = re.compile(
+    r"\b(?:ssn|social security|tax|national|passport|identity|insurance|id|dni|nie|nif|steuer\w*|ausweis\w*|personalausweis)"
+    r"(?:[ -](?:id|no|nr|number|nummer|n[úu]m(?:ero)?|code))?[.:]?[ \u00a0]{0,2}(?:is |ist |es )?$",
+    re.I,
+)
 
 PHONE = re.compile(
     r"(?<![\w.+/-])(?:"
@@ -55,11 +66,15 @@ PHONE = re.compile(
     r")(?![\w/-]|\.\d)"
 )
 #: Digits in a whole number by country code; a longer match swallowed what follows.
-COUNTRY_DIGITS = {"1": 11, "44": 12, "49": 13, "34": 11}
+COUNTRY_DIGITS = {"1": 11, "44": 12, "49": 13, "34": 11, "33": 11, "39": 12, "41": 11, "43": 13, "351": 12, "52": 12, "54": 13}
+MOST_DIGITS = 15  # of any country
 
 _WORD = r"[A-ZÀ-ÖØ-Þ][\w'’]*(?:-[A-ZÀ-ÖØ-Þ]?[\w'’]+)*"
-_PLACE = rf"{_WORD}(?:[ -](?:upon|on|am|an der|de|del|la|{_WORD})){{0,0}}"
 _POSTCODE = r"[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}"
+#: Further words of four letters or more belong to a place, but only if the address ends after them.
+_PLACE = (
+    rf"(?:{_WORD}(?:(?:[ -](?:upon|on|am|an der|ob der|de|del|de la|de los))?[ -](?=\w{{4}}){_WORD}){{1,3}}(?=,? {_POSTCODE}|[,;.)\]\r\n]|$)|{_WORD})"
+)
 _ROAD = (
     r"(?:Street|St\.?|Avenue|Ave\.?|Court|Ct\.?|Lane|Ln\.?|Road|Rd\.?|Square|Sq\.?|Terrace|Drive|Dr\.|Close|Row|Hill|Way|Gardens|"
     r"Crescent|Walk|Mews|Green|Boulevard|Blvd\.?|Parade|Grove|Quay)"
@@ -87,6 +102,7 @@ NO_SURNAME = frozenset(
         "play please ps rehearsal rehearsals reply return second see send she shelf sheet short so some tel text thanks they to token "
         "transcribed version we what when who why with write you your auf aus ab am an bei bis bitte damit dank dauer das der die diese dort "
         "ein eine er es für gilt hinweis ich im ist kurz man nach niemand nr op sie signatur takt und unter von vor wir zu zum übertragen "
+        "waltz sonata nocturne ballad march minuet prelude rondo fantasia serenade hymn suite variations walzer vals marcha sonate lied etude polka "
         "a al como con conviene compárese compases cuando de del desde dónde duración el ella ella en ensayamos envíe es escriba esta este "
         "gracias la las llame lo los mi más nadie no nota op para pero por pregunte pues que se según si sin su tras transcripción un una "
         "vale véase y zona major minor dur moll"
@@ -97,7 +113,7 @@ ALSO_WORDS = frozenset("will rob max pat mina bill bart".split())
 BEFORE = re.compile(r"(?:(?:\b(?:with|by|of|for|to|and|ask|profesora|profesor|Frau|Herrn?|Bitte|payee|und|von|an|a|de|y)|Dr\.|:|\(c\)|[>.!?*\])-]) ?|[\n\r\t]|^)$")
 #: Words whose own preposition stands before a name.
 OF = re.compile(r"\b(?:Transcripción|transcripción|Übertragen|übertragen|Arreglo|arreglo|Copia|copia|Bearbeitung|Kopie|Edición|edición) $")
-_GIVENS = frozenset(GIVEN) | frozenset(NICKNAMES)
+_GIVENS = frozenset(GIVEN) | frozenset(NICKNAMES) | COMMON
 _LETTER = r"[^\W\d_]"
 _SURNAME = rf"{_LETTER}(?:{_LETTER}|['’](?={_LETTER}))*(?:-{_LETTER}(?:{_LETTER}|['’](?={_LETTER}))*)*"
 _PARTS = "(?:(?:" + "|".join(sorted(PARTICLES, key=len, reverse=True)) + ") )*"
@@ -111,24 +127,30 @@ NAME = re.compile(
     rf"|(?P<jlast>{_PARTS}{_SURNAME}), (?P<jinitials>{_LETTER}\.(?: ?{_LETTER}\.)*)"
     rf")(?![\w@])"
 )
-#: Words after which a person is named, whatever the given name.
-CUE = re.compile(
-    r"(?:Transcribed by|typeset by|bowings of|lesson plan for|page turner,|Reply to|Please ask|According to|Thanks to|belonged to|rehearse again with|"
-    r"pencil are by|Dank an|Pregunte a|Gracias a|Transcripción de|Übertragen von|<encoder>|payee:?|\(c\)|Bitte) (?:(?:Dr|Mr|Mrs|Ms|Prof|Sr|Sra)\. |Frau |Herrn? |la profesora |el profesor )?"
-    rf"(?P<name>{_WORD} (?:{_WORD} |[A-Z]\. ?)*(?:(?:von|van|der|de|la|del) )*{_WORD}(?: {_WORD})?)"
+#: Forms of address; a person is named after them, whatever the given name.
+ADDRESSED = re.compile(
+    r"(?:\b(?:Dr|Mr|Mrs|Ms|Prof|Rev|Sr|Sra|Srta)\. |\b(?:Miss|Sir|Dame|Frau|Herrn?|Se[ñn]ora?|Do[ñn]a|Don|Madame|Monsieur|Maestr[oa]|profesora?|Professor(?:in)?) )"
+    rf"(?P<name>{_WORD} (?:{_WORD} |[A-Z]\. ?)*(?:(?:von|van|der|de|la|del|di|da|du|zu) )*{_WORD}(?: {_WORD})?)"
 )
+_NAME_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+
+
+class _Folding(dict):
+    """One plain lower-case character for each, so positions stay."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        base = c.lower() if c < "\x80" else unicodedata.normalize("NFD", c)[0].lower()
+        self[code] = base if len(base) == 1 else c
+        return self[code]
+
+
+_FOLDING = _Folding()
 
 
 def folded(text: str) -> str:
-    """Lower case without accents, of the same length, so positions stay."""
-    out = []
-    for c in text:
-        if c < "\x80":
-            out.append(c.lower())
-            continue
-        base = unicodedata.normalize("NFD", c)[0].lower()
-        out.append(base if len(base) == 1 else c)
-    return "".join(out)
+    """Lower case without accents, of the same length."""
+    return text.translate(_FOLDING)
 
 
 def _shape(word: str) -> str:
@@ -177,15 +199,31 @@ def _named(text: str, low: str, m: re.Match) -> tuple[int, int] | None:
     return m.start(), m.end()
 
 
+def name_starts(low: str) -> list[int]:
+    """Where a name may begin: at a given name or initial, or at the surname in front of ", given"."""
+    starts: set[int] = set()
+    words: list[tuple[int, int, str]] = []
+    for m in _NAME_WORD.finditer(low):
+        begin, stop, word = m.start(), m.end(), m.group()
+        if word in _GIVENS or (stop - begin == 1 and low[stop : stop + 1] == "."):
+            starts.add(begin)
+            if words and words[-1][1] == begin - 2 and low[begin - 2 : begin] == ", ":
+                k = len(words) - 1
+                starts.add(words[k][0])
+                while k and words[k - 1][2] in PARTICLES and words[k - 1][1] == words[k][0] - 1 and low[words[k][0] - 1] == " ":
+                    k -= 1
+                    starts.add(words[k][0])
+        words.append((begin, stop, word))
+    return sorted(starts)
+
+
 def names(text: str) -> list[tuple[int, int]]:
     low = folded(text)
     out, at = [], 0
-    while m := NAME.search(low, at):
-        span = _named(text, low, m)
+    for start in name_starts(low):
+        m = NAME.match(low, start) if start >= at else None
+        span = _named(text, low, m) if m else None
         if span is None:
-            # the next word may begin a name
-            step = re.compile(r"\W").search(low, m.start() + 1)
-            at = step.start() if step else len(low)
             continue
         if m.group("rgiven"):
             # "Place, Given Surname": the given name belongs to what follows
@@ -200,46 +238,64 @@ def names(text: str) -> list[tuple[int, int]]:
         out.append(span)
         at = span[1]
     taken = out[:]
-    for m in CUE.finditer(text):
+    for m in ADDRESSED.finditer(text):
         s, e = m.span("name")
-        words = text[s:e].split()
-        if not any(s < b and a < e for a, b in taken) and len(words) <= 5 and not {folded(w.strip(".,")) for w in words} & NO_SURNAME:
+        words = {folded(w.strip(".,")) for w in text[s:e].split()}
+        if not any(s < b and a < e for a, b in taken) and not words & NO_SURNAME:
             out.append((s, e))
     return sorted(out)
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Mail addresses, looked for around their signs only."""
+    end = 0
+    for sign in AT_SIGN.finditer(text):
+        start = sign.start()
+        while start > end and (text[start - 1].isalnum() or text[start - 1] in "_.+%-"):
+            start -= 1
+        while start < sign.start() and text[start] == "%":
+            start += 1
+        m = EMAIL.match(text, start) if start < sign.start() else None
+        if m:
+            yield m.span()
+            end = m.end()
+
+
 def phone_end(text: str) -> int:
     """Length of the match that a number of its country can have."""
-    code = re.match(r"(?:\+|00)(1(?!\d)|1(?=\d{3})|44|49|34)", text)
-    if not code:
+    plain = re.sub(r"^(?:\+|00)", "", text)
+    if len(plain) == len(text):
         return len(text)
-    most, seen = COUNTRY_DIGITS[code.group(1)], 0
-    start = 2 if text.startswith("00") else 0
-    for i, c in enumerate(text):
-        if i < start:
-            continue
+    code = next((plain[:n] for n in (3, 2) if plain[:n] in COUNTRY_DIGITS), "1" if plain.startswith("1") else "")
+    most, seen = COUNTRY_DIGITS.get(code, MOST_DIGITS), 0
+    for i in range(len(text) - len(plain) if text.startswith("00") else 0, len(text)):
         if text[i : i + 3] == "(0)":
             seen -= 1
-        if c.isdigit():
+        if text[i].isdigit():
             seen += 1
             if seen > most:
                 return len(text[:i].rstrip(" \u00a0./-("))
     return len(text)
 
 
-def find(text: str) -> list[tuple[str, int, int]]:
-    """Disjoint ``(kind, start, stop)`` of one text; where kinds meet, the earlier kind of KINDS has it."""
+def find(text: str, dates: bool = False) -> list[tuple[str, int, int]]:
+    """Disjoint ``(kind, start, stop)`` of one text; where kinds meet, the earlier kind of KINDS has it.
+
+    Dates are only looked for if asked, after all other kinds.
+    """
     spans: list[tuple[str, int, int]] = []
 
     def add(kind: str, start: int, stop: int) -> None:
         if not any(start < b and a < stop for _, a, b in spans):
             spans.append((kind, start, stop))
 
-    if "@" in text or " at " in text.lower() or re.search(r"[\[({] ?(?:at|arroba)|arroba|klammeraffe", text, re.I):
-        for m in EMAIL.finditer(text):
-            add("email", *m.span())
+    for start, stop in emails(text):
+        add("email", start, stop)
     for m in ID_NUMBER.finditer(text):
         add("id_number", *m.span())
+    for m in BARE_NUMBER.finditer(text):
+        if SAYS_IDENTITY.search(text, max(0, m.start() - 48), m.start()):
+            add("id_number", *m.span())
     for m in ADDRESS.finditer(text):
         add("address", *m.span())
     for m in PHONE.finditer(text):
@@ -249,9 +305,16 @@ def find(text: str) -> list[tuple[str, int, int]]:
             add("phone", m.start(), stop)
     for start, stop in names(text):
         add("person_name", start, stop)
+    if dates:
+        for m in DATE.finditer(text):
+            if day_number(m.group()) is not None:
+                add("date", *m.span())
     return sorted(spans, key=lambda s: s[1])
 
 
+DATE = re.compile(r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)")
+
+
 def _round(key: bytes, width: int, i: int, half: str) -> int:
     digest = hmac.new(key, f"{width}|{i}|{half}".encode(), hashlib.sha256).digest()
     return int.from_bytes(digest[:16], "big")
@@ -275,79 +338,188 @@ def permute_digits(digits: str, key: bytes, undo: bool = False) -> str:
     return left + right
 
 
+def permute_below(x: int, size: int, key: bytes, undo: bool = False, like: Callable[[int], object] = lambda x: None) -> int:
+    """A keyed permutation of [0, size) that keeps the class ``like`` of a value, by cycle walking."""
+    width, mine = len(str(size - 1)), like(x)
+    while True:
+        x = int(permute_digits(f"{x:0{width}d}", key, undo))
+        if x < size and like(x) == mine:
+            return x
+
+
 def permute_number(value: str, key: bytes, undo: bool = False) -> str:
     """Digits permuted, everything else in place; a country code and a trunk zero stay."""
     keep = re.match(r"\+\d{1,3}|00\d{2}|0", value)
     at = keep.end() if keep and len(value) > keep.end() + 4 else 0
     digits = "".join(c for c in value[at:] if c.isdigit())
-    fresh = iter(permute_digits(digits, key, undo)) if digits else iter("")
-    return value[:at] + "".join(next(fresh) if c.isdigit() else c for c in value[at:])
+    fresh = permute_digits(digits, key, undo) if digits else ""
+    return value[:at] + laid_out(value[at:], fresh)
+
+
+def laid_out(value: str, fresh: str) -> str:
+    """``value`` with its digits replaced in order."""
+    left = iter(fresh)
+    return "".join(next(left) if c.isdigit() else c for c in value)
+
+
+#: Check letters of Spanish identity numbers, by remainder of 23.
+CHECK_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+
+
+def check_digit(digits: str) -> int:
+    """Check digit of ten digits by the hybrid system modulo 11 and 10."""
+    product = 10
+    for c in digits:
+        product = ((int(c) + product) % 10 or 10) * 2 % 11
+    return (11 - product) % 10
+
+
+def social_class(x: int) -> bool:
+    """Whether nine digits can be a social security number: no area 000, 666 or from 900, no group 00, no serial 0000."""
+    area, group, serial = x // 1_000_000, x // 10_000 % 100, x % 10_000
+    return area not in (0, 666) and area < 900 and group > 0 and serial > 0
+
+
+def read_identity(value: str) -> tuple[str, bool | None]:
+    """``(format, valid)`` of an identity number; None where a format has nothing to check."""
+    plain = re.sub(r"[\W_]", "", value).upper()
+    if re.fullmatch(r"\d{8}[A-Z]|[XYZ]\d{7}[A-Z]", plain):
+        number = plain[:-1].translate(str.maketrans("XYZ", "012"))
+        return ("foreigner" if plain[0] in "XYZ" else "national"), CHECK_LETTERS[int(number) % 23] == plain[-1]
+    if re.fullmatch(r"\d{11}", plain):
+        return "tax", plain[0] != "0" and check_digit(plain[:10]) == int(plain[10])
+    if re.fullmatch(r"\d{9}", plain):
+        return "social", social_class(int(plain))
+    return "other", None
+
+
+def permute_identity(value: str, key: bytes, undo: bool = False) -> str:
+    """An identity number permuted within its format, valid ones among the valid and others among the others."""
+    kind, _ = read_identity(value)
+    if kind == "other":
+        digits = "".join(c for c in value if c.isdigit())
+        return laid_out(value, permute_digits(digits, key, undo) if digits else "")
+    if kind == "social":
+        digits = "".join(c for c in value if c.isdigit())
+        return laid_out(value, f"{permute_below(int(digits), 10**9, key, undo, social_class):09d}")
+    if kind == "tax":
+        digits = "".join(c for c in value if c.isdigit())
+        slip = (int(digits[10]) - check_digit(digits[:10])) % 10  # 0 if valid
+        fresh = f"{permute_below(int(digits[:10]), 10**10, key, undo, lambda x: x < 10**9):010d}"
+        return laid_out(value, fresh + str((check_digit(fresh) + slip) % 10))
+    # a check letter: moved by as much as it was off, so only valid numbers give valid ones
+    places = [i for i, c in enumerate(value) if c.isalnum()]
+    plain = "".join(value[i] for i in places).upper()
+    number = int(plain[:-1].translate(str.maketrans("XYZ", "012")))
+    known = plain[-1] in CHECK_LETTERS
+    slip = (CHECK_LETTERS.index(plain[-1]) - number) % 23 if known else 0
+    fresh = permute_below(number, 3 * 10**7 if kind == "foreigner" else 10**8, key, undo)
+    body = "XYZ"[fresh // 10**7] + f"{fresh % 10**7:07d}" if kind == "foreigner" else f"{fresh:08d}"
+    letters = body + (CHECK_LETTERS[(fresh + slip) % 23] if known else plain[-1])
+    out = list(value)
+    for i, c in zip(places, letters):
+        out[i] = c
+    return "".join(out)
 
 
-def permute_date(value: str, key: bytes, undo: bool = False) -> str:
-    """A date of 1900-2099 permuted among such dates, its layout kept (cycle walking)."""
+FIRST_DAY, DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
+
+
+def day_number(value: str) -> int | None:
+    """Days since 1900 of a date written as 1984-02-29 or 29.02.1984; None if there is no such day up to 2099."""
     m = re.fullmatch(r"(\d{4})-(\d{2})-(\d{2})|(\d{2})\.(\d{2})\.(\d{4})", value)
-    first, last = pd.Timestamp("1900-01-01").toordinal(), pd.Timestamp("2099-12-31").toordinal()
     if not m:
-        return value
+        return None
     y, mo, d = (m.group(1), m.group(2), m.group(3)) if m.group(1) else (m.group(6), m.group(5), m.group(4))
     try:
-        x = pd.Timestamp(int(y), int(mo), int(d)).toordinal() - first
+        x = date(int(y), int(mo), int(d)).toordinal() - FIRST_DAY
     except ValueError:
-        return value
-    if not 0 <= x <= last - first:
-        return value
-    while True:
-        x = int(permute_digits(f"{x:05d}", key, undo))
-        if x <= last - first:
-            break
-    day = pd.Timestamp.fromordinal(x + first)
-    return day.strftime("%Y-%m-%d" if m.group(1) else "%d.%m.%Y")
+        return None
+    return x if 0 <= x < DAYS else None
 
 
-def placeholder(kind: str, value: str, key: bytes) -> str:
-    if kind in ("phone", "id_number"):
-        plain = re.sub(r"[^\dA-Za-z+]", "", value).upper() if kind == "id_number" else value
-        return f"<{kind.upper()} {permute_number(plain, key)}>"
+def permute_date(value: str, key: bytes, undo: bool = False) -> str:
+    """A date of 1900-2099 permuted among such dates, its layout kept; anything else as it stands."""
+    x = day_number(value)
+    if x is None:
+        return value
+    day = date.fromordinal(permute_below(x, DAYS, key, undo) + FIRST_DAY)
+    return day.strftime("%Y-%m-%d" if value[4] == "-" else "%d.%m.%Y")
+
+
+def placeholder(kind: str, value: str, key: bytes) -> tuple[str, bool | None]:
+    """The typed placeholder of a value, and whether the value is valid in its format (None: nothing to check)."""
+    if kind == "id_number":
+        plain = re.sub(r"[^\dA-Za-z]", "", value).upper()
+        return f"<ID_NUMBER {permute_identity(plain, key)}>", read_identity(plain)[1]
+    if kind == "phone":
+        digits = sum(c.isdigit() for c in value)
+        return f"<PHONE {permute_number(value, key)}>", 7 <= digits <= MOST_DIGITS + 2
+    if kind == "date":
+        return f"<DATE {permute_date(value, key)}>", True
     same = " ".join(folded(value).split())
-    return f"<{kind.upper()} {hmac.new(key, same.encode(), hashlib.sha256).hexdigest()[:8]}>"
+    return f"<{kind.upper()} {hmac.new(key, same.encode(), hashlib.sha256).hexdigest()[:8]}>", None
+
+
+def replaced(text: str, key: bytes, dates: bool = False) -> list[tuple[str, int, int, str, bool | None]]:
+    """``(kind, start, stop, placeholder, valid)`` of every place of one text."""
+    return [(kind, start, stop, *placeholder(kind, text[start:stop], key)) for kind, start, stop in find(text, dates)]
 
 
-def redact(text: str, key: bytes) -> str:
+def redact(text: str, key: bytes, dates: bool = False) -> str:
     """The text with a typed placeholder in every place; everything else as it stands."""
+    return _put(text, replaced(text, key, dates))
+
+
+def _put(text: str, places: list[tuple[str, int, int, str, bool | None]]) -> str:
     out, at = [], 0
-    for kind, start, stop in find(text):
-        out += [text[at:start], placeholder(kind, text[start:stop], key)]
+    for _, start, stop, instead, _ in places:
+        out += [text[at:start], instead]
         at = stop
     return "".join(out) + text[at:]
 
 
-def found(documents: DataFrame) -> DataFrame:
-    """``(doc_id, kind, start_char, stop_char)`` of every place; characters are code points from 0.
+def places(documents: DataFrame, key: str, dates: bool = False) -> DataFrame:
+    """``(doc_id, kind, start_char, stop_char, placeholder, valid)`` of every place, each with its pseudonym.
 
-    Null and empty texts hold nothing. Whole texts are read, whatever their length.
+    Characters are code points from 0. Null and empty texts hold nothing. Whole texts are read,
+    whatever their length. ``key`` is the secret of the pseudonyms; with the same key equal values
+    stay linked. ``valid`` tells if a number is valid in its format, null where there is nothing to check.
+    A document delivered twice is read once.
     """
+    secret = key.encode()
+    if not secret:
+        raise ValueError("a key is needed")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(doc, *span) for doc, text in zip(batch["doc_id"], batch["text"]) for span in find(text)]
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "start_char", "stop_char"])
+            rows = [(doc, *place) for doc, text in zip(batch["doc_id"], batch["text"]) for place in replaced(text, secret, dates)]
+            yield pd.DataFrame(rows, columns=["doc_id", "kind", "start_char", "stop_char", "placeholder", "valid"])
 
     texts = documents.where("doc_id is not null and text <> ''").select("doc_id", "text")
-    return texts.mapInPandas(scan, "doc_id bigint, kind string, start_char int, stop_char int").distinct()
+    return texts.mapInPandas(scan, "doc_id bigint, kind string, start_char int, stop_char int, placeholder string, valid boolean")
+
+
+def found(documents: DataFrame, key: str) -> DataFrame:
+    """``(doc_id, kind, start_char, stop_char)`` of every place that :func:`places` replaces."""
+    once = documents.select("doc_id", "text").where("doc_id is not null and text <> ''").dropDuplicates(["doc_id", "text"])
+    return places(once, key).select("doc_id", "kind", "start_char", "stop_char")
 
 
-def redacted(documents: DataFrame, key: str = "example key, set your own") -> DataFrame:
+def redacted(documents: DataFrame, key: str, dates: bool = False) -> DataFrame:
     """``(doc_id, text, n_places)``: every document; a null text stays null.
 
-    ``key`` is the secret of the pseudonyms; with the same key equal values stay linked.
+    ``key`` is the secret of the pseudonyms; with the same key equal values stay linked. With
+    ``dates`` calendar dates are replaced too.
     """
     secret = key.encode()
+    if not secret:
+        raise ValueError("a key is needed")
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            text = [None if t is None else redact(t, secret) for t in batch["text"]]
-            n = [0 if t is None else len(find(t)) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": text, "n_places": n})
+            made = [None if t is None else replaced(t, secret, dates) for t in batch["text"]]
+            text = [None if t is None else _put(t, m) for t, m in zip(batch["text"], made)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": text, "n_places": [len(m or ()) for m in made]})
 
     return documents.select("doc_id", "text").mapInPandas(clean, "doc_id bigint, text string, n_places int")
