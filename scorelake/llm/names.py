@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 
 #: Given names with the nicknames in common use for them (accents folded).
 GIVEN = {
@@ -83,19 +84,69 @@ def edit_distance(a: str, b: str, limit: int | None = None) -> int:
     return found if limit is None or found <= limit else limit + 1
 
 
-def known_given(token: str) -> str | None:
-    """The given name (or nickname) a folded token spells, allowing one typo; None if none or unsure."""
-    if token in GIVEN or token in NICKNAMES:
-        return token
-    if len(token) < 4:
+def without_letters(word: str, most: int) -> set[str]:
+    """The word and what is left of it after deleting up to ``most`` letters."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+class Fuzzy:
+    """Looks words up allowing for typos.
+
+    Words within distance k share what is left after at most k deletions each, so a look-up meets
+    only words that share such a rest and checks these by the metric.
+    """
+
+    def __init__(self, words: Iterable[str], least: int = 4, long: int = 7, shortest: int = 4) -> None:
+        """Words of fewer than ``least`` letters and tokens of fewer than ``shortest`` are matched as they stand only; words from ``long`` letters on within two edits."""
+        self.words, self.least, self.long, self.shortest = frozenset(words), least, long, shortest
+        self.rests: dict[str, set[str]] = {}
+        for w in self.words:
+            if len(w) >= least:
+                for rest in without_letters(w, 2 if len(w) >= long else 1):
+                    self.rests.setdefault(rest, set()).add(w)
+        self.seen: dict[str, list[tuple[int, str]]] = {}
+
+    def near(self, token: str) -> list[tuple[int, str]]:
+        """``(distance, word)`` of the words a token may be a typo of, nearest first."""
+        if token in self.words:
+            return [(0, token)]
+        if len(token) < self.shortest or len(token) > 64:
+            return []
+        if token not in self.seen:
+            found = set().union(*(self.rests.get(r, ()) for r in without_letters(token, 2)))
+            out = []
+            for w in found:
+                limit = 2 if len(w) >= self.long and len(token) > 4 else 1
+                if (d := edit_distance(token, w, limit)) <= limit:
+                    out.append((d, w))
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            self.seen[token] = sorted(out)
+        return self.seen[token]
+
+
+class Lexicon:
+    """Given names and nicknames; by default those above, else of a small table ``(given, nickname)``."""
+
+    def __init__(self, rows: Iterable[tuple[str, str | None]] | None = None) -> None:
+        pairs = [(g, n) for g, ns in GIVEN.items() for n in ns.split() or [None]] if rows is None else [(fold(g), n and fold(n)) for g, n in rows if g]
+        self.given = frozenset(g for g, _ in pairs)
+        self.nicknames: dict[str, frozenset[str]] = {}
+        for g, n in pairs:
+            if n:
+                self.nicknames[n] = self.nicknames.get(n, frozenset()) | {g}
+        self.fuzzy = Fuzzy(self.given), Fuzzy(self.nicknames)
+
+    def known(self, token: str) -> str | None:
+        """The given name (or nickname) a folded token spells, allowing for typos; None if none or unsure."""
+        if token in self.given or token in self.nicknames:
+            return token
+        for fuzzy in self.fuzzy:  # a full name before a nickname
+            near = [(d, w) for d, w in fuzzy.near(token) if d < 2 or len(token) > 5]
+            if near:
+                return near[0][1] if len(near) == 1 or near[1][0] > near[0][0] else None
         return None
-    for names in (GIVEN, NICKNAMES):  # a full name before a nickname
-        near = []
-        for name in names:
-            limit = 2 if len(name) > 6 and len(token) > 5 else 1
-            if len(name) > 3 and (d := edit_distance(token, name, limit)) <= limit:
-                near.append((d, name))
-        near.sort()
-        if near:
-            return near[0][1] if len(near) == 1 or near[1][0] > near[0][0] else None
-    return None

@@ -1,26 +1,27 @@
 """Problem 5: variant spellings of names typed by people.
 
 Spellings are first read into parts (given name and surname, kind and place of an ensemble,
-form, number and core of a title). Cores are joined by a metric-space partition: a block's
-pivots get the strings nearest to them, a string is replicated to every cell it is within
-twice the radius of (triangle inequality), and each cell runs an exact radius join in chunks of
-bounded size. Levenshtein distance, a metric, drives the partition with twice the radius, as it
-is at most twice the Damerau-Levenshtein distance that decides. Linked parts form entities by
-connected components.
+form, number and core of a title). Cores are joined in a metric space: unrestricted
+Damerau-Levenshtein distance between cores, no finite distance between different tags (a title's
+form and number, an ensemble's kind words; people have one tag). Pivots are drawn from every tag,
+each string goes to the cell of its nearest pivot and is replicated to every earlier cell whose
+pivot is at most twice the radius farther (triangle inequality), large cells are partitioned
+again, and each cell runs an exact radius join in chunks of bounded size. Linked parts form
+entities by connected components.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.names import GIVEN, NICKNAMES, PARTICLES, edit_distance, fold, known_given
+from scorelake.llm.common import merged
+from scorelake.llm.names import PARTICLES, Fuzzy, Lexicon, fold
 from scorelake.operators.components import connected_components
 from scorelake.session import cut_lineage
 
@@ -57,9 +58,11 @@ ARRANGED = frozenset(
 TAIL = re.compile(r"\s*(?:\(([^()]*)\)|\[([^\[\]]*)\]|\s[-–—]\s*([^-–—]*))\s*$")
 
 
-@lru_cache(maxsize=200_000)
+_ARRANGED, _FORMS, _ENSEMBLE = Fuzzy(ARRANGED, long=99, shortest=3), Fuzzy(FORM_OF), Fuzzy(ENSEMBLE, long=99)
+
+
 def arranged(word: str) -> bool:
-    return word in ARRANGED or (len(word) > 2 and any(len(w) > 3 and edit_distance(word, w, 1) <= 1 for w in ARRANGED))
+    return bool(_ARRANGED.near(word))
 
 
 def without_arrangement(text: str) -> str:
@@ -69,46 +72,30 @@ def without_arrangement(text: str) -> str:
     return text[: tail.start()] if words and all(map(arranged, words)) else text
 
 
-@lru_cache(maxsize=200_000)
 def form_of(word: str) -> str | None:
     """The form a folded word names, allowing for one typo, or two in forms of seven letters or more."""
-    if word in FORM_OF:
-        return FORM_OF[word]
-    if len(word) < 4:
-        return None
-    near = []
-    for w, f in FORM_OF.items():
-        limit = 2 if len(w) > 6 and len(word) > 4 else 1
-        if len(w) > 3 and (d := edit_distance(word, w, limit)) <= limit:
-            near.append((d, f))
-    near.sort()
+    near = [(d, FORM_OF[w]) for d, w in _FORMS.near(word)]
     return near[0][1] if near and all(f == near[0][1] for d, f in near if d == near[0][0]) else None
 
 
-@lru_cache(maxsize=200_000)
+_SHORT_STOP = Fuzzy(("the", "of", "at"), least=1, long=99, shortest=1)
+
+
 def stop_word(word: str) -> bool:
     """A word of no weight in a title, also with one typo in the commonest ones."""
     if word in STOP or word in ("thhe", "thee", "tthe"):
         return True
-    return len(word) <= 3 and any(edit_distance(word, w, 1) <= 1 for w in ("the", "of", "at"))
+    return len(word) <= 3 and bool(_SHORT_STOP.near(word))
 
 
-@lru_cache(maxsize=200_000)
 def ensemble_word(word: str) -> str | None:
-    if word in ENSEMBLE:
-        return word
     if word in SHORT:
         return SHORT[word]
-    if len(word) < 4:
-        return None
-    near = [w for w in ENSEMBLE if abs(len(w) - len(word)) <= 1 and edit_distance(word, w, 1) <= 1]
-    return near[0] if len(near) == 1 else None
-
+    near = _ENSEMBLE.near(word)
+    return near[0][1] if len(near) == 1 else None
 
-given_of = lru_cache(maxsize=200_000)(known_given)
 
-
-def read_composer(name: str) -> tuple[str, str, str, str] | None:
+def read_composer(name: str, lexicon: Lexicon) -> tuple[str, str, str, str] | None:
     """``(kind, rest, core, '')`` of a composer's spelling, or None for a placeholder.
 
     kind ``org``: rest is the sorted kind words, core the place. kind ``full``: rest is the given
@@ -134,21 +121,24 @@ def read_composer(name: str) -> tuple[str, str, str, str] | None:
         dotted = {w.rstrip(".") for w in parts[1] if w.endswith(".")}
     else:
         dotted = {w.rstrip(".") for p in parts for w in p if w.endswith(".")}
-        if len(words) >= 2 and given_of(words[-1]) in GIVEN and given_of(words[0]) is None and len(words[0]) > 2 and words[0] not in dotted:
+        if len(words) >= 2 and lexicon.known(words[-1]) in lexicon.given and lexicon.known(words[0]) is None and len(words[0]) > 2 and words[0] not in dotted:
             words = words[-1:] + words[:-1]  # surname first
     if len(words) == 1:
         return "part", "", words[0], ""
     given, rest = words[0], words[1:]
-    while len(rest) > 1 and (len(rest[0]) == 1 or (given_of(rest[0]) and rest[0] not in PARTICLES and len(rest) > 1 and rest[0] in GIVEN)):
+    while len(rest) > 1 and (len(rest[0]) == 1 or (rest[0] not in PARTICLES and rest[0] in lexicon.given)):
         rest = rest[1:]  # middle names and initials
     surname = " ".join(rest)
     if len(given) == 1 or given in dotted:
         return "part", given, surname, ""
-    return "full", given_of(given) or given, surname, ""
+    return "full", lexicon.known(given) or given, surname, ""
 
 
 def read_title(title: str) -> tuple[str, str, str, str] | None:
-    """``('title', form, core, number)`` of a title's spelling, or None if it names no work."""
+    """``('title', form, core, number)`` of a title's spelling, or None if it names no work.
+
+    If no form can be read, a first word followed by "of" is taken for one (kind ``unread``).
+    """
     text = fold(title).replace("_", " ")
     text = without_arrangement(text)
     text = re.sub(r"\bst\.(?=\s|$)", "street", text)
@@ -168,41 +158,53 @@ def read_title(title: str) -> tuple[str, str, str, str] | None:
     if at is None:
         at = next((i for i in order if form_of(words[i])), -1)
     form = form_of(words[at]) if at >= 0 else ""
+    kind = "title"
+    if at < 0 and len(words) > 2 and words[1] == "of":
+        kind, at = "unread", 0
     kept = [w for i, w in enumerate(words) if i != at and not stop_word(w)]
     if all(w in KEY_WORDS or w in PLACEHOLDERS or w.isdigit() for w in kept):
         return None
-    return "title", form, " ".join(kept), number
-
-
-def levenshtein_many(pattern: str, texts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Levenshtein distances of one string to many (code matrix), a column of the table at a time."""
-    n, width = texts.shape
-    codes = [ord(c) for c in pattern]
-    previous = np.tile(np.arange(width + 1, dtype=np.int16), (n, 1))
-    steps = np.arange(width + 1, dtype=np.int16)
-    for i, code in enumerate(codes, 1):
-        base = np.empty_like(previous)
-        base[:, 0] = i
-        base[:, 1:] = np.minimum(previous[:, 1:] + 1, previous[:, :-1] + (texts != code))
-        # insertions run along the row: a prefix minimum of value minus position
-        previous = np.minimum.accumulate(base - steps, axis=1) + steps
-    return previous[np.arange(n), lengths]
+    return kind, form, " ".join(kept), number
 
 
 def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter((len(s) for s in strings), dtype=np.int64, count=len(strings))
     codes = np.zeros((len(strings), int(lengths.max(initial=1))), dtype=np.int32)
     for i, s in enumerate(strings):
-        codes[i, : len(s)] = [ord(c) for c in s]
+        codes[i, : len(s)] = np.frombuffer(s.encode("utf-32-le"), dtype=np.int32)
     return codes, lengths
 
 
+def distances(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_len: np.ndarray) -> np.ndarray:
+    """Unrestricted Damerau-Levenshtein distances of many pairs of code rows at once, a row of all tables at a time."""
+    n, width = b.shape
+    far = a.shape[1] + width
+    pair = np.arange(n)[:, None]
+    columns = np.arange(width + 1, dtype=np.int32)
+    # table[i + 1][:, j + 1] is the distance of the first i and j letters; row and column 0 are out of reach
+    table = np.full((a.shape[1] + 2, n, width + 2), far, dtype=np.int32)
+    table[1, :, 1:] = columns
+    last_row = np.zeros((n, width), dtype=np.int64)
+    for i in range(1, a.shape[1] + 1):
+        match = b == a[:, i - 1 : i]
+        seen = np.where(match, columns[1:], 0)
+        last_column = np.maximum.accumulate(np.c_[np.zeros((n, 1), np.int64), seen[:, :-1]], axis=1)
+        above = table[i]
+        value = np.minimum(above[:, 1:-1] + ~match, above[:, 2:] + 1)
+        swapped = table[last_row, pair, last_column] + (i - last_row - 1) + 1 + (columns[:-1] - last_column)
+        value = np.minimum(value, swapped)
+        # insertions run along the row: a prefix minimum of value minus position
+        row = np.c_[np.full((n, 1), i), value] - columns
+        table[i + 1, :, 1:] = np.minimum.accumulate(row, axis=1) + columns
+        last_row = np.where(match, i, last_row)
+    return table[a_len + 1, np.arange(n), b_len + 1]
+
+
 def letter_counts(strings: list[str]) -> np.ndarray:
-    out = np.zeros((32, len(strings)), dtype=np.int16)
-    for i, s in enumerate(strings):
-        for c in s:
-            out[ord(c) & 31, i] += 1
-    return out
+    codes, lengths = encode(strings)
+    inside = np.arange(codes.shape[1]) < lengths[:, None]
+    cell = (codes & 31) * len(strings) + np.arange(len(strings))[:, None]
+    return np.bincount(cell[inside], minlength=32 * len(strings)).reshape(32, len(strings)).astype(np.int16)
 
 
 def close_pairs(left: list[str], right: list[str], radius: int, same: bool = False) -> list[tuple[str, str, int]]:
@@ -221,188 +223,207 @@ def close_pairs(left: list[str], right: list[str], radius: int, same: bool = Fal
             d = a[c][:, None] - b[c][None, :]
             net += d
             gap += np.abs(d)
-    bound = (gap + np.abs(net)) // 2
-    near = bound <= radius
+    near = (gap + np.abs(net)) // 2 <= radius
     if same:
         near = np.triu(near, 1)
-    out = []
-    for i, j in zip(*np.nonzero(near)):
-        x, y = left[i], right[j]
-        if x != y and (d := edit_distance(x, y, radius)) <= radius:
-            out.append((x, y, d))
+    (i, j), out = np.nonzero(near), []
+    (ca, la), (cb, lb) = encode(left), encode(right)
+    for at in range(0, len(i), 20_000):
+        x, y = i[at : at + 20_000], j[at : at + 20_000]
+        d = distances(ca[x], la[x], cb[y], lb[y])
+        out += [(left[p], right[q], int(e)) for p, q, e in zip(x, y, d) if e <= radius and left[p] != right[q]]
     return out
 
 
-def metric_join(strings: DataFrame, radius: int, cell: int = 1024, most_pivots: int = 64) -> DataFrame:
-    """All pairs ``(block, a, b, distance)`` with a < b of one block within Damerau-Levenshtein ``radius``.
+def metric_join(strings: DataFrame, radius: int, cell: int = 512, fan_out: int = 64, shrink: int = 4, most_levels: int = 6) -> DataFrame:
+    """All pairs ``(tag, a, b, distance)`` with a < b of one tag within Damerau-Levenshtein ``radius``.
 
-    ``strings`` has ``(block, s)``, distinct. Every pair is found: if x and y are within the radius,
-    each lies within twice that of the other's home cell, and the one with the later home is
-    replicated to the earlier. A cell of any size is compared in chunks of strings of one length,
-    each pair of chunks with lengths within the radius a row of its own, so no task meets a whole
-    hot cell.
+    ``strings`` has ``(tag, s)``, distinct. Every pair is found: if x and y are within the radius,
+    the pivot nearest to one is at most twice the radius farther from the other than that one's own
+    nearest, and the one whose home is later is replicated to the earlier home. A cell of more than
+    ``cell`` strings gets about one pivot for each ``cell`` of them, at most ``fan_out`` a level, and
+    cells that are still large are partitioned again where a level left at most one in ``shrink``. What is left of any
+    size is compared in chunks of strings of one length, each pair of chunks with lengths within the
+    radius a row of its own, so no task meets a whole hot cell.
     """
-    reach = 4 * radius  # twice the radius in Levenshtein distance, which is at most doubled
-    sizes = strings.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    k = F.least(F.ceil(F.col("n") / F.lit(cell)), F.lit(most_pivots)).cast("int")
-    sized = strings.join(sizes.select("block", k.alias("k")), "block")
-    pivots = (
-        sized.groupBy("block", F.pmod(F.xxhash64("s"), F.col("k")).alias("slot"))
-        .agg(F.min_by("s", F.xxhash64("s", F.lit(1))).alias("pivot"))
-        .groupBy("block")
-        .agg(F.sort_array(F.collect_set("pivot")).alias("pivots"))
-    )
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows: list[tuple[str, int, str, bool]] = []
-            for block, part in batch.groupby("block", sort=False):
-                names = list(part["pivots"].iloc[0])
-                strings = list(part["s"])
-                if len(names) == 1:
-                    rows += [(block, 0, s, True) for s in strings]
-                    continue
-                codes, lengths = encode(strings)
-                d = np.stack([levenshtein_many(p, codes, lengths) for p in names], axis=1)
+            parts = []
+            for cell_id, part in batch.groupby("cell", sort=False):
+                names, strings = list(part["pivots"].iloc[0]), list(part["s"])
+                (codes, lengths), (p, p_len) = encode(strings), encode(names)
+                d = np.empty((len(strings), len(names)), dtype=np.int32)
+                for k in range(len(names)):
+                    for at in range(0, len(strings), 5_000):
+                        c = codes[at : at + 5_000]
+                        d[at : at + 5_000, k] = distances(np.repeat(p[k : k + 1], len(c), 0), np.repeat(p_len[k], len(c)), c, lengths[at : at + 5_000])
                 home = d.argmin(axis=1)
-                inside = (d <= d.min(axis=1)[:, None] + reach) & (np.arange(len(names)) <= home[:, None])
-                for i, c in zip(*np.nonzero(inside)):
-                    rows.append((block, int(c), strings[i], bool(c == home[i])))
-            yield pd.DataFrame(rows, columns=["block", "cell", "s", "home"])
-
-    cells = cut_lineage(
-        strings.join(pivots, "block").mapInPandas(to_cells, "block string, cell int, s string, home boolean")
-    )
-    sized = cells.withColumn("len", F.length("s"))
-    parts = sized.groupBy("block", "cell", "home", "len").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell)).cast("int").alias("parts"))
+                inside = (d <= d.min(axis=1)[:, None] + 2 * radius) & (np.arange(len(names)) <= home[:, None])
+                i, c = np.nonzero(inside)
+                parts.append(
+                    pd.DataFrame(
+                        {"tag": part["tag"].to_numpy()[i], "cell": [f"{cell_id}.{x}" for x in c], "s": [strings[x] for x in i], "homes": part["homes"].to_numpy()[i] * 2 + (c == home[i]), "parent": part["n"].to_numpy()[i]}
+                    )
+                )
+            yield pd.concat(parts) if parts else pd.DataFrame(columns=["tag", "cell", "s", "homes", "parent"])
+
+    # a bit of homes for each level, set where the string is at home; a pair is compared where one of the two is, at every level
+    rows = strings.select("tag", F.col("tag").alias("cell"), "s", F.lit(1).cast("bigint").alias("homes"), F.lit(1 << 60).cast("bigint").alias("parent"))
+    done = None
+    for level in range(most_levels):
+        sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        sized = cut_lineage(rows.join(merged(sizes), "cell"))
+        split = (F.col("n") > cell) & (F.col("n") * shrink <= F.col("parent")) if level < most_levels - 1 else F.lit(False)
+        small = sized.where(~split).select("tag", "cell", "s", "homes", F.lit((2 << level) - 1).cast("bigint").alias("all"))
+        done = small if done is None else done.unionByName(small)
+        large = sized.where(split)
+        if level == most_levels - 1 or large.isEmpty():
+            break
+        k = F.least(F.ceil(F.col("n") / F.lit(cell)), F.lit(fan_out)).cast("int")
+        pivots = (
+            large.withColumn("k", k)
+            .groupBy("cell", F.pmod(F.xxhash64("s", F.lit(level)), F.col("k")).alias("slot"))
+            .agg(F.min_by("s", F.xxhash64("s", F.lit(level + 1))).alias("pivot"))
+            .groupBy("cell")
+            .agg(F.sort_array(F.collect_set("pivot")).alias("pivots"))  # at most fan_out
+        )
+        mine = large.select("tag", "cell", "s", "homes", "n").join(merged(pivots), "cell")
+        rows = cut_lineage(mine.mapInPandas(to_cells, "tag string, cell string, s string, homes bigint, parent bigint"))
+    sized = done.withColumn("len", F.length("s"))
+    keys = ["tag", "cell", "all", "homes", "len"]
+    parts = sized.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(1024)).cast("int").alias("parts"))
     chunks = cut_lineage(
-        sized.join(parts, ["block", "cell", "home", "len"])
-        .groupBy("block", "cell", "home", "len", F.pmod(F.xxhash64("s", F.lit(2)), F.col("parts")).alias("chunk"))
+        sized.join(merged(parts), keys)
+        .groupBy(*keys, F.pmod(F.xxhash64("s", F.lit(2)), F.col("parts")).alias("chunk"))
         .agg(F.collect_list("s").alias("strings"))
     )
-    left = chunks.where("home").select("block", "cell", F.col("len").alias("l"), F.col("chunk").alias("i"), F.col("strings").alias("own"))
-    right = chunks.select("block", "cell", "home", F.col("len").alias("m"), F.col("chunk").alias("j"), F.col("strings").alias("other"))
-    once = ~F.col("home") | (F.col("l") < F.col("m")) | ((F.col("l") == F.col("m")) & (F.col("i") <= F.col("j")))
-    met = left.join(right, ["block", "cell"]).where((F.abs(F.col("l") - F.col("m")) <= radius) & once)
-    same = F.col("home") & (F.col("l") == F.col("m")) & (F.col("i") == F.col("j"))
-    met = met.select("block", "own", "other", same.alias("same")).repartition(F.col("block"), F.xxhash64("own"), F.xxhash64("other"))
+    kind = F.struct("homes", F.col("len").alias("l"), F.col("chunk").alias("i"))
+    left = chunks.select("tag", "cell", "all", kind.alias("x"), F.col("strings").alias("mine"))
+    right = chunks.select("cell", kind.alias("y"), F.col("strings").alias("other"))
+    met = left.join(merged(right), "cell").where(
+        (F.abs(F.col("x.l") - F.col("y.l")) <= radius) & (F.col("x") <= F.col("y")) & (F.col("x.homes").bitwiseOR(F.col("y.homes")) == F.col("all"))
+    )
+    met = met.select("tag", "mine", "other", (F.col("x") == F.col("y")).alias("same")).repartition(F.col("tag"), F.xxhash64("mine"), F.xxhash64("other"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (block, x, y, d)
-                for block, own, other, same in zip(batch["block"], batch["own"], batch["other"], batch["same"])
-                for x, y, d in close_pairs(list(own), list(other), radius, same)
+                (tag, x, y, d)
+                for tag, mine, other, same in zip(batch["tag"], batch["mine"], batch["other"], batch["same"])
+                for x, y, d in close_pairs(list(mine), list(other), radius, same)
             ]
-            yield pd.DataFrame(rows, columns=["block", "x", "y", "distance"])
+            yield pd.DataFrame(rows, columns=["tag", "x", "y", "distance"])
 
-    found = met.mapInPandas(compare, "block string, x string, y string, distance int")
-    return found.select("block", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance").distinct()
+    found = met.mapInPandas(compare, "tag string, x string, y string, distance int")
+    return found.select("tag", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance").distinct()
 
 
-def spellings(records: DataFrame) -> DataFrame:
-    """``(field, name, kind, rest, core, number, pieces)`` of every distinct spelling that names something.
+def spellings(records: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``(field, name, kind, rest, core, number)`` of every distinct spelling that names something.
 
-    ``pieces`` is the number of pieces that carry the spelling. Nulls, blanks and placeholders are
-    no names. The parts are read once for each distinct spelling.
+    Nulls, blanks and placeholders are no names. The parts are read once for each distinct spelling.
     """
-    one = lambda field: records.select(F.lit(field).alias("field"), F.col(field).alias("name"), "piece_id")
-    distinct = (
-        one("composer").union(one("title")).where("trim(name) <> ''").distinct()
-        .groupBy("field", "name").agg(F.count(F.lit(1)).alias("pieces"))
-    )
+    one = lambda field: records.select(F.lit(field).alias("field"), F.col(field).alias("name"))
+    distinct = one("composer").union(one("title")).where("trim(name) <> ''").distinct()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for field, name, n in zip(batch["field"], batch["name"], batch["pieces"]):
-                parts = (read_composer if field == "composer" else read_title)(name)
+            for field, name in zip(batch["field"], batch["name"]):
+                parts = read_composer(name, lexicon) if field == "composer" else read_title(name)
                 if parts and parts[2]:
-                    rows.append((field, name, *parts, n))
-            yield pd.DataFrame(rows, columns=["field", "name", "kind", "rest", "core", "number", "pieces"])
+                    rows.append((field, name, *parts))
+            yield pd.DataFrame(rows, columns=["field", "name", "kind", "rest", "core", "number"])
 
-    return distinct.mapInPandas(
-        read, "field string, name string, kind string, rest string, core string, number string, pieces bigint"
-    )
+    return distinct.mapInPandas(read, "field string, name string, kind string, rest string, core string, number string")
 
 
-def matching_given(x, y):
-    """Column: two known given names are the same, one being maybe a nickname of the other."""
-    nick = F.create_map(
-        *[v for nick, full in sorted(NICKNAMES.items()) for v in (F.lit(nick), F.array(*[F.lit(g) for g in sorted(full)]))]
-    )
+def nickname_map(lexicon: Lexicon):
+    pairs = [v for nick, full in sorted(lexicon.nicknames.items()) for v in (F.lit(nick), F.array(*[F.lit(g) for g in sorted(full)]))]
+    return F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.array(F.lit("")))
+
+
+def matching_given(x, y, lexicon: Lexicon):
+    """Column: two given names are the same, one being maybe a nickname of the other.
+
+    Names the lexicon doesn't know may differ by a letter or a swap, but two known ones not.
+    """
+    nick = nickname_map(lexicon)
     means = lambda c: F.coalesce(F.element_at(nick, c), F.array(c))
-    return F.arrays_overlap(means(x), means(y)) | F.arrays_overlap(F.array(x), means(y)) | F.arrays_overlap(F.array(y), means(x))
+    known = lambda c: c.isin(*sorted(lexicon.given | set(lexicon.nicknames)))
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    typo = (F.least(F.length(x), F.length(y)) > 3) & ((F.levenshtein(x, y) <= 1) | ((F.levenshtein(x, y) == 2) & (letters(x) == letters(y))))
+    return (
+        F.arrays_overlap(means(x), means(y)) | F.arrays_overlap(F.array(x), means(y)) | F.arrays_overlap(F.array(y), means(x))
+        | (typo & ~(known(x) & known(y)))
+    )
 
 
-def starts_given(part, given):
+def starts_given(part, given, lexicon: Lexicon):
     """Column: the letters known of a given name begin it, or begin a name it is a nickname of."""
-    nick = F.create_map(
-        *[v for nick, full in sorted(NICKNAMES.items()) for v in (F.lit(nick), F.array(*[F.lit(g) for g in sorted(full)]))]
-    )
+    nick = nickname_map(lexicon)
     return given.startswith(part) | F.coalesce(F.exists(F.element_at(nick, given), lambda g: g.startswith(part)), F.lit(False))
 
 
-def entities(records: DataFrame, radius: int = 2, rare: int = 3) -> DataFrame:
+def entities(records: DataFrame, radius: int = 2, lexicon: DataFrame | None = None) -> DataFrame:
     """``(field, name, entity)`` for every spelling that names something.
 
-    Parts at distance one are one; at distance two they are one if the rarer is carried by at most
-    ``rare`` pieces or by a quarter of the other's (two common spellings that far apart are two names). Composers need agreeing
-    given names; a spelling with a surname alone or with initials joins the one person it fits
-    best, or none if several fit equally well. Titles need equal numbers and forms.
+    Cores are one if their distance is at most the radius and a third of the shorter's letters.
+    Composers need agreeing given names; a spelling with a surname alone or with initials joins
+    the one person it fits best, or none if several fit equally well. Titles need equal numbers and
+    forms; one whose form can't be read joins the one work it fits best. ``lexicon`` is a small
+    table ``(given, nickname)`` of given names; it helps where names stand surname first without a
+    comma, where they are nicknames, and to tell a typo from another name.
     """
-    names = cut_lineage(spellings(records))
+    known = Lexicon(None if lexicon is None else [(r["given"], r["nickname"]) for r in lexicon.select("given", "nickname").collect()])
+    names = cut_lineage(spellings(records, known))
     keys = cut_lineage(
-        names.groupBy("kind", "rest", "core", "number").agg(F.sum("pieces").alias("pieces"))
-        .withColumn("key", F.concat_ws("\u0001", "kind", "rest", "core", "number"))
+        names.select("kind", "rest", "core", "number").distinct().withColumn("key", F.concat_ws("\u0001", "kind", "rest", "core", "number"))
     )
-    # blocks: a form with its number, a kind of ensemble, and for surnames either of the first two letters
-    titles = keys.where("kind = 'title'").withColumn("block", F.concat_ws("\u0001", F.lit("t"), "rest", "number"))
-    orgs = keys.where("kind = 'org'").withColumn("block", F.concat_ws("\u0001", F.lit("o"), "rest"))
-    people = keys.where("kind in ('full', 'part')").withColumn(
-        "block", F.explode(F.array_distinct(F.array(F.concat(F.lit("p\u0001"), F.substring("core", 1, 1)), F.concat(F.lit("p\u0001"), F.substring("core", 2, 1)))))
-    )
-    blocks = cut_lineage(titles.unionByName(orgs).unionByName(people).select("block", "core", "key", "kind", "rest", "pieces"))
-    near = metric_join(blocks.select("block", F.col("core").alias("s")).distinct(), radius)
-    near = near.where((F.least(F.length("a"), F.length("b")) > 5) | (F.col("distance") <= 1))
-    same = blocks.select("block", F.col("core").alias("a"), F.col("core").alias("b"), F.lit(0).alias("distance")).distinct()
-    near = cut_lineage(near.unionByName(near.select("block", F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(same))
-    x = blocks.select("block", *[F.col(c).alias(f"x_{c}") for c in ("core", "key", "kind", "rest", "pieces")])
-    y = blocks.select("block", *[F.col(c).alias(f"y_{c}") for c in ("core", "key", "kind", "rest", "pieces")])
+    # tags of the metric space; a title of unread form may stand in each of its number's
+    titles = keys.where("kind = 'title'")
+    tag = F.when(F.col("kind") == "org", F.concat_ws("\u0001", F.lit("o"), "rest")).when(F.col("kind") == "title", F.concat_ws("\u0001", F.lit("t"), "rest", "number")).otherwise("p")
+    unread = keys.where("kind = 'unread'").join(merged(titles.select(F.col("rest").alias("form"), "number").distinct()), "number")
+    unread = unread.select(F.concat_ws("\u0001", F.lit("t"), "form", "number").alias("tag"), "core", "key", "kind", "rest")
+    placed_in = cut_lineage(keys.where("kind <> 'unread'").select(tag.alias("tag"), "core", "key", "kind", "rest").unionByName(unread))
+    near = metric_join(placed_in.select("tag", F.col("core").alias("s")).distinct(), radius)
+    near = near.where(F.col("distance") * 3 <= F.least(F.length("a"), F.length("b")))
+    same = placed_in.select("tag", F.col("core").alias("a"), F.col("core").alias("b"), F.lit(0).alias("distance")).distinct()
+    near = cut_lineage(near.unionByName(near.select("tag", F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(same))
+    side = lambda c: placed_in.select("tag", *[F.col(x).alias(f"{c}_{x}") for x in ("core", "key", "kind", "rest")])
     met = (
-        x.join(near, (x["block"] == near["block"]) & (x["x_core"] == near["a"])).drop(near["block"])
-        .join(y, (x["block"] == y["block"]) & (F.col("b") == F.col("y_core"))).drop(y["block"])
+        near.join(merged(side("x").withColumnRenamed("x_core", "a")), ["tag", "a"])
+        .join(merged(side("y").withColumnRenamed("y_core", "b")), ["tag", "b"])
         .where("x_key <> y_key")
-        .drop("block")
+        .select("x_key", "x_kind", "x_rest", "y_key", "y_kind", "y_rest", "distance")
         .distinct()
     )
     met = cut_lineage(met)
-    fewer, more = F.least("x_pieces", "y_pieces"), F.greatest("x_pieces", "y_pieces")
-    sure = (F.col("distance") <= 1) | (fewer <= rare) | (fewer * 4 <= more)
     whole = met.where(
-        sure
-        & (F.col("x_kind") == F.col("y_kind"))
+        (F.col("x_kind") == F.col("y_kind"))
         & (
             F.col("x_kind").isin("title", "org")
-            | ((F.col("x_kind") == "full") & matching_given(F.col("x_rest"), F.col("y_rest")))
+            | ((F.col("x_kind") == "full") & matching_given(F.col("x_rest"), F.col("y_rest"), known))
         )
     ).select("x_key", "y_key")
-    every = keys.select(F.col("key").alias("x_key"), F.col("key").alias("y_key"))
-    full = cut_lineage(
-        connected_components(whole.unionByName(every.where("x_key not like 'part%'")), "x_key", "y_key")
-    )
-    # initials and surnames alone: the one entity at the least distance whose given name fits
+    every = keys.where("kind not in ('part', 'unread')").select(F.col("key").alias("x_key"), F.col("key").alias("y_key"))
+    full = cut_lineage(connected_components(whole.unionByName(every), "x_key", "y_key"))
+    # initials, surnames alone and unread forms: the one entity at the least distance that fits
+    of_person = (F.col("x_kind") == "part") & (F.col("y_kind") == "full") & starts_given(F.col("x_rest"), F.col("y_rest"), known)
+    of_work = (F.col("x_kind") == "unread") & (F.col("y_kind") == "title")
     fits = (
-        met.where((F.col("x_kind") == "part") & (F.col("y_kind") == "full") & starts_given(F.col("x_rest"), F.col("y_rest")))
-        .join(full.select(F.col("node").alias("y_key"), "component"), "y_key")
+        met.where(of_person | of_work)
+        .join(merged(full.select(F.col("node").alias("y_key"), "component")), "y_key")
         .groupBy("x_key", "distance")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     )
     best = cut_lineage(fits.groupBy("x_key").agg(F.min_by(F.struct("lo", "hi"), "distance").alias("e")))
     placed = best.where("e.lo = e.hi").select(F.col("x_key").alias("node"), F.col("e.lo").alias("component"))
-    alone = keys.where("kind = 'part'").select(F.col("key").alias("node")).join(best.select(F.col("x_key").alias("node")), "node", "left_anti")
-    loose = met.where((F.col("x_kind") == "part") & (F.col("y_kind") == "part") & (F.col("x_rest") == F.col("y_rest")) & sure)
-    loose = loose.join(alone.withColumnRenamed("node", "x_key"), "x_key").join(alone.withColumnRenamed("node", "y_key"), "y_key")
+    alone = keys.where("kind in ('part', 'unread')").select(F.col("key").alias("node")).join(merged(best.select(F.col("x_key").alias("node"))), "node", "left_anti")
+    alone = cut_lineage(alone)
+    loose = met.where((F.col("x_kind") == "part") & (F.col("y_kind") == "part") & (F.col("x_rest") == F.col("y_rest")))
+    loose = loose.join(merged(alone.withColumnRenamed("node", "x_key")), "x_key").join(merged(alone.withColumnRenamed("node", "y_key")), "y_key")
     rest = connected_components(
         loose.select("x_key", "y_key").unionByName(alone.select(F.col("node").alias("x_key"), F.col("node").alias("y_key"))), "x_key", "y_key"
     )
@@ -410,21 +431,21 @@ def entities(records: DataFrame, radius: int = 2, rare: int = 3) -> DataFrame:
     entity = full.unionByName(placed).unionByName(rest).unionByName(unsure)
     return (
         names.withColumn("key", F.concat_ws("\u0001", "kind", "rest", "core", "number"))
-        .join(entity.withColumnRenamed("node", "key"), "key")
+        .join(merged(entity.withColumnRenamed("node", "key")), "key")
         .select("field", "name", F.col("component").alias("entity"))
     )
 
 
-def found(records: DataFrame) -> DataFrame:
+def found(records: DataFrame, **options) -> DataFrame:
     """``(field, name_a, name_b)``: every pair of different spellings of one entity, smaller first."""
-    linked = cut_lineage(entities(records))
+    linked = cut_lineage(entities(records, **options))
     a = linked.select("field", "entity", F.col("name").alias("name_a"))
     b = linked.select("field", "entity", F.col("name").alias("name_b"))
-    return a.join(b, ["field", "entity"]).where("name_a < name_b").select("field", "name_a", "name_b").distinct()
+    return a.join(merged(b), ["field", "entity"]).where("name_a < name_b").select("field", "name_a", "name_b")
 
 
-def variants(records: DataFrame) -> DataFrame:
+def variants(records: DataFrame, **options) -> DataFrame:
     """``(field, name, entity_name, n_spellings)``: each spelling with a name for its entity (its smallest spelling)."""
-    linked = cut_lineage(entities(records))
+    linked = cut_lineage(entities(records, **options))
     groups = linked.groupBy("field", "entity").agg(F.min("name").alias("entity_name"), F.count(F.lit(1)).alias("n_spellings"))
-    return linked.join(groups, ["field", "entity"]).select("field", "name", "entity_name", "n_spellings")
+    return linked.join(merged(groups), ["field", "entity"]).select("field", "name", "entity_name", "n_spellings")
