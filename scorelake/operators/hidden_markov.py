@@ -12,9 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelake.functions.scalars import uniform
+
 TINY = 1e-12
 
 
@@ -447,3 +449,17 @@ def gibbs(
     if kept:
         p = Parameters(*(np.mean([getattr(k, f) for k in kept], axis=0) for f in ("initial", "transition", "emission")))
     return p, trace
+
+
+def initial_states(rows: DataFrame, symbol: str, active: int, states: int, symbols: int, seed: int, *key: str) -> DataFrame:
+    """``rows`` with ``state``: symbols in order round the active states, a tenth of the rows anywhere among them.
+
+    The numbers come from hashes of the key, so tasks may be repeated. The symbols that occur are
+    a vocabulary of at most ``symbols`` rows.
+    """
+    active = max(2, min(active, states, max(2, min(symbols, states))))
+    order = rows.select(symbol).distinct().withColumn("i", F.dense_rank().over(Window.orderBy(symbol)) - 1)
+    names = [F.col(k).cast("string") for k in key]
+    noisy = uniform(seed, *names) < 0.1
+    anywhere = F.floor(uniform(seed + 1, *names) * active).cast("int")
+    return rows.join(F.broadcast(order), symbol).withColumn("state", F.when(noisy, anywhere).otherwise((F.col("i") % active).cast("int"))).drop("i")

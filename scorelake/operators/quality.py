@@ -70,10 +70,39 @@ def leakage(df: DataFrame, group: str, split: str) -> DataFrame:
     )
 
 
-def requirements(rules: list[tuple[str, DataFrame, int, str]]) -> DataFrame:
-    """``(requirement, status)``: met if the rule's one count ``n`` reaches its least value, else its own failing status."""
-    out = None
-    for name, count, least, failing in rules:
-        row = count.select(F.lit(name).alias("requirement"), F.when(F.col("n") >= least, "met").otherwise(failing).alias("status"))
-        out = row if out is None else out.unionByName(row)
-    return out
+def protocol_costs(runs: DataFrame) -> DataFrame:
+    """``runs`` with ``total`` and ``cost_status``.
+
+    Columns ``selection``, ``selected_fit``, ``selected_validation``, ``evaluation`` and ``legacy``
+    are seconds or null. A measured selection is the cost of choosing a model, else its parts
+    that were measured, else the old undivided total, else nothing; evaluation comes on top.
+    """
+    selection, fit, validation, legacy = (F.col(c) for c in ("selection", "selected_fit", "selected_validation", "legacy"))
+    parts = fit.isNotNull() | validation.isNotNull()
+    nothing = F.lit(0.0)
+    chosen = F.when(selection.isNotNull(), selection).when(parts, F.coalesce(fit, nothing) + F.coalesce(validation, nothing)).otherwise(F.coalesce(legacy, nothing))
+    status = (
+        F.when(selection.isNotNull() & fit.isNotNull(), "separated").when(selection.isNotNull() | parts, "partially_separated")
+        .when(legacy.isNotNull(), "unseparated_legacy_total").otherwise("unmeasured")
+    )
+    return runs.withColumn("total", chosen + F.coalesce("evaluation", nothing)).withColumn("cost_status", status)
+
+
+def resource_fields(df: DataFrame, selection: str, evaluation: str, condition: str) -> DataFrame:
+    """Two observations (structs) of one run side by side; what was not measured apart says so.
+
+    A condition other than isolated, contended or unknown is null, and only isolated runs are usable.
+    """
+    memory = ("peak_process_rss_bytes", "peak_process_tree_rss_bytes", "peak_cuda_allocated_bytes", "peak_cuda_reserved_bytes")
+    status = {"process_memory_status": "resource_status", "cuda_memory_status": "cuda_resource_status"}
+    flat = {}
+    for name, column in (("selection", selection), ("evaluation", evaluation)):
+        flat |= {f"{name}_{f}": F.col(f"{column}.{f}") for f in memory} | {f"{name}_{to}": F.col(f"{column}.{f}") for f, to in status.items()}
+    known = F.when(F.col(condition).isin("isolated", "contended", "unknown"), F.col(condition))
+    none = F.lit(None).cast("bigint")
+    flat |= {
+        "selected_fit_peak_process_tree_rss_bytes": none, "selected_fit_peak_cuda_allocated_bytes": none, "selected_fit_resource_status": F.lit("not_measured_separately"),
+        "resource_sample_interval_s": F.greatest(f"{selection}.sample_interval_s", f"{evaluation}.sample_interval_s"),
+        "resource_measurement_condition": known, "resource_cost_usable": F.coalesce(known == "isolated", F.lit(False)),
+    }
+    return df.withColumns(flat)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelake.functions.scalars import uniform
+
 
 def intervals(df: DataFrame, key: str, order: str, value: str, most: int = 12) -> DataFrame:
     """Adds ``interval`` (difference to the one before, clamped to +-most) and ``token``; the first is START, token 0."""
@@ -177,3 +179,28 @@ def padded(df: DataFrame, key: str, tokens: str, width: int, pad: int) -> DataFr
     return df.select(
         key, F.concat(body, F.array_repeat(F.lit(pad), F.lit(width) - F.size(body))).alias("padded"), F.size(body).alias("n_real")
     )
+
+
+def length_batches(df: DataFrame, key: str, n: str, cells: int) -> DataFrame:
+    """``df`` with ``class``, ``range`` and ``batch``: rows of like length together, at most ``cells`` padded cells a batch.
+
+    Lengths of a class lie between two powers of two. Batches are cut within ranges of the key's
+    hash, so a class with most of the rows is numbered in many tasks. Empty rows are in no batch.
+    """
+    h = F.md5(key)
+    rows = df.where(F.col(n) > 0).withColumn("class", F.ceil(F.log2(n)).cast("int")).withColumn("range", F.substring(h, 1, 1))
+    place = F.row_number().over(Window.partitionBy("class", "range").orderBy(h, key)) - 1
+    most = F.greatest(F.lit(1), F.floor(F.lit(cells) / F.pow(F.lit(2), F.col("class"))))
+    return rows.withColumn("batch", F.floor(place / most).cast("bigint"))
+
+
+def gumbel_draws(keys: DataFrame, key: str, weights: DataFrame, value: str, weight: str, seed: int, top: int, temperature: float) -> DataFrame:
+    """``(key, value)``: a draw for each key from the ``top`` heaviest values, by the largest log weight plus Gumbel noise.
+
+    ``weights`` is a vocabulary: it is sent to every task. Lower temperatures sharpen the weights.
+    """
+    order = Window.orderBy(F.desc(weight), value)
+    few = weights.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select(value, (F.ln(weight) / temperature).alias("logit"))
+    noise = -F.ln(-F.ln(uniform(seed, key, F.col(value).cast("string"))))
+    scored = keys.crossJoin(F.broadcast(few)).withColumn("score", F.round(F.col("logit") + noise, 9))
+    return scored.groupBy(key).agg(F.max_by(value, F.struct("score", -F.col(value))).alias(value))

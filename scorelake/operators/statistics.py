@@ -203,7 +203,7 @@ def match_boundaries(reference: list[int], predicted: list[int], tolerance: int)
     return n
 
 
-def boundary_scores(df: DataFrame, key: str, reference: str, predicted: str, tolerance: int = 0) -> DataFrame:
+def boundary_scores(df: DataFrame, key: str, reference: str, predicted: str, tolerance: int = 0, digits: int = 6) -> DataFrame:
     """``(key, n_match, precision, recall, f1)``.
 
     Precision is 1 where nothing was predicted and recall 1 where the reference has no boundary,
@@ -221,8 +221,8 @@ def boundary_scores(df: DataFrame, key: str, reference: str, predicted: str, tol
     ratio = lambda of: F.coalesce(F.try_divide("n_match", F.size(of)), F.lit(1.0))
     precision, recall = F.col("precision"), F.col("recall")
     return df.withColumn("n_match", n).withColumns({"precision": ratio(predicted), "recall": ratio(reference)}).select(
-        key, "n_match", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"),
-        F.round(F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)), 6).alias("f1"),
+        key, "n_match", F.round(precision, digits).alias("precision"), F.round(recall, digits).alias("recall"),
+        F.round(F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)), digits).alias("f1"),
     )
 
 

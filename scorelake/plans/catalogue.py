@@ -122,17 +122,22 @@ def stx13(spark, d):
     return table(spark, d, "prepared_pieces").select(X.truth(written).alias("contains_rests")).groupBy("contains_rests").agg(F.count(F.lit(1)).alias("n"))
 
 
-@C.add("stx14_redacted_paths", REC + "SELECT piece_id, 'file <path> read' AS message FROM records WHERE path IS NOT NULL")
+@C.add("stx14_redacted_paths", REC + r"""SELECT piece_id, regexp_replace(regexp_replace('see ' || path || ' at https://host' || path || ' or C:\data\' || piece_id || ', not ' || piece_id,
+  '(^|[^\w:/.])((/[\w.~-]+){2,}/?)', '\1<path>', 'g'), '(^|\W)[A-Za-z]:\\[^\s"'']+', '\1<path>', 'g') AS message FROM records WHERE path IS NOT NULL""")
 def stx14(spark, d):
-    message = F.concat(F.lit("file "), F.col("path"), F.lit(" read"))
+    message = F.concat(F.lit("see "), "path", F.lit(" at https://host"), "path", F.lit(" or C:\\data\\"), "piece_id", F.lit(", not "), "piece_id")
     return records(spark, d).where("path is not null").select("piece_id", X.redacted_paths(message).alias("message"))
 
 
-@C.add("stx15_safe_paths", REC + "SELECT count(*) AS n, CAST(count(*) AS BIGINT) AS safe_ids, CAST(0 AS BIGINT) AS safe_paths FROM records WHERE path IS NOT NULL")
+STEPS = ("", "../", "a/../", "/", "C:", "a//", "..")
+
+
+@C.add("stx15_safe_paths", REC + r"""SELECT step, count(*) AS n, CAST(sum(CASE WHEN p = '' OR starts_with(p, '/') OR starts_with(p, '\') OR contains(p, '\') OR contains(p, '//') OR p[2] = ':' OR list_contains(string_split(p, '/'), '..') THEN 0 ELSE 1 END) AS BIGINT) AS n_safe
+  FROM (SELECT step, step || piece_id AS p FROM records CROSS JOIN (SELECT unnest(['', '../', 'a/../', '/', 'C:', 'a//', '..']) AS step)) GROUP BY 1""")
 def stx15(spark, d):
-    return records(spark, d).where("path is not null").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(X.safe_relative(F.col("piece_id"))).alias("safe_ids"), F.count_if(X.safe_relative(F.col("path"))).alias("safe_paths")
-    )
+    """Ids of pieces as relative paths, and with what makes a path unsafe or not put in front."""
+    rows = records(spark, d).select("piece_id", F.explode(F.array(*[F.lit(x) for x in STEPS])).alias("step"))
+    return rows.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.count_if(X.safe_relative(F.concat("step", "piece_id"))).alias("n_safe"))
 
 
 @C.add("stx16_sha256", "SELECT doc_id, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")

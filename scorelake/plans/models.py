@@ -114,26 +114,37 @@ def hmm02(spark, d):
     return HM.log_likelihoods(pitch_sequences(spark, d), HM.example_parameters()).select("piece_id", "n", F.round("ll", 6).alias("ll"))
 
 
-@C.add("hmm02_forward_any")
+EIGHT = range(8)
+HMM8_SQL = HMM_SQL + f""" y8 AS (SELECT piece_id, t, {", ".join(f"(1 + (pc + {4 * k}) % 12) / 78.0 AS b{k}" for k in EIGHT)} FROM y),
+  f AS (SELECT piece_id, 0 AS t, {", ".join(f"b{k} / ({' + '.join(f'b{j}' for j in EIGHT)}) AS a{k}" for k in EIGHT)}, ln(({" + ".join(f"b{k}" for k in EIGHT)}) / 8) AS ll FROM y8 WHERE t = 0
+    UNION ALL SELECT piece_id, t, {", ".join(f"m{k} / s" for k in EIGHT)}, ll + ln(s) FROM (SELECT *, {" + ".join(f"m{k}" for k in EIGHT)} AS s FROM (
+      SELECT f.piece_id, y8.t, ll, {", ".join(f"(0.2 / 7 + a{k} * (0.8 - 0.2 / 7)) * b{k} AS m{k}" for k in EIGHT)} FROM f JOIN y8 ON y8.piece_id = f.piece_id AND y8.t = f.t + 1)))
+  SELECT piece_id, CAST(max(t) + 1 AS INTEGER) AS n, round(arg_max(ll, t), 6) AS ll FROM f GROUP BY 1"""
+
+
+@C.add("hmm02_forward_any", HMM8_SQL)
 def hmm02b(spark, d):
     """The same for any number of states."""
     out = HM.log_likelihoods(pitch_sequences(spark, d), HM.example_parameters(8))
     return out.select("piece_id", "n", F.round("ll", 6).alias("ll"))
 
 
-@C.add("hmm03_viterbi", HMM_SQL + """ v AS (SELECT piece_id, 0 AS t, ln(b0 / 3) AS d0, ln(b1 / 3) AS d1, ln(b2 / 3) AS d2, 0 AS k0, 0 AS k1, 0 AS k2 FROM y2 WHERE t = 0
+VITERBI_SQL = HMM_SQL + """ v AS (SELECT piece_id, 0 AS t, ln(b0 / 3) AS d0, ln(b1 / 3) AS d1, ln(b2 / 3) AS d2, 0 AS k0, 0 AS k1, 0 AS k2 FROM y2 WHERE t = 0
     UNION ALL SELECT v.piece_id, y2.t, greatest(d0 + ln(0.8), d1 + ln(0.1), d2 + ln(0.1)) + ln(b0), greatest(d0 + ln(0.1), d1 + ln(0.8), d2 + ln(0.1)) + ln(b1), greatest(d0 + ln(0.1), d1 + ln(0.1), d2 + ln(0.8)) + ln(b2),
       CASE WHEN d0 + ln(0.8) >= greatest(d1, d2) + ln(0.1) THEN 0 WHEN d1 >= d2 THEN 1 ELSE 2 END, CASE WHEN d0 + ln(0.1) >= greatest(d1 + ln(0.8), d2 + ln(0.1)) THEN 0 WHEN d1 + ln(0.8) >= d2 + ln(0.1) THEN 1 ELSE 2 END,
       CASE WHEN d0 + ln(0.1) >= greatest(d1 + ln(0.1), d2 + ln(0.8)) THEN 0 WHEN d1 + ln(0.1) >= d2 + ln(0.8) THEN 1 ELSE 2 END FROM v JOIN y2 ON y2.piece_id = v.piece_id AND y2.t = v.t + 1),
   e AS (SELECT piece_id, max(t) AS t FROM v GROUP BY 1),
   b AS (SELECT v.piece_id, v.t, CASE WHEN d0 >= greatest(d1, d2) THEN 0 WHEN d1 >= d2 THEN 1 ELSE 2 END AS state FROM v JOIN e USING (piece_id, t)
-    UNION ALL SELECT v.piece_id, v.t - 1, CASE b.state WHEN 0 THEN k0 WHEN 1 THEN k1 ELSE k2 END FROM b JOIN v ON v.piece_id = b.piece_id AND v.t = b.t WHERE v.t > 0)
-  SELECT piece_id, t, state FROM b""")
+    UNION ALL SELECT v.piece_id, v.t - 1, CASE b.state WHEN 0 THEN k0 WHEN 1 THEN k1 ELSE k2 END FROM b JOIN v ON v.piece_id = b.piece_id AND v.t = b.t WHERE v.t > 0)"""
+
+
+@C.add("hmm03_viterbi", VITERBI_SQL + " SELECT piece_id, t, state FROM b")
 def hmm03(spark, d):
     return HM.viterbi(pitch_sequences(spark, d), HM.example_parameters())
 
 
-@C.add("hmm03_segments")
+@C.add("hmm03_segments", VITERBI_SQL + """, c AS (SELECT piece_id, t, state, CASE WHEN lag(state) OVER w IS DISTINCT FROM state THEN 1 ELSE 0 END AS c FROM b WINDOW w AS (PARTITION BY piece_id ORDER BY t)),
+  r AS (SELECT *, sum(c) OVER (PARTITION BY piece_id ORDER BY t) AS run FROM c) SELECT piece_id, state, CAST(min(t) AS INTEGER) AS start, CAST(max(t) + 1 AS INTEGER) AS stop FROM r GROUP BY piece_id, state, run""")
 def hmm03b(spark, d):
     """Segments of the decoded states."""
     return S.segments(HM.viterbi(pitch_sequences(spark, d), HM.example_parameters()), "piece_id", "t", "state")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scorelake.plans.common import Query
 
-MODULES = ("sequences", "metrics", "catalogue", "models", "files", "report")
+MODULES = ("sequences", "metrics", "catalogue", "models", "files", "report", "runs")
 
 
 def _catalogues():

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from scorelake.operators import harmony as H
 from scorelake.operators import hidden_markov as HM
-from scorelake.operators import quality as Q
 from scorelake.operators import sequences as S
 from scorelake.operators import statistics as T
 from scorelake.plans.common import Catalogue
-from scorelake.plans.metrics import RUNS_SQL, model_points, runs
-from scorelake.plans.models import HAR_SQL, hdp_grid, hmm_grid, pitch_sequences
+from scorelake.plans.metrics import RUNS_SQL, runs
+from scorelake.plans.models import HAR_SQL, VITERBI_SQL, hdp_grid, hmm_grid, pitch_sequences
 from scorelake.sources.relations import EVENTS_SQL, METRICS_SQL, PIECES_SQL, RECORDS_SQL, TOKENS_SQL, events, metrics, pieces, records, tokens
 from scorelake.sources.tables import table
 
@@ -59,7 +58,7 @@ def prj06(spark, d):
     return events(spark, d).where("pc is not null").select("piece_id", "t", F.col("pc").alias("token"), F.element_at(names, F.col("pc") + 1).alias("observation"), "measure")
 
 
-@C.add("prj07_state_labels")
+@C.add("prj07_state_labels", VITERBI_SQL + " SELECT ev.piece_id, ev.t, ev.label, 'state ' || state AS state_label FROM ev JOIN b ON b.piece_id = ev.piece_id AND b.t = ev.t")
 def prj07(spark, d):
     """Decoded states beside the events they explain."""
     z = HM.viterbi(pitch_sequences(spark, d), HM.example_parameters())
@@ -87,13 +86,6 @@ def prj18(spark, d):
     return metrics(spark, d).where("model is not null").select("model", F.coalesce(F.try_element_at(mapping, F.col("model")), "model").alias("display")).distinct()
 
 
-@C.add("prj20_cost_status", RUNS_SQL + """ SELECT status, count(*) AS n FROM (SELECT CASE WHEN test_nll IS NULL THEN 'unmeasured' WHEN frac < 0.3 THEN 'unseparated_legacy_total' WHEN n_tokens < 2000 THEN 'partially_separated' ELSE 'separated' END AS status FROM runs) GROUP BY 1""")
-def prj20(spark, d):
-    """Four states of a measured cost."""
-    status = F.when(F.col("test_nll").isNull(), "unmeasured").when(F.col("frac") < 0.3, "unseparated_legacy_total").when(F.col("n_tokens") < 2000, "partially_separated").otherwise("separated")
-    return runs(spark, d).groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @C.add("prj22_run_filter", RUNS_SQL + " SELECT model, frac, data_seed FROM runs WHERE frac = 1.0 AND data_seed = (SELECT min(data_seed) FROM runs)")
 def prj22(spark, d):
     r = runs(spark, d)
@@ -110,16 +102,6 @@ def jon14(spark, d):
     return pieces(spark, d).select("piece_id", "tokens").join(e, "piece_id").where(F.size("tokens") == F.size("pcs")).select("piece_id", F.size("tokens").alias("n"), F.size(same).alias("n_equal"))
 
 
-@C.add("jon17_structural_status", RUNS_SQL + """, m AS (SELECT model, frac, round(avg(test_nll), 6) AS nll FROM runs GROUP BY 1, 2), f AS (SELECT model, frac, 0.5 AS f1 FROM m WHERE frac = 1.0)
-  SELECT m.model, CASE WHEN bool_and(f.f1 IS NOT NULL) THEN 'comparable' ELSE 'incomparable' END AS status FROM m LEFT JOIN f USING (model, frac) GROUP BY 1""")
-def jon17(spark, d):
-    """A model with a point that lacks an axis can't be compared on it."""
-    points = model_points(spark, d)
-    scores = points.where("frac = 1.0").select("model", "frac", F.lit(0.5).alias("f1"))
-    whole = F.bool_and(F.col("f1").isNotNull())
-    return points.select("model", "frac").join(scores, ["model", "frac"], "left").groupBy("model").agg(F.when(whole, "comparable").otherwise("incomparable").alias("status"))
-
-
 @C.add("agg31_posterior_mean")
 def agg31(spark, d):
     """Mean emission of the kept samples of the selected chain; symbol 12 starts a piece."""
@@ -185,28 +167,6 @@ def srt13(spark, d):
     return tokens(spark, d).groupBy("piece_id").agg(F.max_by("token", key).alias("token"))
 
 
-@C.add("dq09_run_audit", RUNS_SQL + """, g AS (SELECT count(DISTINCT model) * count(DISTINCT frac) AS planned, count(DISTINCT (model, frac)) AS found, count(*) FILTER (WHERE test_nll IS NULL) AS unscored FROM runs)
-  SELECT 'grid' AS check_name, CASE WHEN planned = found THEN 'ok' ELSE 'missing' END AS status FROM g UNION ALL SELECT 'scores', CASE WHEN unscored = 0 THEN 'ok' ELSE 'partial' END FROM g""")
-def dq09(spark, d):
-    """Is the grid of runs complete, and has every run a score."""
-    r = runs(spark, d)
-    one = r.agg((F.countDistinct("model") * F.countDistinct("frac")).alias("planned"), F.countDistinct("model", "frac").alias("found"), F.count_if(F.col("test_nll").isNull()).alias("unscored"))
-    grid = one.select(F.lit("grid").alias("check_name"), F.when(F.col("planned") == F.col("found"), "ok").otherwise("missing").alias("status"))
-    return grid.union(one.select(F.lit("scores"), F.when(F.col("unscored") == 0, "ok").otherwise("partial")))
-
-
-@C.add("dq14_requirements", f"""WITH {METRICS_SQL}, {PIECES_SQL}, {RECORDS_SQL} SELECT 'four_models' AS requirement, CASE WHEN count(DISTINCT model) >= 4 THEN 'met' ELSE 'not_met' END AS status FROM metrics
-  UNION ALL SELECT 'pieces_prepared', CASE WHEN count(*) > 0 THEN 'met' ELSE 'not_met' END FROM pieces UNION ALL SELECT 'test_split', CASE WHEN count(*) > 0 THEN 'met' ELSE 'missing' END FROM records WHERE split = 'test'""")
-def dq14(spark, d):
-    """Rules held against the tables, each with its own failing status."""
-    rules = [
-        ("four_models", metrics(spark, d).agg(F.countDistinct("model").alias("n")), 4, "not_met"),
-        ("pieces_prepared", pieces(spark, d).agg(F.count(F.lit(1)).alias("n")), 1, "not_met"),
-        ("test_split", records(spark, d).where("split = 'test'").agg(F.count(F.lit(1)).alias("n")), 1, "missing"),
-    ]
-    return Q.requirements(rules)
-
-
 @C.add("sta07_structural_status", "SELECT 'not_evaluated' AS status WHERE (SELECT count(*) FROM musical_events WHERE measure IS NOT NULL) = 0 UNION ALL SELECT 'evaluated' WHERE (SELECT count(*) FROM musical_events WHERE measure IS NOT NULL) > 0")
 def sta07(spark, d):
     """Whether there are boundaries to evaluate against."""

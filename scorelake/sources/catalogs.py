@@ -51,3 +51,19 @@ def nested_payloads(spark: SparkSession, path: str) -> DataFrame:
 def union_catalogs(catalogs: list[DataFrame]) -> DataFrame:
     """Catalogues of several sources in one, columns that one lacks being null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), catalogs)
+
+
+def collect_runs(spark: SparkSession, root: str, kinds: dict[str, str]) -> DataFrame:
+    """A row for each run below ``root`` (``kind=K/run=R`` folders of one JSON object): fields of every kind there is.
+
+    ``kinds`` gives the schema of each kind. ``status`` is complete if no kind is missing and
+    readable, else partial; an object that can't be read counts as missing.
+    """
+    text = spark.read.text(root)
+    out = text.select("run").distinct()
+    for kind, schema in kinds.items():
+        fields = F.from_json("value", schema, {"mode": "PERMISSIVE"})
+        rows = text.where(F.col("kind") == kind).select("run", fields.alias("o")).where("o is not null")
+        out = out.join(rows.select("run", "o.*", F.lit(True).alias(f"has_{kind}")), "run", "left")
+    whole = reduce(lambda a, b: a & b, [F.col(f"has_{k}").isNotNull() for k in kinds])
+    return out.withColumn("status", F.when(whole, "complete").otherwise("partial")).drop(*[f"has_{k}" for k in kinds])

@@ -9,7 +9,7 @@ import re
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,3 +137,29 @@ def seal(folder: str, archive: str) -> str:
             info.compress_type = zipfile.ZIP_DEFLATED
             z.writestr(info, file.read_bytes())
     return hashlib.sha256(Path(archive).read_bytes()).hexdigest()
+
+
+def write_csv(df: DataFrame, folder: str) -> None:
+    """A table as CSV with header and without index."""
+    df.write.mode("overwrite").csv(folder, header=True)
+
+
+def write_json(spark: SparkSession, folder: str, payload: object) -> None:
+    """A small payload as one indented JSON document; numbers that are not finite become null."""
+    text = json.dumps(finite_payload(payload), indent=2, ensure_ascii=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(folder)
+
+
+def _cells(df: DataFrame, columns: tuple[str, ...]) -> list[Column]:
+    kinds = dict(df.dtypes)
+    return [F.format_string("%.3f", c) if kinds[c] in ("double", "float") else F.col(c).cast("string") for c in columns]
+
+
+def latex_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """One ``line`` a row, as a table to be typeset has it; numbers with three decimals, nothing escaped."""
+    return df.select(F.concat(F.concat_ws(" & ", *_cells(df, columns)), F.lit(" \\\\")).alias("line"))
+
+
+def markdown_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """One ``line`` a row of a report's table."""
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *_cells(df, columns)), F.lit(" |")).alias("line"))

@@ -64,6 +64,46 @@ def live_intervals(stream: DataFrame, key: str, order: str, value: str) -> DataF
     return stream.select(key, order, value).groupBy(key).applyInPandasWithState(step, schema, "at bigint, last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def _stateful(stream: DataFrame, key: str, order: list[str], value: str, schema: str, state_schema: str, step: Callable[[tuple | None, list], tuple[tuple, list[tuple]]]) -> DataFrame:
+    """Rows that ``step`` makes of a key's state and its values of one batch in order."""
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(order)  # a key's events of one batch
+        fresh, out = step(state.get if state.exists else None, rows[value].tolist())
+        state.update(fresh)
+        yield pd.DataFrame([(k[0], *r) for r in out], columns=[f.split()[0] for f in schema.split(", ")])
+
+    return stream.select(key, *order, value).groupBy(key).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+
+
+def live_ngrams(stream: DataFrame, key: str, order: list[str], value: str, n: int) -> DataFrame:
+    """``(key, gram)``: every n values in a row of each key, its last n - 1 values kept as state between batches."""
+    kind = dict(stream.dtypes)
+
+    def step(last: tuple | None, values: list) -> tuple[tuple, list[tuple]]:
+        seen = (list(last[0]) if last else []) + values
+        return (seen[len(seen) - n + 1 :] if len(seen) >= n else seen,), [(seen[i : i + n],) for i in range(len(seen) - n + 1)]
+
+    return _stateful(stream, key, order, value, f"{key} {kind[key]}, gram array<{kind[value]}>", f"last array<{kind[value]}>", step)
+
+
+def live_segments(stream: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """``(key, value, length)``: runs of equal values of each key once they are closed; the open run is kept as state."""
+    kind = dict(stream.dtypes)
+
+    def step(last: tuple | None, values: list) -> tuple[tuple, list[tuple]]:
+        now, length = last if last else (None, 0)
+        out = []
+        for v in values:
+            if length and v != now:
+                out.append((now, length))
+                length = 0
+            now, length = v, length + 1
+        return (now, length), out
+
+    return _stateful(stream, key, order, value, f"{key} {kind[key]}, {value} {kind[value]}, length bigint", f"{value} {kind[value]}, length bigint", step)
+
+
 def run_all(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Process all that is there and return what was written to ``target``.
 
