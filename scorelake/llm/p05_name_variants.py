@@ -175,28 +175,47 @@ def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, lengths
 
 
-def distances(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_len: np.ndarray) -> np.ndarray:
-    """Unrestricted Damerau-Levenshtein distances of many pairs of code rows at once, a row of all tables at a time."""
+def distances(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_len: np.ndarray, most: int = 2_000) -> np.ndarray:
+    """Unrestricted Damerau-Levenshtein distances of many pairs of code rows at once, a row of all tables at a time.
+
+    ``a`` may be one row that stands against all of ``b``. At most ``most`` pairs are worked on
+    together, so their tables stay in the processor's cache.
+    """
+    out = np.empty(len(b), dtype=np.int32)
+    for at in range(0, len(b), most):
+        part = slice(at, at + most)
+        x, x_len = (a, a_len) if len(a) == 1 else (a[part], a_len[part])
+        y_len = b_len[part]
+        out[part] = _distances(x[:, : int(x_len.max(initial=0))], x_len, b[part][:, : int(y_len.max(initial=0))], y_len)
+    return out
+
+
+def _distances(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_len: np.ndarray) -> np.ndarray:
     n, width = b.shape
-    far = a.shape[1] + width
-    pair = np.arange(n)[:, None]
-    columns = np.arange(width + 1, dtype=np.int32)
+    step = width + 2
+    columns = np.arange(width + 1, dtype=np.int16)
     # table[i + 1][:, j + 1] is the distance of the first i and j letters; row and column 0 are out of reach
-    table = np.full((a.shape[1] + 2, n, width + 2), far, dtype=np.int32)
+    table = np.full((a.shape[1] + 2, n, step), a.shape[1] + width, dtype=np.int16)
     table[1, :, 1:] = columns
-    last_row = np.zeros((n, width), dtype=np.int64)
+    flat = table.reshape(-1)
+    base = (np.arange(n, dtype=np.int32) * step)[:, None]
+    last_row = np.zeros((n, width), dtype=np.int32)
+    last_column = np.zeros((n, width), dtype=np.int16)
+    row = np.empty((n, width + 1), dtype=np.int16)
     for i in range(1, a.shape[1] + 1):
         match = b == a[:, i - 1 : i]
-        seen = np.where(match, columns[1:], 0)
-        last_column = np.maximum.accumulate(np.c_[np.zeros((n, 1), np.int64), seen[:, :-1]], axis=1)
+        np.maximum.accumulate(np.where(match, columns[1:], 0)[:, :-1], axis=1, out=last_column[:, 1:])
         above = table[i]
         value = np.minimum(above[:, 1:-1] + ~match, above[:, 2:] + 1)
-        swapped = table[last_row, pair, last_column] + (i - last_row - 1) + 1 + (columns[:-1] - last_column)
-        value = np.minimum(value, swapped)
+        # letters swapped, maybe with others in between
+        if i > 1:
+            came = flat.take(last_row * (n * step) + base + last_column)
+            np.minimum(value, came + (i - last_row + columns[:-1] - last_column).astype(np.int16), out=value)
         # insertions run along the row: a prefix minimum of value minus position
-        row = np.c_[np.full((n, 1), i), value] - columns
+        row[:, 0] = i
+        np.subtract(value, columns[1:], out=row[:, 1:])
         table[i + 1, :, 1:] = np.minimum.accumulate(row, axis=1) + columns
-        last_row = np.where(match, i, last_row)
+        last_row[match] = i
     return table[a_len + 1, np.arange(n), b_len + 1]
 
 
@@ -228,10 +247,10 @@ def close_pairs(left: list[str], right: list[str], radius: int, same: bool = Fal
         near = np.triu(near, 1)
     (i, j), out = np.nonzero(near), []
     (ca, la), (cb, lb) = encode(left), encode(right)
-    for at in range(0, len(i), 20_000):
-        x, y = i[at : at + 20_000], j[at : at + 20_000]
+    for at in range(0, len(i), 100_000):
+        x, y = i[at : at + 100_000], j[at : at + 100_000]
         d = distances(ca[x], la[x], cb[y], lb[y])
-        out += [(left[p], right[q], int(e)) for p, q, e in zip(x, y, d) if e <= radius and left[p] != right[q]]
+        out += [(left[x[k]], right[y[k]], int(d[k])) for k in np.flatnonzero(d <= radius) if left[x[k]] != right[y[k]]]
     return out
 
 
@@ -243,8 +262,8 @@ def metric_join(strings: DataFrame, radius: int, cell: int = 512, fan_out: int =
     nearest, and the one whose home is later is replicated to the earlier home. A cell of more than
     ``cell`` strings gets about one pivot for each ``cell`` of them, at most ``fan_out`` a level, and
     cells that are still large are partitioned again where a level left at most one in ``shrink``. What is left of any
-    size is compared in chunks of strings of one length, each pair of chunks with lengths within the
-    radius a row of its own, so no task meets a whole hot cell.
+    size is compared in chunks of strings of like length (bands one wider than the radius), each pair
+    of chunks of one or neighbouring bands a row of its own, so no task meets a whole hot cell.
     """
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,9 +274,7 @@ def metric_join(strings: DataFrame, radius: int, cell: int = 512, fan_out: int =
                 (codes, lengths), (p, p_len) = encode(strings), encode(names)
                 d = np.empty((len(strings), len(names)), dtype=np.int32)
                 for k in range(len(names)):
-                    for at in range(0, len(strings), 5_000):
-                        c = codes[at : at + 5_000]
-                        d[at : at + 5_000, k] = distances(np.repeat(p[k : k + 1], len(c), 0), np.repeat(p_len[k], len(c)), c, lengths[at : at + 5_000])
+                    d[:, k] = distances(p[k : k + 1], p_len[k : k + 1], codes, lengths)
                 home = d.argmin(axis=1)
                 inside = (d <= d.min(axis=1)[:, None] + 2 * radius) & (np.arange(len(names)) <= home[:, None])
                 i, c = np.nonzero(inside)
@@ -290,19 +307,19 @@ def metric_join(strings: DataFrame, radius: int, cell: int = 512, fan_out: int =
         )
         mine = large.select("tag", "cell", "s", "homes", "n").join(merged(pivots), "cell")
         rows = cut_lineage(mine.mapInPandas(to_cells, "tag string, cell string, s string, homes bigint, parent bigint"))
-    sized = done.withColumn("len", F.length("s"))
-    keys = ["tag", "cell", "all", "homes", "len"]
+    sized = done.withColumn("band", F.floor(F.length("s") / (radius + 1)))
+    keys = ["tag", "cell", "all", "homes", "band"]
     parts = sized.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(1024)).cast("int").alias("parts"))
     chunks = cut_lineage(
         sized.join(merged(parts), keys)
         .groupBy(*keys, F.pmod(F.xxhash64("s", F.lit(2)), F.col("parts")).alias("chunk"))
         .agg(F.collect_list("s").alias("strings"))
     )
-    kind = F.struct("homes", F.col("len").alias("l"), F.col("chunk").alias("i"))
+    kind = F.struct("homes", "band", F.col("chunk").alias("i"))
     left = chunks.select("tag", "cell", "all", kind.alias("x"), F.col("strings").alias("mine"))
     right = chunks.select("cell", kind.alias("y"), F.col("strings").alias("other"))
     met = left.join(merged(right), "cell").where(
-        (F.abs(F.col("x.l") - F.col("y.l")) <= radius) & (F.col("x") <= F.col("y")) & (F.col("x.homes").bitwiseOR(F.col("y.homes")) == F.col("all"))
+        (F.abs(F.col("x.band") - F.col("y.band")) <= 1) & (F.col("x") <= F.col("y")) & (F.col("x.homes").bitwiseOR(F.col("y.homes")) == F.col("all"))
     )
     met = met.select("tag", "mine", "other", (F.col("x") == F.col("y")).alias("same")).repartition(F.col("tag"), F.xxhash64("mine"), F.xxhash64("other"))
 
