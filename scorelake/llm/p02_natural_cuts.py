@@ -53,14 +53,18 @@ def reported(levels: list[np.ndarray], strength: np.ndarray, least: int) -> list
 REST, MEASURE, MEASURE_AFTER_REST = 1, 2, 3
 
 
-def cut_points(levels: list[np.ndarray], strength: np.ndarray, limit: int, overlap: int, least: int, n: int) -> list[tuple[int, int]]:
-    """Pieces [start, stop) of at most ``limit`` tokens covering the item of n tokens.
+def cut_points(
+    strength: np.ndarray, limit: int, overlap: int, least: int, n: int | None = None, levels: list[np.ndarray] | None = None
+) -> list[tuple[int, int]]:
+    """Pieces [start, stop) of at most ``limit`` tokens covering the item of n tokens (default all of ``strength``).
 
     A cut before token i has strength[i]. Lengths from ``least`` on are preferred; where no
     measure begins there, a stronger cut at any length above the overlap is taken, so every step
     moves on. The next piece starts ``overlap`` before one ends. Without any boundary the cut
     falls at the limit.
     """
+    n = len(strength) if n is None else n
+    levels = sparse_table(strength) if levels is None else levels
     out, start = [], 0
     while n - start > limit:
         stop = strongest(levels, strength, start + least, start + limit + 1)
@@ -139,7 +143,7 @@ def indexed(
                 parts.append(
                     [
                         {"start": a, "stop": b, "strength": int(strength[b]) if b < n else 0, "natural": bool(b == n or strength[b] > 0)}
-                        for a, b in cut_points(levels, strength, limit, overlap, least, n)
+                        for a, b in cut_points(strength, limit, overlap, least, n, levels)
                     ]
                 )
             part = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("strength", pa.int32()), ("natural", pa.bool_())])

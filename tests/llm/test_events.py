@@ -50,6 +50,25 @@ def test_cut_at_a_boundary_below_the_preferred_window(spark):
         assert p2.cut_points(strength, 256, 32, 128)[0] == (0, stop)
 
 
+def test_strengths_are_graded(spark):
+    long = spark.createDataFrame([("a", [1] * 300, DAY, 0, 0, "")], PREPARED)
+    # new measures at 140, 180 (after a rest) and 220, a rest alone at 250
+    starts = [float(i) + 0.5 * (i >= 180) + 0.5 * (i >= 250) for i in range(300)]
+    rows = [("a", i, starts[i], 1.0, "C4", 1 + (i >= 140) + (i >= 180) + (i >= 220)) for i in range(300)]
+    got = {r["event_index"]: r["strength"] for r in p2.strengths(long, events(spark, rows)).collect()}
+    assert got == {140: p2.MEASURE, 180: p2.MEASURE_AFTER_REST, 220: p2.MEASURE, 250: p2.REST}
+    parts = sorted((r["start"], r["stop"], r["strength"]) for r in p2.cuts(long, events(spark, rows)).collect())
+    assert parts == [(0, 180, 3), (148, 300, 0)]
+    assert {r["event_index"] for r in p2.found(long, events(spark, rows)).collect()} == {140, 180, 220}
+
+
+def test_index_reports_every_boundary():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 300):
+        s = rng.integers(0, 4, n)
+        assert p2.reported(p2.sparse_table(s), s, 2) == np.flatnonzero(s >= 2).tolist()
+
+
 def test_sparse_table_takes_the_rightmost_maximum():
     rng = np.random.default_rng(0)
     s = rng.integers(0, 3, 200).astype(float)
