@@ -13,6 +13,7 @@ from scorelake.operators import audits as A
 from scorelake.operators import hidden_markov as HM
 from scorelake.operators import quality as Q
 from scorelake.operators import sequences as S
+from scorelake.plans import report as P
 from scorelake.plans import runs as R
 from scorelake.streaming import sequences as ST
 
@@ -105,6 +106,13 @@ def test_chord_model_decodes_its_own_chords(spark):
     assert len(set(path.tolist())) == 1 and p.emission[path[0], [0, 4, 7]].min() > 0.1
 
 
+def test_posterior_mean_lists_every_emission(spark, monkeypatch):
+    p = HM.example_parameters(2, 3)
+    monkeypatch.setattr(P, "hdp_grid", lambda spark, d: (0, p, []))
+    rows = P.agg31(spark, "").collect()
+    assert {(r["state"], r["pc"]): r["p"] for r in rows} == {(i, j): p.emission[i, j] for i in range(2) for j in range(3)}
+
+
 def test_live_sequences_keep_state_between_batches(spark, tmp_path):
     for i, values in enumerate(([("u", 1, "a"), ("u", 2, "a")], [("u", 3, "b"), ("v", 1, "a")], [("u", 4, "b"), ("u", 5, "a")])):
         spark.createDataFrame(values, "k string, t int, e string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
