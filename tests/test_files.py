@@ -4,6 +4,7 @@ import io
 import json
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,30 @@ def test_reading_a_folder(spark, tmp_path):
     assert catalogs.discover_scores(spark, str(tmp_path / "in")).count() == 2
 
 
+class Kept:
+    """Stands in for a frame: gives the function that would run on its batches."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_few_scores_are_in_python_at_once():
+    rows = [(float(i), 1.0, [60, 64]) for i in range(40)]
+    events = [{"offset": a, "duration": b, "midi_pitches": c} for a, b, c in rows]
+    batch = pa.RecordBatch.from_pylist([{"piece_id": f"p{i}", "events": events[: i % 41]} for i in range(300)])
+    written = list(musicxml.write_files(Kept())(iter([batch])))
+    parsed = list(musicxml.parse_files(Kept())(iter(written)))
+    assert max(b.num_rows for b in written + parsed) <= musicxml.AT_ONCE and sum(b.num_rows for b in parsed) == 300
+    got = [r for b in parsed for r in b.to_pylist()]
+    assert [r["n_events"] for r in got] == [i % 41 for i in range(300)] and all(len(r["events"]) == (r["n_events"] if r["n_events"] >= 32 else 0) for r in got)
+    assert [(e["offset"], e["duration"], e["midi_pitches"]) for e in got[40]["events"]] == rows
+    brief = [r for b in musicxml.parse_files(Kept(), events=False)(iter(written)) for r in b.to_pylist()]
+    assert [{k: v for k, v in r.items() if k != "events"} for r in got] == brief
+
+
 def test_json_catalogs(spark, tmp_path):
     for i, body in enumerate([{"encodings": {"musicxml": "x"}}, {"encodings": [{"MusicXML": "y"}]}, {"encodings": []}, {}]):
         (tmp_path / f"{i}.json").write_text(json.dumps(body))
