@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +84,15 @@ def transition_scores(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "i int, j int, p double")
 
 
+def move_relations() -> list[np.ndarray]:
+    """What :func:`transition_scores` depends on, each as a table of states by states: any two, shared modes, a fifth, same root and level with their conjunctions, staying."""
+    state = [(r, level, set(compatible_modes(iv))) for r in range(12) for _, level, iv in CHORDS]
+    holds = lambda f: np.array([[bool(f(a, b)) for b in state] for a in state])
+    modes, fifth = holds(lambda a, b: a[2] & b[2]), holds(lambda a, b: (b[0] - a[0]) % 12 in (5, 7))
+    root, level = holds(lambda a, b: a[0] == b[0]), holds(lambda a, b: a[1] == b[1])
+    return [np.ones_like(root), modes, fifth, fifth & modes, root, root & modes, root & level, root & level & modes, np.eye(len(state), dtype=bool)]
+
+
 def with_bits(df: DataFrame, pitch_classes: str) -> DataFrame:
     """Adds ``bits``: the set of pitch classes as a 12-bit number."""
     bit = lambda x: F.pow(F.lit(2), F.pmod(x, F.lit(12))).cast("int")

@@ -283,45 +283,100 @@ def log_likelihoods(tokens: DataFrame, p: Parameters, *keys: str) -> DataFrame:
     return tokens.select(*keep, "tokens").mapInPandas(run, schema)
 
 
-def best_paths(p: Parameters, pack: Packed) -> np.ndarray:
-    """Likeliest state at every row of a pack; of equals the lowest."""
-    log = lambda m: np.log(np.maximum(m, TINY))
-    come, emit = log(p.transition).T[None], log(p.emission).T
-    states = len(p.initial)
-    origin = np.zeros((len(pack.y), states), dtype=np.int16 if states < 2**15 else np.int32)
-    score = log(p.initial) + emit[pack.y[pack.rows(0)]]
+class Relations:
+    """Scores of best moves where log transitions depend on few relations between the states.
+
+    ``masks`` are relations (K x K, from i to j). Each counts with the least value that a row of
+    ``log`` takes in it, so it never counts too much; together they must give every entry of
+    ``log`` exactly, so the best over the relations is the best over all moves, to the last bit.
+    States that stand in a relation to the same states are compared once.
+    """
+
+    def __init__(self, log: np.ndarray, masks: list[np.ndarray]) -> None:
+        self.terms, given = [], np.full(log.shape, -np.inf)
+        for mask in masks:
+            low = np.where(mask, log, np.inf).min(1)
+            given = np.where(mask, np.maximum(given, low[:, None]), given)
+            kinds, of_row = np.unique(mask, axis=0, return_inverse=True)
+            kept = np.flatnonzero(kinds.any(1))
+            sources = self.padded([np.flatnonzero(of_row == k) for k in kept])
+            wanted, of_column = np.unique(kinds[kept], axis=1, return_inverse=True)
+            some = np.flatnonzero(wanted.any(0))
+            place = np.full(wanted.shape[1], -1)
+            place[some] = np.arange(len(some))
+            to = np.flatnonzero(place[of_column] >= 0)
+            self.terms.append((sources, low[sources][:, :, None], self.padded([np.flatnonzero(wanted[:, k]) for k in some]), to, place[of_column][to]))
+        if not np.array_equal(given, log):
+            raise ValueError("the relations don't give the transitions")
+
+    @staticmethod
+    def padded(groups: list[np.ndarray]) -> np.ndarray:
+        """One group a row, its first member repeated to the length of the longest."""
+        return np.array([np.r_[g, np.repeat(g[:1], max(map(len, groups)) - len(g))] for g in groups])
+
+    def best(self, score: np.ndarray, wide: int = 256) -> np.ndarray:
+        """For scores of states (K x n) those of the best moves to every state (K x n); ``wide`` columns at once."""
+        out = np.full(score.shape, -np.inf)
+        for at in range(0, score.shape[1], wide):
+            here, best = np.ascontiguousarray(score[:, at : at + wide]), np.full((len(score), min(wide, score.shape[1] - at)), -np.inf)
+            for sources, low, targets, to, place in self.terms:
+                of_group = (here[sources] + low).max(1)
+                reached = of_group[targets].max(1) if targets.shape[1] > 1 else of_group[targets[:, 0]]
+                if len(to) == len(best):
+                    np.maximum(best, reached[place], out=best)
+                else:
+                    best[to] = np.maximum(best[to], reached[place])
+            out[:, at : at + wide] = best
+        return out
+
+
+def log_floor(m: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(m, TINY))
+
+
+def best_paths(p: Parameters, pack: Packed, relations: Relations | None = None) -> np.ndarray:
+    """Likeliest state at every row of a pack; of equals the lowest.
+
+    Only scores are kept; where a state of the path came from is found again on the way back, for
+    that state alone. ``relations`` of the log transitions save work and change no result.
+    """
+    move, emit = log_floor(p.transition), log_floor(p.emission)
+    come, states = np.ascontiguousarray(move.T)[None], len(p.initial)
+    score = log_floor(p.initial)[:, None] + emit[:, pack.y[pack.rows(0)]]
     final = [score]
     wide = max(1, 4_000_000 // states**2)
     for t in range(1, len(pack.live)):
-        here, fresh = pack.rows(t), np.empty((pack.live[t], states))
-        for i in range(0, len(fresh), wide):
-            reach = score[i : min(i + wide, len(fresh)), None, :] + come  # row x to x from
-            best = reach.argmax(2)
-            origin[here.start + i : here.start + i + len(best)] = best
-            fresh[i : i + len(best)] = np.take_along_axis(reach, best[:, :, None], 2)[:, :, 0]
-        score = fresh + emit[pack.y[here]]
+        here, before = pack.rows(t), score[:, : pack.live[t]]
+        if relations:
+            fresh = relations.best(before)
+        else:
+            fresh = np.empty(before.shape)
+            for i in range(0, pack.live[t], wide):
+                fresh[:, i : i + wide] = (before[:, i : i + wide].T[:, None, :] + come).max(2).T  # row x to x from
+        score = fresh + emit[:, pack.y[here]]
         final.append(score)
     path = np.empty(len(pack.y), dtype=np.int32)
     for t in range(len(pack.live) - 1, -1, -1):
         here = pack.rows(t)
         goes_on = pack.live[t + 1] if t + 1 < len(pack.live) else 0
         if goes_on:
-            after = pack.rows(t + 1)
-            path[here.start : here.start + goes_on] = origin[np.arange(after.start, after.stop), path[after]]
-        path[here.start + goes_on : here.stop] = final[t][goes_on:].argmax(1)
+            path[here.start : here.start + goes_on] = (final[t][:, :goes_on] + move[:, path[pack.rows(t + 1)]]).argmax(0)
+        path[here.start + goes_on : here.stop] = final[t][:, goes_on:].argmax(0)
     return path
 
 
-def viterbi(tokens: DataFrame, p: Parameters) -> DataFrame:
+def viterbi(tokens: DataFrame, p: Parameters, relations: Relations | None = None) -> DataFrame:
     """``(piece_id, t, state)``: the likeliest path of each sequence, the lowest state of equals."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            ids = part["piece_id"].to_numpy()
-            for at, pack in packs(arrays(part["tokens"]), len(p.initial)):
+            ids, sequences = part["piece_id"].to_numpy(), arrays(part["tokens"])
+            even = np.argsort([len(s) for s in sequences], kind="stable")  # sequences of a pack end together
+            ids, sequences = ids[even], [sequences[i] for i in even]
+            for at, pack in packs(sequences, len(p.initial), 8_000_000):
                 n = np.zeros(len(pack.order), dtype=np.int64)
                 n[pack.order] = pack.sizes
-                states = pack.split(best_paths(p, pack)) if len(pack.y) else []
+                states = pack.split(best_paths(p, pack, relations)) if len(pack.y) else []
                 yield pd.DataFrame(
                     {
                         "piece_id": np.repeat(ids[at : at + len(n)], n),

@@ -289,7 +289,8 @@ def chord_parameters(spark) -> HM.Parameters:
 
 def chord_paths(spark, d):
     sequences = pitch_sequences(spark, d).withColumn("tokens", F.transform("tokens", lambda x: F.pmod(x, F.lit(12))))
-    return HM.viterbi(sequences, chord_parameters(spark))
+    p = chord_parameters(spark)
+    return HM.viterbi(sequences, p, HM.Relations(HM.log_floor(p.transition), H.move_relations()))
 
 
 @C.add("hmm04_chord_segments")

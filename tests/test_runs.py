@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions import scalars as N
 from scorelake.operators import audits as A
+from scorelake.operators import harmony as H
 from scorelake.operators import hidden_markov as HM
 from scorelake.operators import quality as Q
 from scorelake.operators import sequences as S
@@ -106,6 +107,18 @@ def test_chord_model_decodes_its_own_chords(spark):
     assert len(set(path.tolist())) == 1 and p.emission[path[0], [0, 4, 7]].min() > 0.1
 
 
+def test_relations_change_no_path(spark):
+    p, rng = R.chord_parameters(spark), np.random.default_rng(8)
+    relations = HM.Relations(HM.log_floor(p.transition), H.move_relations())
+    pack = HM.Packed([np.repeat(rng.integers(0, 12, n), 1 + k % 3) for k, n in enumerate((0, 1, 2, 7, 7, 30, 41, 12))])
+    assert HM.best_paths(p, pack, relations).tolist() == HM.best_paths(p, pack).tolist()
+    score = rng.normal(size=(252, 300)).round(1)  # many are equal
+    dense = (score.T[:, None, :] + HM.log_floor(p.transition).T[None]).max(2).T
+    assert np.array_equal(relations.best(score, 77), dense)
+    with pytest.raises(ValueError):
+        HM.Relations(HM.log_floor(p.transition), H.move_relations()[1:])
+
+
 def test_posterior_mean_lists_every_emission(spark, monkeypatch):
     p = HM.example_parameters(2, 3)
     monkeypatch.setattr(P, "hdp_grid", lambda spark, d: (0, p, []))
