@@ -68,6 +68,15 @@ def test_few_scores_are_in_python_at_once():
     assert [{k: v for k, v in r.items() if k != "events"} for r in got] == brief
 
 
+def test_events_come_back_from_batches_of_scores(spark):
+    rows = [(float(i), 1.0, [60 + i % 3, 72]) for i in range(33)]
+    scores = spark.createDataFrame([(f"p{i}", musicxml.write(rows[: 31 + i % 3])) for i in range(150)], "piece_id string, content string").coalesce(1)
+    parsed = musicxml.parse_files(scores)
+    assert "MapInArrow" in parsed._jdf.queryExecution().executedPlan().toString()  # batches are cut before they become Python objects
+    got = musicxml.exploded(parsed).groupBy("piece_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("midi_pitches")).alias("m"), F.max("offset").alias("last")).collect()
+    assert {(r["piece_id"], r["n"], r["m"], r["last"]) for r in got} == {(f"p{i}", n, 2 * n, n - 1.0) for i in range(150) if (n := 31 + i % 3) >= 32}
+
+
 def test_json_catalogs(spark, tmp_path):
     for i, body in enumerate([{"encodings": {"musicxml": "x"}}, {"encodings": [{"MusicXML": "y"}]}, {"encodings": []}, {}]):
         (tmp_path / f"{i}.json").write_text(json.dumps(body))
