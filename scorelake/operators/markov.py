@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.operators.sequences import ngram_counts, slice_context
+from scorelake.session import cut_lineage
 
 ALPHA, BACKOFF = 0.5, 1.0
 
@@ -78,15 +79,18 @@ def evaluate(scored: DataFrame, *keys: str) -> DataFrame:
 
 
 def select_order(train: DataFrame, validation: DataFrame, orders: list[int], bos: int, length: int) -> DataFrame:
-    """``(depth, nll, cells)`` of each candidate order on the validation pieces; the counts are made once."""
-    counts = fit(train, max(orders), bos)
-    out = None
+    """``(depth, nll, cells)`` of each candidate order on the validation pieces.
+
+    The counts are made and written once; each order is a job of its own on them, whose one row
+    comes back, so neither plans nor what the driver holds for them add up.
+    """
+    counts, held = cut_lineage(fit(train, max(orders), bos)), cut_lineage(validation)
+    cells = {r["k"]: r["cells"] for r in counts.groupBy("k").agg(F.count(F.lit(1)).alias("cells")).collect()}
+    rows = []
     for depth in orders:
-        model = counts.where(F.col("k") <= depth)
-        nll = evaluate(score(validation, model, depth, bos, length)).select(F.lit(depth).alias("depth"), "nll")
-        row = nll.crossJoin(model.agg(F.count(F.lit(1)).alias("cells")))
-        out = row if out is None else out.unionByName(row)
-    return out
+        nll = evaluate(score(held, counts.where(F.col("k") <= depth), depth, bos, length)).first()["nll"]
+        rows.append((depth, nll, sum(n for k, n in cells.items() if k <= depth)))
+    return counts.sparkSession.createDataFrame(rows, "depth int, nll double, cells long")
 
 
 def generate(model: DataFrame, prompts: DataFrame, steps: int, depth: int, bos: int) -> DataFrame:
