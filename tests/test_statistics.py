@@ -54,6 +54,18 @@ def test_bootstrap_takes_ten_thousand_resamples(spark):
     assert np.allclose([few["low"], few["high"]], np.percentile(means[:200], [2.5, 97.5]), atol=1e-6) and few != got
 
 
+def test_bootstrap_moves_no_draws(spark):
+    values = {"b": [0.3, -1.0, 2.5, 0.7, 4.0, 1.5], "c": [5.0, 1.0, -2.0]}
+    df = spark.createDataFrame([("a", m, f"w{i}", x) for m, v in values.items() for i, x in enumerate(v)], "model_a string, model_b string, work string, difference double")
+    out = T.bootstrap(df, 50)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1  # groups of resamples, not draws
+    pick = lambda v, b, i: v[int(hashlib.md5(f"7:{b}:{i}".encode()).hexdigest()[:8], 16) % len(v)]
+    for r in out.collect():
+        v = values[r["model_b"]]
+        means = [sum(pick(v, b, i) for i in range(len(v))) / len(v) for b in range(50)]
+        assert np.allclose([r["low"], r["high"]], np.percentile(means, [2.5, 97.5]), atol=1e-6)
+
+
 def test_agreement(spark):
     def score(a, b):
         r = T.agreement(spark.createDataFrame(list(zip(a, b)), "x string, y string"), "x", "y").first()
