@@ -32,6 +32,12 @@ def test_order_selection(spark):
     assert rows[1][1] == 5 and math.isclose(rows[1][0], -math.log(71 / 105 * 37 / 63 * 71 / 105) / 3, abs_tol=1e-6) and rows[1][0] < rows[0][0]
 
 
+def test_orders_do_not_pile_up_in_one_plan(spark):
+    train, validation = tokens(spark, [0, 1, 0], [0, 1, 0]), tokens(spark, [0, 1, 0])
+    plan = V.select_order(train, validation, [0, 1, 2], 2, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Window" not in plan
+
+
 def test_scores(spark):
     rows = spark.createDataFrame([(0.7, 0, 0, 0.14), (0.1, 1, 2, 1.26), (0.6, 1, 1, 0.46)], "probability double, best int, token int, brier double")
     one = V.evaluate(rows).first()
