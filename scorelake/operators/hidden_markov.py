@@ -2,16 +2,20 @@
 
 Scoring and decoding run where the sequences are; fitting keeps the parameters (a few states by
 a few symbols) on the driver and sends them to one job an iteration, which returns summed
-counts. Many sequences are worked on together, step by step, in linear scale.
+counts. Many sequences are worked on together, step by step, in linear scale. They are laid out
+for that once and kept, so an iteration reads a few large rows and sends back one of each task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +69,13 @@ class Packed:
         self.sizes = sizes
         self.y = self.lay([sequences[i] for i in self.order], np.int64)
 
+    @classmethod
+    def read(cls, live: np.ndarray, y: np.ndarray) -> Packed:
+        """Of a row of :func:`laid`: steps and symbols, without the way back to the sequences."""
+        pack = cls.__new__(cls)
+        pack.live, pack.y, pack.offset = live, y.astype(np.int64), np.r_[0, np.cumsum(live)]
+        return pack
+
     def lay(self, ranked: list[np.ndarray], kind: type) -> np.ndarray:
         """Flat array of values given for each sequence in rank order."""
         out = np.empty(len(self.slot), dtype=kind)
@@ -103,18 +114,28 @@ def packs(sequences: list[np.ndarray], states: int, cells: int = 4_000_000) -> I
         yield begin, Packed(sequences[begin:])
 
 
+def table(of_symbols: np.ndarray, pack: Packed) -> np.ndarray:
+    """Rows by symbol, from which those of a step are taken without a check of each; all symbols are checked here."""
+    if len(pack.y) and not 0 <= pack.y.min() <= pack.y.max() < len(of_symbols):
+        raise IndexError(f"a symbol is none of {len(of_symbols)}")
+    return np.ascontiguousarray(of_symbols)
+
+
 def filtered(p: Parameters, pack: Packed) -> tuple[np.ndarray, np.ndarray]:
     """State probabilities at every step given the past, and the probability of each symbol given the past."""
-    alpha = p.emission.T[pack.y]
-    scale = np.empty(len(pack.y))
+    emission, ones = table(p.emission.T, pack), np.ones(len(p.initial))
+    alpha, scale = np.empty((len(pack.y), len(ones))), np.empty(len(pack.y))
+    chance = np.empty((pack.live[0] if len(pack.live) else 0, len(ones)))
     for t in range(len(pack.live)):
-        here = pack.rows(t)
+        here, of_symbol = pack.rows(t), chance[: pack.live[t]]
+        now, total = alpha[here], scale[here]
         if t:
-            alpha[here] *= alpha[pack.rows(t - 1, pack.live[t])] @ p.transition
+            np.matmul(alpha[pack.rows(t - 1, pack.live[t])], p.transition, out=now)
         else:
-            alpha[here] *= p.initial
-        scale[here] = np.maximum(alpha[here].sum(1), TINY)
-        alpha[here] /= scale[here, None]
+            now[:] = p.initial
+        now *= emission.take(pack.y[here], 0, of_symbol, "clip")
+        np.maximum(np.matmul(now, ones, out=total), TINY, out=total)
+        now /= total[:, None]
     return alpha, scale
 
 
@@ -126,20 +147,24 @@ def expectations(p: Parameters, pack: Packed) -> tuple[np.ndarray, np.ndarray, n
     """
     states, symbols = p.emission.shape
     posterior, scale = filtered(p, pack)
-    moves = np.zeros((states, states))
-    ahead = np.empty((0, states))
+    emission, back, known = table(p.emission.T, pack), np.ascontiguousarray(p.transition.T), np.eye(symbols)
+    moves, emitted = np.zeros((states, states)), np.zeros((symbols, states))
+    most, goes_on = pack.live[0] if len(pack.live) else 0, 0
+    ahead, seen, marks = np.empty((most, states)), np.empty((most, states)), np.empty((most, symbols))
     for t in range(len(pack.live) - 1, -1, -1):
-        here = pack.rows(t)
-        now = np.ones((pack.live[t], states))
-        if len(ahead):
-            after = pack.rows(t + 1)
-            seen = p.emission.T[pack.y[after]] * ahead / scale[after, None]
-            moves += posterior[here][: len(ahead)].T @ seen
-            now[: len(ahead)] = seen @ p.transition.T
-        posterior[here] *= now
-        ahead = now
-    cell = pack.y[:, None] * states + np.arange(states)
-    emitted = np.bincount(cell.ravel(), posterior.ravel(), symbols * states).reshape(symbols, states)
+        here, n = pack.rows(t), pack.live[t]
+        now, posteriors, y = ahead[:n], posterior[here], pack.y[here]
+        if goes_on:
+            moves += posteriors[:goes_on].T @ seen[:goes_on]
+            np.matmul(seen[:goes_on], back, out=now[:goes_on])
+        now[goes_on:] = 1
+        posteriors *= now
+        emitted += known.take(y, 0, marks[:n], "clip").T @ posteriors
+        if t:
+            emission.take(y, 0, seen[:n], "clip")
+            seen[:n] *= now
+            seen[:n] /= scale[here, None]
+        goes_on = n
     first = posterior[pack.rows(0)].sum(0) if len(pack.live) else np.zeros(states)
     return first, moves * p.transition, emitted.T, float(np.log(scale).sum())
 
@@ -148,51 +173,96 @@ def arrays(column: pd.Series) -> list[np.ndarray]:
     return [np.asarray(t, dtype=np.int64) for t in column]
 
 
-COUNTS = "part string, i int, j int, n double"
-
+#: Tokens of a row of :func:`laid`; with few hundred sequences a row, a step works on enough of them at once.
+PACK = 60_000
+LAID = [("keys", np.int64), ("live", np.int32), ("y", np.int32)]
 
-def expected_counts(tokens: DataFrame, p: Parameters) -> pd.DataFrame:
-    """Counts summed over the corpus: partial sums in each task, one aggregation, K x (K + V + 1) rows back."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            first, moves, emitted, ll = np.zeros_like(p.initial), np.zeros_like(p.transition), np.zeros_like(p.emission), 0.0
-            for _, pack in packs(arrays(part["tokens"]), len(p.initial)):
-                a, b, c, d = expectations(p, pack)
-                first, moves, emitted, ll = first + a, moves + b, emitted + c, ll + d
-            rows = [("first", i, 0, x) for i, x in enumerate(first)] + [("ll", 0, 0, ll)]
-            rows += [("move", i, j, moves[i, j]) for i, j in np.ndindex(moves.shape)] + [("emit", i, j, emitted[i, j]) for i, j in np.ndindex(emitted.shape)]
-            yield pd.DataFrame(rows, columns=["part", "i", "j", "n"])
-
-    return tokens.select("tokens").mapInPandas(run, COUNTS).groupBy("part", "i", "j").agg(F.sum("n").alias("n")).toPandas()
 
+def laid(tokens: DataFrame) -> DataFrame:
+    """Sequences packed as they are worked on, about ``PACK`` tokens a row, those of like lengths together.
 
-def matrix(counts: pd.DataFrame, part: str, shape: tuple[int, int]) -> np.ndarray:
-    out = np.zeros(shape)
-    rows = counts[counts["part"] == part]
-    out[rows["i"], rows["j"]] = rows["n"]
-    return out
+    Every sequence has a key from its ``piece_id``, if there is one, for numbers drawn for it. Rows
+    are spread evenly over the cores. What is laid already stays as it is.
+    """
+    if tokens.columns == [name for name, _ in LAID]:
+        return tokens
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, (flat, ends) = batch["key"].to_numpy(zero_copy_only=False), flattened(batch["tokens"])
+            order = np.argsort(np.diff(ends), kind="stable")
+            for _, pack in packs([flat[ends[i] : ends[i + 1]] for i in order], 1, PACK):
+                ranked, order = order[: len(pack.order)][pack.order], order[len(pack.order) :]
+                values = [keys[ranked], pack.live, pack.y]
+                yield pa.RecordBatch.from_arrays([pa.array([v.astype(kind).tobytes()]) for v, (_, kind) in zip(values, LAID)], [name for name, _ in LAID])
+
+    key = F.xxhash64("piece_id") if "piece_id" in tokens.columns else F.lit(0).cast("long")
+    rows = tokens.select(key.alias("key"), F.col("tokens").cast("array<int>").alias("tokens")).mapInArrow(run, ", ".join(f"{name} binary" for name, _ in LAID))
+    return rows.repartition(tokens.sparkSession.sparkContext.defaultParallelism)
+
+
+def flattened(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists end to end, and where each begins and the last ends."""
+    ends = np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False), ends
+
+
+@contextmanager
+def kept(tokens: DataFrame) -> Iterator[DataFrame]:
+    """Sequences laid, and cached as long as iterations go over them; who laid them before keeps them."""
+    rows = laid(tokens)
+    if rows is tokens:
+        yield rows
+        return
+    rows = rows.persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
+def summed(tokens: DataFrame, of_pack: Callable[[Packed, np.ndarray], list[np.ndarray]]) -> list[np.ndarray] | None:
+    """Arrays made of each pack and its keys, summed: one row a task comes to the driver. None without sequences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for row in zip(*(batch[name].to_pylist() for name, _ in LAID)):
+                keys, live, y = (np.frombuffer(x, kind) for x, (_, kind) in zip(row, LAID))
+                found = of_pack(Packed.read(live, y), keys)
+                total = found if total is None else [a + b for a, b in zip(total, found)]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(x, dtype=np.float64).tobytes()]) for x in total], [f"a{i}" for i in range(len(total))])
+
+    shapes = [np.shape(x) for x in of_pack(Packed([]), np.empty(0, np.int64))]
+    rows = laid(tokens).mapInArrow(run, ", ".join(f"a{i} binary" for i in range(len(shapes)))).collect()
+    return [sum(np.frombuffer(r[i]).reshape(shape) for r in rows) for i, shape in enumerate(shapes)] if rows else None
+
+
+def expected_counts(tokens: DataFrame, p: Parameters) -> list[np.ndarray] | None:
+    """Expected initial, transition and emission counts and the log likelihood of the corpus; None without sequences."""
+    return summed(tokens, lambda pack, keys: list(expectations(p, pack)))
 
 
 def fit(tokens: DataFrame, states: int, symbols: int, iterations: int = 10, smoothing: float = 1e-3, tolerance: float = 1e-4, seed: int = 0) -> tuple[Parameters, list[float]]:
     """Baum-Welch; returns the parameters and the log likelihood before each update."""
     p, history = Parameters.start(states, symbols, seed), []
-    for _ in range(iterations):
-        counts = expected_counts(tokens, p)
-        if counts.empty:
-            break
-        history.append(float(matrix(counts, "ll", (1, 1))[0, 0]))
-        p = maximised(counts, p, smoothing)
-        if len(history) > 1 and abs(history[-1] - history[-2]) <= tolerance * abs(history[-2]):
-            break
+    with kept(tokens) as rows:
+        for _ in range(iterations):
+            counts = expected_counts(rows, p)
+            if counts is None:
+                break
+            history.append(float(counts[3]))
+            p = maximised(counts, smoothing)
+            if len(history) > 1 and abs(history[-1] - history[-2]) <= tolerance * abs(history[-2]):
+                break
     return p, history
 
 
-def maximised(counts: pd.DataFrame, p: Parameters, smoothing: float) -> Parameters:
+def maximised(counts: list[np.ndarray], smoothing: float) -> Parameters:
     """The parameters that expected counts make likeliest."""
-    rows = lambda part, m: (matrix(counts, part, m.shape) + smoothing) / (matrix(counts, part, m.shape) + smoothing).sum(1, keepdims=True)
-    first = matrix(counts, "first", (len(p.initial), 1))[:, 0] + smoothing
-    return Parameters(first / first.sum(), rows("move", p.transition), rows("emit", p.emission))
+    first, moves, emitted = (x + smoothing for x in counts[:3])
+    return Parameters(first / first.sum(), moves / moves.sum(1, keepdims=True), emitted / emitted.sum(1, keepdims=True))
 
 
 def begun(tokens: DataFrame, bos: int) -> DataFrame:
@@ -217,17 +287,12 @@ def conditional_scores(slices: DataFrame, p: Parameters, bos: int) -> DataFrame:
 def held_out_nll(slices: DataFrame, p: Parameters, bos: int) -> float:
     """Negative log likelihood a token; every slice begins with the start symbol, which isn't scored."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            n, ll = 0, 0.0
-            for _, pack in packs(arrays(part["tokens"]), len(p.initial)):
-                log = np.log(filtered(p, pack)[1])
-                begin = pack.live[0] if len(pack.live) else 0
-                n, ll = n + len(log) - int(begin), ll + float(log[begin:].sum())
-            yield pd.DataFrame({"n": [n], "ll": [ll]})
+    def of_pack(pack: Packed, keys: np.ndarray) -> list[np.ndarray]:
+        log = np.log(filtered(p, pack)[1])[pack.live[0] if len(pack.live) else 0 :]
+        return [np.float64(len(log)), log.sum()]
 
-    total = slices.select("tokens").mapInPandas(run, "n long, ll double").agg(F.sum("n").alias("n"), F.sum("ll").alias("ll")).first()
-    return -(total["ll"] or 0.0) / max(1, total["n"] or 0)
+    n, ll = summed(slices, of_pack) or (0, 0.0)
+    return -float(ll) / max(1, float(n))
 
 
 def fit_validated(
@@ -241,29 +306,33 @@ def fit_validated(
     likelihood before, and the validation NLL after each update.
     """
     best, least, history = p, float("inf"), []
-    for _ in range(iterations):
-        counts = expected_counts(train, p)
-        if counts.empty:
-            break
-        p = maximised(counts, p, smoothing)
-        nll = held_out_nll(validation, p, bos)
-        history.append((float(matrix(counts, "ll", (1, 1))[0, 0]), nll))
-        if nll + tolerance < least:
-            best, least = p, nll
-        elif abs(nll - least) <= tolerance:
-            break
+    with kept(train) as train, kept(validation) as validation:
+        for _ in range(iterations):
+            counts = expected_counts(train, p)
+            if counts is None:
+                break
+            p = maximised(counts, smoothing)
+            nll = held_out_nll(validation, p, bos)
+            history.append((float(counts[3]), nll))
+            if nll + tolerance < least:
+                best, least = p, nll
+            elif abs(nll - least) <= tolerance:
+                break
     return best, least, history
 
 
 def fit_grid(
     train: DataFrame, validation: DataFrame, grid: tuple[int, ...], symbols: int, bos: int, iterations: int = 100, tolerance: float = 1e-4, seed: int = 0
 ) -> tuple[int, Parameters, dict[int, tuple[float, list[tuple[float, float]]]]]:
-    """One fit for each number of states: the number with the least validation NLL, its parameters, and the NLL and history of all."""
-    rng, fits, log = np.random.default_rng(seed), {}, {}
-    for states in grid:
-        start = Parameters.start(states, symbols, int(rng.integers(0, 2**32 - 1)), 1.0)
-        fits[states], least, history = fit_validated(train, validation, start, bos, iterations, tolerance=tolerance)
-        log[states] = (least, history)
+    """One fit for each number of states: the number with the least validation NLL, its parameters, and the NLL and history of all.
+
+    The fits don't depend on each other and run side by side, so the jobs of one fill the cores between those of another.
+    """
+    rng = np.random.default_rng(seed)
+    starts = [Parameters.start(states, symbols, int(rng.integers(0, 2**32 - 1)), 1.0) for states in grid]
+    with kept(train) as train, kept(validation) as validation, ThreadPoolExecutor(len(grid)) as pool:
+        done = list(pool.map(lambda start: fit_validated(train, validation, start, bos, iterations, tolerance=tolerance), starts))
+    fits, log = {k: p for k, (p, _, _) in zip(grid, done)}, {k: (least, history) for k, (_, least, history) in zip(grid, done)}
     best = min(grid, key=lambda k: log[k][0])
     return best, fits[best], log
 
@@ -391,17 +460,45 @@ def viterbi(tokens: DataFrame, p: Parameters, relations: Relations | None = None
 def drawn_paths(p: Parameters, pack: Packed, uniform: np.ndarray) -> np.ndarray:
     """A state path of each sequence from its posterior: filtered forward, drawn backward, one uniform number a row."""
     alpha, _ = filtered(p, pack)
-    path = np.empty(len(pack.y), dtype=np.int32)
+    path = np.empty(len(pack.y), dtype=np.int64)
+    back, up_to = np.ascontiguousarray(p.transition.T), np.triu(np.ones(p.transition.shape))
+    moved = np.empty((pack.live[0] if len(pack.live) else 0, len(back)))
     for t in range(len(pack.live) - 1, -1, -1):
         here, weight = pack.rows(t), alpha[pack.rows(t)]
         if t + 1 < len(pack.live):
-            weight = weight.copy()
-            weight[: pack.live[t + 1]] *= p.transition.T[path[pack.rows(t + 1)]]
-        mass = np.cumsum(weight, axis=1)
-        path[here] = np.minimum((mass <= uniform[here, None] * mass[:, -1:]).sum(1), len(p.initial) - 1)
+            weight[: pack.live[t + 1]] *= back.take(path[pack.rows(t + 1)], 0, moved[: pack.live[t + 1]], "clip")
+        mass = weight @ up_to
+        beyond = mass > uniform[here, None] * mass[:, -1:]
+        beyond[:, -1] = True
+        path[here] = beyond.argmax(1)
     return path
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of SplitMix64 on 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def drawn_numbers(keys: np.ndarray, pack: Packed, seed: int) -> np.ndarray:
+    """A uniform number for every row of a pack, by SplitMix64 from the key of its sequence and the seed, so tasks may be repeated."""
+    begin = mixed(keys.view(np.uint64) ^ mixed(np.array([seed], dtype=np.uint64)))
+    step = np.repeat(np.arange(len(pack.live)), pack.live)
+    rank = np.arange(len(pack.y)) - pack.offset[step]
+    return (mixed(begin[rank] + step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0**-53
+
+
+def path_counts(p: Parameters, pack: Packed, z: np.ndarray) -> list[np.ndarray]:
+    """First states, moves and emissions of paths of a pack."""
+    states, symbols = p.emission.shape
+    first = int(pack.live[0]) if len(pack.live) else 0
+    before = np.arange(first, len(z)) - np.repeat(pack.live[:-1], pack.live[1:])
+    moves = np.bincount(z[before] * states + z[first:], minlength=states * states)
+    emitted = np.bincount(z * symbols + pack.y, minlength=states * symbols)
+    return [np.bincount(z[:first], minlength=states), moves.reshape(states, states), emitted.reshape(states, symbols)]
+
+
 def drawn_in_packs(ids: list[str], sequences: list[np.ndarray], p: Parameters, seed: int) -> Iterator[tuple[int, Packed, np.ndarray]]:
     """(first index, pack, path at every row); numbers come from each piece's own seed, so tasks may be repeated."""
     for at, pack in packs(sequences, len(p.initial)):
@@ -428,19 +525,54 @@ def backward_samples(tokens: DataFrame, p: Parameters, seed: int) -> DataFrame:
     return tokens.select("piece_id", "tokens").mapInPandas(run, "piece_id string, states array<int>")
 
 
-def table_count(n: int, a: float, rng: np.random.Generator, chunk: int = 1 << 20) -> int:
-    """Tables of n customers with concentration a, each customer drawn, so the law is exact at every n."""
-    return sum(int((rng.random(min(chunk, n - i)) < a / (a + np.arange(i, min(i + chunk, n)))).sum()) for i in range(0, n, chunk))
+def table_count(n: np.ndarray, a: np.ndarray, rng: np.random.Generator, chunk: int = 1 << 20) -> np.ndarray:
+    """Tables of n customers with concentration a (arrays of one shape, or numbers), exact in law at every n.
+
+    Customer i opens a table with chance a / (a + i). The first ones are drawn singly, about ``chunk``
+    at once. Later ones seldom do, so of each doubling block those are drawn who would at the
+    block's largest chance, a few places without repeats, and each is kept by its own chance over that.
+    """
+    shape = np.broadcast_shapes(np.shape(n), np.shape(a))
+    n, a = (np.broadcast_to(x, shape).ravel() for x in (np.asarray(n, dtype=np.int64), np.asarray(a, dtype=float)))
+    out, singly = np.zeros(len(n), dtype=np.int64), int(max(64, np.ceil(a.max(initial=0.0)) ** 2))
+    begin, wide = 0, max(1, chunk // max(1, len(n)))
+    while begin < min(singly, n.max(initial=0)):
+        i = np.arange(begin, min(begin + wide, singly))
+        out += ((rng.random((len(n), len(i))) * (a[:, None] + i) < a[:, None]) & (i < n[:, None])).sum(1)
+        begin += len(i)
+    while begin < n.max(initial=0):
+        cells = np.flatnonzero(n > begin)
+        size, most = np.minimum(n[cells], 2 * begin) - begin, a[cells] / (a[cells] + begin)
+        cell = np.repeat(np.arange(len(cells)), rng.binomial(size, most))
+        place = rng.integers(0, size[cell])
+        while True:
+            order = np.lexsort((place, cell))
+            twice = cell[order[1:]][(np.diff(cell[order]) == 0) & (np.diff(place[order]) == 0)]
+            if not len(twice):
+                break
+            again = np.isin(cell, twice)
+            place[again] = rng.integers(0, size[cell[again]])
+        opened = rng.random(len(cell)) * most[cell] * (a[cells][cell] + begin + place) < a[cells][cell]
+        out += np.bincount(cells[cell[opened]], minlength=len(n))
+        begin *= 2
+    return out.reshape(shape)
 
 
 def gibbs_grid(
     train: DataFrame, validation: DataFrame, grid: tuple[tuple[float, float, float], ...], states: int, symbols: int, bos: int, iterations: int, burn_in: int, seed: int
 ) -> tuple[int, Parameters, list[tuple[float, list[dict]]]]:
-    """A chain for each (alpha, alpha of first states, gamma), without stickiness: the one of least validation NLL, its posterior mean, and the NLL and trace of all."""
-    out = []
-    for i, (alpha, initial, gamma) in enumerate(grid):
-        p, trace = gibbs(train, states, symbols, iterations, alpha, gamma, 0.0, 1.0 / symbols, seed + i, initial, burn_in)
-        out.append((held_out_nll(validation, p, bos), trace, p))
+    """A chain for each (alpha, alpha of first states, gamma), without stickiness: the one of least validation NLL, its posterior mean, and the NLL and trace of all.
+
+    The chains run side by side.
+    """
+    with kept(train) as train, ThreadPoolExecutor(len(grid)) as pool:
+
+        def chain(i: int) -> tuple[float, list[dict], Parameters]:
+            alpha, initial, gamma = grid[i]
+            p, trace = gibbs(train, states, symbols, iterations, alpha, gamma, 0.0, 1.0 / symbols, seed + i, initial, burn_in)
+            return held_out_nll(validation, p, bos), trace, p
+
+        out = list(pool.map(chain, range(len(grid))))
     best = min(range(len(grid)), key=lambda i: out[i][0])
     return best, out[best][2], [(nll, trace) for nll, trace, _ in out]
 
@@ -463,46 +595,27 @@ def gibbs(
     beta = sticks * np.r_[1.0, np.cumprod(1 - sticks)[:-1]]
     beta /= beta.sum()
     p = Parameters.start(states, symbols, seed)
-    trace, kept = [], []
-    for it in range(iterations):
-        here = p
-
-        def count(parts: Iterator[pd.DataFrame], it: int = it, p: Parameters = here) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                first, moves, emitted, ll = np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols)), 0.0
-                for _, pack, z in drawn_in_packs(part["piece_id"].tolist(), arrays(part["tokens"]), p, seed * 10_007 + it):
-                    emitted += np.bincount(z * symbols + pack.y, minlength=states * symbols).reshape(states, symbols)
-                    ll += np.log(np.maximum(p.emission[z, pack.y], TINY)).sum()
-                    if len(pack.live):
-                        first += np.bincount(z[pack.rows(0)], minlength=states)
-                    for t in range(1, len(pack.live)):
-                        before, now = z[pack.rows(t - 1, pack.live[t])], z[pack.rows(t)]
-                        moves += np.bincount(before * states + now, minlength=states * states).reshape(states, states)
-                        ll += np.log(np.maximum(p.transition[before, now], TINY)).sum()
-                rows = [("first", i, 0, x) for i, x in enumerate(first)] + [("ll", 0, 0, ll)]
-                rows += [("move", i, j, moves[i, j]) for i, j in np.ndindex(moves.shape)] + [("emit", i, j, emitted[i, j]) for i, j in np.ndindex(emitted.shape)]
-                yield pd.DataFrame(rows, columns=["part", "i", "j", "n"])
-
-        counts = tokens.select("piece_id", "tokens").mapInPandas(count, COUNTS).groupBy("part", "i", "j").agg(F.sum("n").alias("n")).toPandas()
-        if counts.empty:
-            break
-        moves, emitted = matrix(counts, "move", (states, states)), matrix(counts, "emit", (states, symbols))
-        tables = np.zeros((states, states))
-        for i, j in np.argwhere(moves > 0):
-            tables[i, j] = table_count(int(moves[i, j]), alpha * beta[j] + kappa * (i == j), rng)
-        own = rng.binomial(np.diag(tables).astype(int), kappa / (kappa + alpha * np.maximum(beta, TINY)))
-        shared = tables - np.diag(own)
-        beta = rng.dirichlet(gamma / states + shared.sum(0))
-        transition = np.stack([rng.dirichlet(np.maximum(alpha * beta + kappa * (np.arange(states) == i) + moves[i], TINY)) for i in range(states)])
-        emission = np.stack([rng.dirichlet(rho + emitted[i]) for i in range(states)])
-        p = Parameters(rng.dirichlet(np.maximum(alpha_initial * beta, TINY) + matrix(counts, "first", (states, 1))[:, 0]), transition, emission)
-        trace.append(
-            {"iteration": it, "log_likelihood": float(matrix(counts, "ll", (1, 1))[0, 0]), "active_states": int((emitted.sum(1) > 0).sum()), "beta_entropy": float(-(beta * np.log(beta + TINY)).sum())}
-        )
-        if it >= burn_in:
-            kept.append(p)
-    if kept:
-        p = Parameters(*(np.mean([getattr(k, f) for k in kept], axis=0) for f in ("initial", "transition", "emission")))
+    trace, samples = [], []
+    with kept(tokens) as rows:
+        for it in range(iterations):
+            here, numbers = p, seed * 10_007 + it
+            counts = summed(rows, lambda pack, keys, p=here, s=numbers: path_counts(p, pack, drawn_paths(p, pack, drawn_numbers(keys, pack, s))))
+            if counts is None:
+                break
+            first, moves, emitted = counts
+            ll = float((moves * log_floor(p.transition)).sum() + (emitted * log_floor(p.emission)).sum())
+            tables = table_count(moves.round(), alpha * beta + kappa * np.eye(states), rng)
+            own = rng.binomial(np.diag(tables), kappa / (kappa + alpha * np.maximum(beta, TINY)))
+            shared = tables - np.diag(own)
+            beta = rng.dirichlet(gamma / states + shared.sum(0))
+            transition = np.stack([rng.dirichlet(np.maximum(alpha * beta + kappa * (np.arange(states) == i) + moves[i], TINY)) for i in range(states)])
+            emission = np.stack([rng.dirichlet(rho + emitted[i]) for i in range(states)])
+            p = Parameters(rng.dirichlet(np.maximum(alpha_initial * beta, TINY) + first), transition, emission)
+            trace.append({"iteration": it, "log_likelihood": ll, "active_states": int((emitted.sum(1) > 0).sum()), "beta_entropy": float(-(beta * np.log(beta + TINY)).sum())})
+            if it >= burn_in:
+                samples.append(p)
+    if samples:
+        p = Parameters(*(np.mean([getattr(x, f) for x in samples], axis=0) for f in ("initial", "transition", "emission")))
     return p, trace
 
 

@@ -166,13 +166,9 @@ def split_sequences(spark, d, split: str):
 
 def hmm_grid(spark, d):
     """``HM.fit_grid`` on the whole train and validation splits."""
-    train = HM.begun(split_sequences(spark, d, "train"), HMM_BOS).persist()
-    validation = HM.begun_slices(split_sequences(spark, d, "validation"), HMM_BOS, HMM_SLICE).persist()
-    try:
-        return HM.fit_grid(train, validation, HMM_STATES, HMM_BOS + 1, HMM_BOS, HMM_UPDATES, seed=1)
-    finally:
-        train.unpersist()
-        validation.unpersist()
+    train = HM.begun(split_sequences(spark, d, "train"), HMM_BOS)
+    validation = HM.begun_slices(split_sequences(spark, d, "validation"), HMM_BOS, HMM_SLICE)
+    return HM.fit_grid(train, validation, HMM_STATES, HMM_BOS + 1, HMM_BOS, HMM_UPDATES, seed=1)
 
 
 @C.add("hmm07_fit")
@@ -212,13 +208,9 @@ HDP_GRID, HDP_STATES, HDP_SWEEPS, HDP_BURN_IN = ((8.0, 4.0, 2.0), (8.0, 8.0, 2.0
 
 def hdp_grid(spark, d):
     """``HM.gibbs_grid`` on the whole train and validation splits."""
-    train = HM.begun(split_sequences(spark, d, "train"), HMM_BOS).persist()
-    validation = HM.begun_slices(split_sequences(spark, d, "validation"), HMM_BOS, HMM_SLICE).persist()
-    try:
-        return HM.gibbs_grid(train, validation, HDP_GRID, HDP_STATES, HMM_BOS + 1, HMM_BOS, HDP_SWEEPS, HDP_BURN_IN, seed=2)
-    finally:
-        train.unpersist()
-        validation.unpersist()
+    train = HM.begun(split_sequences(spark, d, "train"), HMM_BOS)
+    validation = HM.begun_slices(split_sequences(spark, d, "validation"), HMM_BOS, HMM_SLICE)
+    return HM.gibbs_grid(train, validation, HDP_GRID, HDP_STATES, HMM_BOS + 1, HMM_BOS, HDP_SWEEPS, HDP_BURN_IN, seed=2)
 
 
 @C.add("hdp01_gibbs")

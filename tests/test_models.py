@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import threading
 from collections import Counter
 
 import numpy as np
@@ -185,6 +186,47 @@ def test_table_counts_have_one_law():
     assert HM.table_count(0, a, rng) == 0 and HM.table_count(1, a, rng) == 1
 
 
+def test_laid_sequences_give_the_counts_of_each(spark):
+    rng, p = np.random.default_rng(7), HM.Parameters.start(4, 5, 6)
+    ys = [rng.integers(0, 5, n) for n in (3, 9, 1, 0, 9, 40, 2)]
+    rows = HM.laid(spark.createDataFrame([(f"p{i}", y.tolist()) for i, y in enumerate(ys)], "piece_id string, tokens array<int>")).cache()
+    assert HM.laid(rows) is rows and rows.count() < len(ys)  # an iteration reads few rows, and lays nothing out again
+    for got, *want in zip(HM.expected_counts(rows, p), *[HM.expectations(p, HM.Packed([y])) for y in ys]):
+        assert np.allclose(got, sum(want), rtol=1e-9)
+    assert HM.expected_counts(rows.limit(0), p) is None
+    rows.unpersist()
+
+
+def test_fits_and_chains_run_side_by_side(spark, monkeypatch):
+    all_there = threading.Barrier(2, timeout=60)  # breaks if one waits for the other to end
+    empty = spark.createDataFrame([], "piece_id string, tokens array<int>")
+    monkeypatch.setattr(HM, "fit_validated", lambda a, b, start, *c, **d: (all_there.wait(), (start, float(len(start.initial)), []))[1])
+    assert HM.fit_grid(empty, empty, (2, 3), 5, 4)[0] == 2
+    monkeypatch.setattr(HM, "gibbs", lambda *a: (all_there.wait(), (HM.example_parameters(), []))[1])
+    monkeypatch.setattr(HM, "held_out_nll", lambda *a: 1.0)
+    assert HM.gibbs_grid(empty, empty, ((8.0, 4.0, 2.0), (8.0, 8.0, 2.0)), 3, 3, 2, 4, 2, 1)[0] == 0
+
+
+def test_draws_of_a_piece_follow_its_key_alone():
+    ys, keys = [np.arange(n) % 3 for n in (4, 7, 2)], np.array([11, -5, 12])
+    numbers = [HM.drawn_numbers(keys[[i]], HM.Packed([y]), 3) for i, y in enumerate(ys)]
+    pack = HM.Packed(ys)
+    assert all(np.array_equal(a, b) for a, b in zip(pack.split(HM.drawn_numbers(keys[pack.order], pack, 3)), numbers))
+    many = HM.drawn_numbers(np.arange(500), HM.Packed([np.zeros(200)] * 500), 4)
+    assert np.abs(np.bincount((many * 10).astype(int), minlength=10) / 1e5 - 0.1).max() < 0.005 and len(np.unique(many)) == 100_000
+    z, p = np.array([0, 1, 1, 0, 0, 1]), HM.example_parameters(2, 3)
+    first, moves, emitted = HM.path_counts(p, HM.Packed([np.array([0, 2, 1]), np.array([1, 2]), np.array([0])]), z)
+    # rows are step by step: states 0 0 1, 1 0 and 1 of symbols 0 2 1, 1 2 and 0
+    assert first.tolist() == [1, 2] and moves.tolist() == [[1, 1], [1, 0]] and emitted.tolist() == [[1, 0, 2], [1, 2, 0]]
+
+
+def test_tables_of_many_customers_are_few_draws():
+    n, a, rng = np.array([[0, 1], [5_000_000, 300]]), np.array([[3.0, 3.0], [6.0, 0.0]]), np.random.default_rng(9)
+    draws = np.array([HM.table_count(n, a, rng) for _ in range(3000)])
+    q = 6.0 / (6.0 + np.arange(5_000_000))
+    assert (draws[:, 0] == [0, 1]).all() and abs(draws[:, 1, 0].mean() - q.sum()) < 0.7 and abs(draws[:, 1, 0].var() / (q * (1 - q)).sum() - 1) < 0.1
+
+
 def test_gibbs_grid(spark):
     assert (M.HDP_STATES, M.HDP_SWEEPS, M.HDP_BURN_IN, len(M.HDP_GRID)) == (24, 120, 60, 3)
     df = spark.createDataFrame([(f"p{i}", [0, 1, 0, 1]) for i in range(4)], "piece_id string, tokens array<int>")
