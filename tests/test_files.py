@@ -77,6 +77,26 @@ def test_events_come_back_from_batches_of_scores(spark):
     assert {(r["piece_id"], r["n"], r["m"], r["last"]) for r in got} == {(f"p{i}", n, 2 * n, n - 1.0) for i in range(150) if (n := 31 + i % 3) >= 32}
 
 
+def test_scores_are_rewritten_from_batches_of_events():
+    frame = Kept()
+    frame.sortWithinPartitions = frame.drop = frame.select
+    lengths = [(f"p{i:03}", 31 + i % 5 + 2_000 * (i == 40)) for i in range(900)]
+    rows = [{"piece_id": p, "offset": k / 2, "duration": 0.5, "midi_pitches": [60 + k % 7]} for p, n in lengths for k in range(n)]
+    table = pa.Table.from_pylist(rows, pa.schema([("piece_id", pa.string()), ("offset", pa.float64()), ("duration", pa.float64()), ("midi_pitches", pa.list_(pa.int32()))]))
+    out = list(musicxml.rewritten(frame)(iter(table.to_batches(max_chunksize=700))))  # pieces go on in the next batch
+    got = [(r["piece_id"], r["index"], r["offset"], r["midi_pitches"]) for b in out for r in b.to_pylist()]
+    assert got == [(p, k, k / 2, [60 + k % 7]) for p, n in lengths if n >= 32 for k in range(n)]
+    assert len(out) > 2 and max(b.num_rows for b in out) < musicxml.ROWS_OUT + 2_100
+
+
+def test_rewritten_scores_are_read_in_one_python_stage(spark):
+    from scorelake.plans import files as FI
+
+    plan = FI.udtf01(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 1 and plan.count("Sort ") == 1 and "ObjectHashAggregate" not in plan and plan.count("Exchange") == 1
+
+
 def test_json_catalogs(spark, tmp_path):
     for i, body in enumerate([{"encodings": {"musicxml": "x"}}, {"encodings": [{"MusicXML": "y"}]}, {"encodings": []}, {}]):
         (tmp_path / f"{i}.json").write_text(json.dumps(body))
