@@ -303,15 +303,19 @@ def fit_validated(
     After each update the validation NLL is taken. The parameters of the last update that
     betters it by more than ``tolerance`` are returned with their NLL; the first that is within
     ``tolerance`` of the best without doing so ends the fit. The history holds the train log
-    likelihood before, and the validation NLL after each update.
+    likelihood before, and the validation NLL after each update. While that is taken, the counts of
+    the next update are begun; those of one that isn't made are dropped.
     """
     best, least, history = p, float("inf"), []
-    with kept(train) as train, kept(validation) as validation:
-        for _ in range(iterations):
-            counts = expected_counts(train, p)
+    with kept(train) as train, kept(validation) as validation, ThreadPoolExecutor(1) as aside:
+        begun_counts = aside.submit(expected_counts, train, p)
+        for i in range(iterations):
+            counts = begun_counts.result()
             if counts is None:
                 break
             p = maximised(counts, smoothing)
+            if i + 1 < iterations:
+                begun_counts = aside.submit(expected_counts, train, p)
             nll = held_out_nll(validation, p, bos)
             history.append((float(counts[3]), nll))
             if nll + tolerance < least:
