@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.scalars import uniform
 
-TINY = 1e-12
+TINY, TINIEST = 1e-12, np.finfo(float).tiny
 
 
 @dataclass(frozen=True)
@@ -178,8 +178,8 @@ PACK = 60_000
 LAID = [("keys", np.int64), ("live", np.int32), ("y", np.int32)]
 
 
-def laid(tokens: DataFrame) -> DataFrame:
-    """Sequences packed as they are worked on, about ``PACK`` tokens a row, those of like lengths together.
+def laid(tokens: DataFrame, most: int = PACK) -> DataFrame:
+    """Sequences packed as they are worked on, about ``most`` tokens a row, those of like lengths together.
 
     Every sequence has a key from its ``piece_id``, if there is one, for numbers drawn for it. Rows
     are spread evenly over the cores. What is laid already stays as it is.
@@ -191,7 +191,7 @@ def laid(tokens: DataFrame) -> DataFrame:
         for batch in batches:
             keys, (flat, ends) = batch["key"].to_numpy(zero_copy_only=False), flattened(batch["tokens"])
             order = np.argsort(np.diff(ends), kind="stable")
-            for _, pack in packs([flat[ends[i] : ends[i + 1]] for i in order], 1, PACK):
+            for _, pack in packs([flat[ends[i] : ends[i + 1]] for i in order], 1, most):
                 ranked, order = order[: len(pack.order)][pack.order], order[len(pack.order) :]
                 values = [keys[ranked], pack.live, pack.y]
                 yield pa.RecordBatch.from_arrays([pa.array([v.astype(kind).tobytes()]) for v, (_, kind) in zip(values, LAID)], [name for name, _ in LAID])
@@ -208,9 +208,9 @@ def flattened(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @contextmanager
-def kept(tokens: DataFrame) -> Iterator[DataFrame]:
+def kept(tokens: DataFrame, most: int = PACK) -> Iterator[DataFrame]:
     """Sequences laid, and cached as long as iterations go over them; who laid them before keeps them."""
-    rows = laid(tokens)
+    rows = laid(tokens, most)
     if rows is tokens:
         yield rows
         return
@@ -503,6 +503,108 @@ def path_counts(p: Parameters, pack: Packed, z: np.ndarray) -> list[np.ndarray]:
     return [np.bincount(z[:first], minlength=states), moves.reshape(states, states), emitted.reshape(states, symbols)]
 
 
+def halves(pack: Packed) -> tuple[Packed, Packed]:
+    """The even steps of a pack, and the odd ones."""
+    steps = [pack.y[pack.rows(t)] for t in range(len(pack.live))]
+    even, odd = (Packed.read(pack.live[i::2], np.concatenate([*steps[i::2], np.empty(0, np.int64)])) for i in (0, 1))
+    return even, odd
+
+
+def relative(emission: np.ndarray) -> np.ndarray:
+    """Rows by symbol as parts of their largest: a factor of a symbol changes no path."""
+    return emission / np.maximum(emission.max(1, keepdims=True), TINIEST)
+
+
+def drawn_evens(p: Parameters, even: Packed, odd: Packed, uniform: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States at the even steps of paths from the posterior, one uniform number a row, and what follows each.
+
+    The states of odd steps are summed over; given those beside them they depend on nothing else, so
+    they may be drawn later. What follows is numbered: symbol of the odd step times states plus the
+    state after it; after all these the symbol of a last odd step; then the end.
+    """
+    states, symbols = p.emission.shape
+    emission, ones, up_to = table(p.emission.T, even), np.ones(states), np.triu(np.ones((states, states)))
+    table(emission, odd)
+    emission = relative(emission)
+    onward = (p.transition * emission[:, None]) @ p.transition
+    ahead = np.concatenate([onward.swapaxes(1, 2).reshape(-1, states), emission @ p.transition.T, ones[None]])
+    live, at, odd_live, odd_at = (x.tolist() for x in (even.live, even.offset, odd.live, odd.offset))
+    most, last = live[0] if live else 0, len(ahead) - 1
+    alpha, follows, z = np.empty((len(even.y), states)), np.empty(len(even.y), np.int64), np.empty(len(even.y), np.int64)
+    one, other, beyond = np.empty((most, states)), np.empty((most, states)), np.empty((most, states), bool)
+    for t, n in enumerate(live):
+        now = alpha[at[t] : at[t + 1]]
+        if t:
+            between = alpha[at[t - 1] : at[t - 1] + n].dot(p.transition, one[:n])
+            between *= emission.take(odd.y[odd_at[t - 1] : odd_at[t - 1] + n], 0, other[:n], "clip")
+            between.dot(p.transition, now)
+        else:
+            now[:] = p.initial
+        now *= emission.take(even.y[at[t] : at[t + 1]], 0, other[:n], "clip")
+        if t % 4 == 0:
+            now /= np.maximum(now.dot(ones), TINIEST)[:, None]
+    for t in range(len(live) - 1, -1, -1):
+        here, n = slice(at[t], at[t + 1]), live[t]
+        moves, goes_on = (x[k] if k < len(x) else 0 for x, k in ((odd_live, t), (live, t + 1)))
+        after, symbol = follows[here], odd.y[odd_at[t] : odd_at[t] + moves] if moves else odd.y[:0]
+        np.multiply(symbol[:goes_on], states, out=after[:goes_on])
+        after[:goes_on] += z[at[t + 1] : at[t + 1] + goes_on]
+        np.add(symbol[goes_on:], symbols * states, out=after[goes_on:moves])
+        after[moves:] = last
+        weight = ahead.take(after, 0, one[:n], "clip")
+        weight *= alpha[here]
+        mass = weight.dot(up_to, other[:n])
+        np.greater(mass, (uniform[here] * mass[:, -1])[:, None], out=beyond[:n])
+        beyond[:n, -1] = True
+        beyond[:n].argmax(1, z[here])
+    return z, follows
+
+
+def even_counts(p: Parameters, even: Packed, z: np.ndarray, follows: np.ndarray) -> list[np.ndarray]:
+    """First states, emissions of even steps, and how often a number of :func:`drawn_evens` follows a state."""
+    states, symbols = p.emission.shape
+    first, kinds = int(even.live[0]) if len(even.live) else 0, symbols * states + symbols + 1
+    emitted = np.bincount(z * symbols + even.y, minlength=states * symbols)
+    after = np.bincount(z * kinds + follows, minlength=states * kinds)
+    return [np.bincount(z[:first], minlength=states), emitted.reshape(states, symbols), after.reshape(states, kinds)]
+
+
+def filled(p: Parameters, counts: list[np.ndarray], rng: np.random.Generator) -> list[np.ndarray]:
+    """First states, moves and emissions of whole paths: the states of odd steps are drawn for all that stand alike at once."""
+    first, emitted, after = (np.rint(x).astype(np.int64) for x in counts)
+    states, symbols = p.emission.shape
+    i, follows = np.nonzero(after[:, :-1])
+    inner = follows < symbols * states
+    symbol, j = np.where(inner, follows // states, follows - symbols * states), follows % states
+    weight = p.transition[i] * relative(p.emission.T)[symbol]
+    weight[inner] *= p.transition.T[j[inner]]
+    total = weight.sum(1, keepdims=True)
+    middle = rng.multinomial(after[i, follows], np.where(total > 0, weight, 1) / np.where(total > 0, total, states))
+    moves = np.zeros((states, states), np.int64)
+    np.add.at(moves, i, middle)
+    np.add.at(moves.T, j[inner], middle[inner])
+    np.add.at(emitted.T, symbol, middle)
+    return [first, moves, emitted]
+
+
+#: Cells of the counts of :func:`even_counts` up to which states are drawn at even steps first; tokens of a row for that.
+FEW, EVENS_PACK = 1 << 17, 120_000
+
+
+def drawn_counts(rows: DataFrame, p: Parameters, seed: int, rng: np.random.Generator) -> list[np.ndarray] | None:
+    """First states, moves and emissions of a path of every sequence from its posterior; None without sequences."""
+    states, symbols = p.emission.shape
+    if symbols * states**2 > FEW:
+        return summed(rows, lambda pack, keys: path_counts(p, pack, drawn_paths(p, pack, drawn_numbers(keys, pack, seed))))
+
+    def of_pack(pack: Packed, keys: np.ndarray) -> list[np.ndarray]:
+        even, odd = halves(pack)
+        return even_counts(p, even, *drawn_evens(p, even, odd, drawn_numbers(keys, even, seed)))
+
+    counts = summed(rows, of_pack)
+    return counts and filled(p, counts, rng)
+
+
 def drawn_in_packs(ids: list[str], sequences: list[np.ndarray], p: Parameters, seed: int) -> Iterator[tuple[int, Packed, np.ndarray]]:
     """(first index, pack, path at every row); numbers come from each piece's own seed, so tasks may be repeated."""
     for at, pack in packs(sequences, len(p.initial)):
@@ -569,7 +671,7 @@ def gibbs_grid(
 
     The chains run side by side.
     """
-    with kept(train) as train, kept(validation) as validation, ThreadPoolExecutor(len(grid)) as pool:
+    with kept(train, EVENS_PACK) as train, kept(validation) as validation, ThreadPoolExecutor(len(grid)) as pool:
 
         def chain(i: int) -> tuple[float, list[dict], Parameters]:
             alpha, initial, gamma = grid[i]
@@ -585,7 +687,7 @@ def gibbs(
     tokens: DataFrame, states: int, symbols: int, iterations: int = 10, alpha: float = 4.0, gamma: float = 3.0, kappa: float = 10.0, rho: float = 0.5, seed: int = 0,
     alpha_initial: float | None = None, burn_in: int | None = None,
 ) -> tuple[Parameters, list[dict]]:
-    """Truncated sticky HDP-HMM by blocked Gibbs: paths are sampled where the pieces are, counts are summed, parameters drawn on the driver.
+    """Truncated sticky HDP-HMM by blocked Gibbs: paths are sampled where the pieces are (see :func:`drawn_counts`), counts are summed, parameters drawn on the driver.
 
     The shared weights are drawn from the numbers of tables of a Chinese restaurant franchise.
     ``alpha_initial`` weighs the shared weights for first states (default ``alpha``). Returns the
@@ -600,10 +702,9 @@ def gibbs(
     beta /= beta.sum()
     p = Parameters.start(states, symbols, seed)
     trace, samples = [], []
-    with kept(tokens) as rows:
+    with kept(tokens, EVENS_PACK) as rows:
         for it in range(iterations):
-            here, numbers = p, seed * 10_007 + it
-            counts = summed(rows, lambda pack, keys, p=here, s=numbers: path_counts(p, pack, drawn_paths(p, pack, drawn_numbers(keys, pack, s))))
+            counts = drawn_counts(rows, p, seed * 10_007 + it, rng)
             if counts is None:
                 break
             first, moves, emitted = counts

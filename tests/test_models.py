@@ -220,6 +220,54 @@ def test_draws_of_a_piece_follow_its_key_alone():
     assert first.tolist() == [1, 2] and moves.tolist() == [[1, 1], [1, 0]] and emitted.tolist() == [[1, 0, 2], [1, 2, 0]]
 
 
+def even_draws(p, pack, uniform, rng):
+    even, odd = HM.halves(pack)
+    z, follows = HM.drawn_evens(p, even, odd, uniform)
+    return z, HM.filled(p, HM.even_counts(p, even, z, follows), rng)
+
+
+def test_counts_from_even_steps_follow_the_posterior():
+    p, rng, n = HM.Parameters.start(2, 3, 3), np.random.default_rng(0), 4000
+    for y in (np.array([1]), np.array([2, 0]), np.array([0, 2, 1]), np.array([0, 2, 1, 1])):
+        want, drawn = Counter(), Counter()
+        paths, pack = all_paths(p, y), HM.Packed([y])
+        for path, joint in paths.items():
+            want[tuple(np.concatenate([x.ravel() for x in HM.path_counts(p, pack, np.array(path))]).tolist())] += joint / sum(paths.values())
+        for _ in range(n):
+            z, counts = even_draws(p, pack, rng.random(len(y[::2])), rng)  # one number for two tokens
+            drawn[tuple(np.concatenate([x.ravel() for x in counts]).tolist())] += 1
+        assert set(drawn) <= set(want) and all(abs(drawn[k] / n - v) < 0.035 for k, v in want.items())
+
+
+def test_counts_of_many_sequences_from_even_steps():
+    p, rng = HM.Parameters.start(3, 4, 5), np.random.default_rng(1)
+    ys = [rng.integers(0, 4, n) for n in (5, 2, 0, 1, 6, 6, 3)]
+    pack = HM.Packed([y for y in ys for _ in range(1500)])
+    _, got = even_draws(p, pack, rng.random(len(HM.halves(pack)[0].y)), rng)
+    want = HM.expectations(p, HM.Packed(ys))
+    assert got[0].sum() == 6 * 1500 and got[1].sum() == 17 * 1500 and got[2].sum(0).tolist() == [1500 * sum((y == v).sum() for y in ys) for v in range(4)]
+    assert all(np.abs(a / 1500 - b).max() < 0.12 for a, b in zip(got, want))
+
+
+def test_unlikely_symbols_do_not_end_a_draw():
+    likely = HM.Parameters(np.array([0.5, 0.5]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([[0.3, 0.7], [0.6, 0.4]]))
+    unlikely = HM.Parameters(likely.initial, likely.transition, likely.emission * np.array([1e-120, 1e-150]))
+    pack = HM.Packed([np.arange(n) % 2 for n in range(1, 60)])
+    uniform = np.random.default_rng(2).random(len(HM.halves(pack)[0].y))
+    z, _ = even_draws(likely, pack, uniform, np.random.default_rng(3))
+    assert np.array_equal(z, even_draws(unlikely, pack, uniform, np.random.default_rng(3))[0]) and 0 < z.mean() < 1
+
+
+def test_drawn_counts_do_not_depend_on_packs(spark, monkeypatch):
+    rng, p = np.random.default_rng(4), HM.Parameters.start(4, 5, 6)
+    df = spark.createDataFrame([(f"p{i}", rng.integers(0, 5, n).tolist()) for i, n in enumerate((3, 9, 1, 0, 9, 40, 2))], "piece_id string, tokens array<int>")
+    one, other = (HM.drawn_counts(HM.laid(df, most), p, 7, np.random.default_rng(8)) for most in (10, 1000))
+    assert all(np.array_equal(a, b) for a, b in zip(one, other)) and [int(x.sum()) for x in one] == [6, 58, 64]
+    assert HM.drawn_counts(df.limit(0), p, 7, rng) is None
+    monkeypatch.setattr(HM, "FEW", 0)  # as with many symbols: all states are drawn where the sequences are
+    assert [int(x.sum()) for x in HM.drawn_counts(df, p, 7, rng)] == [6, 58, 64]
+
+
 def test_tables_of_many_customers_are_few_draws():
     n, a, rng = np.array([[0, 1], [5_000_000, 300]]), np.array([[3.0, 3.0], [6.0, 0.0]]), np.random.default_rng(9)
     draws = np.array([HM.table_count(n, a, rng) for _ in range(3000)])
