@@ -128,10 +128,15 @@ def prj16(spark, d):
 
 @C.add("agg09_emissions", f"WITH {EVENTS_SQL}, {TOKENS_SQL} SELECT pc AS state, token, count(*) AS n FROM ev JOIN tok USING (piece_id, t) GROUP BY ALL")
 def agg09(spark, d):
-    """Counts of symbol by state: pitch class of the event by token of the piece."""
+    """Counts of symbol by state: pitch class of the event by token of the piece.
+
+    Spark sizes token arrays by their files and would broadcast them, many times that in memory.
+    """
+    arrays = pieces(spark, d).select("piece_id", "tokens").hint("merge")
     return (
-        events(spark, d).select("piece_id", "t", F.col("pc").alias("state")).join(tokens(spark, d), ["piece_id", "t"])
-        .groupBy("state", "token").agg(F.count(F.lit(1)).alias("n"))
+        events(spark, d).select("piece_id", "t", F.col("pc").alias("state")).join(arrays, "piece_id")
+        .where((F.col("t") >= 0) & (F.col("t") < F.size("tokens")))
+        .groupBy("state", F.get("tokens", F.col("t")).alias("token")).agg(F.count(F.lit(1)).alias("n"))
     )
 
 

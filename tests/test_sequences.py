@@ -76,6 +76,20 @@ def test_padding_and_shift(spark):
     assert column(S.bos_shift(long, "k", "t", "x", 60), "t", "input") == [60, 4]
 
 
+def test_emissions_broadcast_no_tokens(spark, tmp_path):
+    from scorelake.plans import sequences as Q
+
+    fields = "offset double, duration double, kind string, label string, pitch_classes array<int>, midi_pitches array<int>, representative_midi int, measure int, beat double, extracted_at timestamp"
+    rows = [("a", t, pc) for t, pc in ((0, 3), (1, 3), (2, None), (3, 5), (-1, 5))] + [("b", 0, 5), ("c", 0, 5)]
+    played = spark.createDataFrame(rows, "piece_id string, index int, representative_pitch_class int")
+    played.select("*", *[F.lit(None).cast(k).alias(n) for n, k in (f.split(" ") for f in fields.split(", "))]).write.parquet(str(tmp_path / "musical_events.parquet"))
+    held = spark.createDataFrame([("a", [7, 7, None], None), ("b", [7, 8], None), ("d", [7], None)], "piece_id string, tokens array<int>, prepared_at timestamp")
+    held.write.parquet(str(tmp_path / "prepared_pieces.parquet"))
+    out = Q.agg09(spark, str(tmp_path))
+    assert {tuple(r) for r in out.collect()} == {(3, 7, 2), (None, None, 1), (5, 7, 1)}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "k string, t int, s int")
     assert S.segments(none, "k", "t", "s").collect() == [] and S.ngram_counts(none, "k", "t", "s", 2, 9).collect() == []
