@@ -89,6 +89,18 @@ def test_scores_are_rewritten_from_batches_of_events():
     assert len(out) > 2 and max(b.num_rows for b in out) < musicxml.ROWS_OUT + 2_100
 
 
+def test_rewritten_scores_are_whole_or_fail(monkeypatch):
+    frame = Kept()
+    frame.sortWithinPartitions = frame.drop = frame.select
+    rows = [{"piece_id": p, "offset": k / 2, "duration": 0.5, "midi_pitches": [60] * (k % 5 > 0)} for p in ("a", "b") for k in range(32)]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("piece_id", pa.string()), ("offset", pa.float64()), ("duration", pa.float64()), ("midi_pitches", pa.list_(pa.int32()))]))
+    got = [r for b in musicxml.rewritten(frame)(iter([batch])) for r in b.to_pylist()]
+    assert [{k: r[k] for k in rows[0]} for r in got] == rows and {r["kind"] for r in got} == {"note", "rest"}
+    monkeypatch.setattr(musicxml, "parse", lambda text, rests=False: [][1])
+    with pytest.raises(ValueError, match="score a "):
+        list(musicxml.rewritten(frame)(iter([batch])))
+
+
 def test_rewritten_scores_are_read_in_one_python_stage(spark):
     from scorelake.plans import files as FI
 
