@@ -6,11 +6,10 @@ made once for each distinct context and joined to the events that have it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.operators.sequences import ngram_counts, slice_context
-from scorelake.session import cut_lineage
 
 ALPHA, BACKOFF = 0.5, 1.0
 
@@ -81,16 +80,67 @@ def evaluate(scored: DataFrame, *keys: str) -> DataFrame:
 def select_order(train: DataFrame, validation: DataFrame, orders: list[int], bos: int, length: int) -> DataFrame:
     """``(depth, nll, cells)`` of each candidate order on the validation pieces.
 
-    The counts are made and written once; each order is a job of its own on them, whose one row
-    comes back, so neither plans nor what the driver holds for them add up.
+    The probability of the token that came needs no whole distribution, only how often its contexts
+    and they with it were met. Train and validation tokens are laid out once beside the symbols
+    before them, in two sort orders, and counted by windows; pairs of symbols alone are broadcast.
     """
-    counts, held = cut_lineage(fit(train, max(orders), bos)), cut_lineage(validation)
-    cells = {r["k"]: r["cells"] for r in counts.groupBy("k").agg(F.count(F.lit(1)).alias("cells")).collect()}
-    rows = []
-    for depth in orders:
-        nll = evaluate(score(held, counts.where(F.col("k") <= depth), depth, bos, length)).first()["nll"]
-        rows.append((depth, nll, sum(n for k, n in cells.items() if k <= depth)))
-    return counts.sparkSession.createDataFrame(rows, "depth int, nll double, cells long")
+    top, symbols = max(1, *orders), bos + 1
+    lags, trained = [f"l{k}" for k in range(1, top + 1)], F.when(~F.col("held"), 1).otherwise(0)
+    known = _before(train, ["piece_id"], top, bos, held=False)
+    asked = _before(validation.withColumn("slice", F.floor(F.col("t") / length)), ["piece_id", "slice"], top, bos, held=True)
+    rows = known.unionByName(asked)
+    over = lambda *by: F.sum("n1").over(Window.partitionBy(*by))
+    seen = F.collect_set(F.when(F.col("n1") > 0, F.col("token"))).over(Window.partitionBy(F.lit(0)))
+    pairs = (
+        rows.groupBy("l1", "token").agg(F.sum(trained).alias("n1")).withColumns({"t1": over("l1"), "n0": over("token"), "t0": over(F.lit(0))})
+        .withColumns({"c0": F.size(seen), "c1": F.count(F.when(F.col("n1") > 0, 1)).over(Window.partitionBy(F.lit(0)))})
+    )
+    laid = rows.repartition(*lags[:2]).sortWithinPartitions(*lags)
+    for k in range(2, top + 1):
+        laid = laid.withColumn(f"t{k}", F.sum(trained).over(Window.partitionBy(*lags[:k])))
+    laid = laid.sortWithinPartitions("token", *lags, "held")
+    for k in range(2, top + 1):
+        laid = laid.withColumn(f"n{k}", F.sum(trained).over(Window.partitionBy("token", *lags[:k])))
+    # the train row before, to count each cell at its first
+    by = Window.partitionBy("token", *lags[:2]).orderBy(*lags[2:], "held").rowsBetween(Window.unboundedPreceding, -1)
+    laid = laid.withColumn("last", F.last(F.when(~F.col("held"), F.struct(*lags)), ignorenulls=True).over(by))
+
+    def terms(k: int) -> tuple[Column, Column]:
+        n, total = F.col(f"n{k}"), F.col(f"t{k}").cast("double")
+        met = (total > 0) & (F.lit(True) if k == 0 else F.col(f"l{k}").isNotNull())
+        w = F.lit(1.0) if k == 0 else total / (total + BACKOFF)
+        return F.when(met, w * (n + ALPHA) / (total + ALPHA * symbols)).otherwise(0.0), F.when(met, 1 - w).otherwise(1.0)
+
+    def loss(depth: int) -> Column:
+        p = F.lit(1.0 / symbols)
+        for k in range(depth + 1):
+            here, rest = terms(k)
+            p = here + rest * p
+        able = F.col("token").between(0, bos)
+        return F.avg(F.when(F.col("held"), -F.ln(F.greatest(F.when(able, p), F.lit(1e-12)))))
+
+    def cells(k: int) -> Column:
+        if k < 2:
+            return F.coalesce(F.max(f"c{k}"), F.lit(0))
+        same = F.col("last").isNotNull()
+        for x in lags[2:k]:
+            same = same & F.col(x).eqNullSafe(F.col(f"last.{x}"))
+        return F.coalesce(F.sum(F.when(~F.col("held") & F.col(f"l{k}").isNotNull() & ~same, 1).otherwise(0)), F.lit(0))
+
+    found = laid.join(F.broadcast(pairs), ["l1", "token"]).agg(
+        *[F.round(loss(d), 6).alias(f"nll{d}") for d in orders], *[cells(k).alias(f"cells{k}") for k in range(top + 1)]
+    ).first()
+    out = [(d, found[f"nll{d}"], sum(found[f"cells{k}"] for k in range(d + 1))) for d in orders]
+    return train.sparkSession.createDataFrame(out, "depth int, nll double, cells long")
+
+
+def _before(tokens: DataFrame, keys: list[str], depth: int, bos: int, held: bool) -> DataFrame:
+    """``(token, l1..., held)``: each token with the ``depth`` symbols before it, nearest first; BOS stands before each sequence, null before that."""
+    by = Window.partitionBy(*keys).orderBy("t")
+    token = F.coalesce("token", F.raise_error(F.lit("a token is null")).cast("int"))
+    rows = tokens.select(*keys, "t", token.alias("token")).withColumn("p", F.row_number().over(by))
+    symbols = [F.when(F.col("p") == k, F.lit(bos)).otherwise(F.lag("token", k).over(by)).alias(f"l{k}") for k in range(1, depth + 1)]
+    return rows.select("token", *symbols, F.lit(held).alias("held"))
 
 
 def generate(model: DataFrame, prompts: DataFrame, steps: int, depth: int, bos: int) -> DataFrame:

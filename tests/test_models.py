@@ -39,6 +39,21 @@ def test_orders_do_not_pile_up_in_one_plan(spark):
     assert "Union" not in plan and "Window" not in plan
 
 
+def test_orders_are_scored_without_whole_distributions(spark, monkeypatch):
+    rng, orders = np.random.default_rng(5), [0, 1, 2, 4, 8]
+    draw = lambda n: [[int(x) for x in rng.choice(6, k, p=[0.5, 0.3, 0.1, 0.05, 0.04, 0.01])] for k in n]
+    train, validation = tokens(spark, *draw((40, 1, 9, 0, 70)), [9, 0, 0, 9]), tokens(spark, *draw((33, 1, 12)), [0, 0, 9, 5, 9, 0, 0])  # 9 is no symbol
+    counts = V.fit(train, 8, 5)
+    cells = [counts.where(F.col("k") <= d).count() for d in orders]
+    nlls = [V.evaluate(V.score(validation, counts.where(F.col("k") <= d), d, 5, 8)).first()["nll"] for d in orders]
+    monkeypatch.setattr(V, "distributions", None)
+    rows = V.select_order(train, validation, orders, 5, 8).collect()
+    assert [r["depth"] for r in rows] == orders and [r["cells"] for r in rows] == cells
+    assert np.allclose([r["nll"] for r in rows], nlls, atol=2e-6)
+    none = V.select_order(train.limit(0), validation, [2], 5, 8).first()
+    assert none["cells"] == 0 and V.select_order(train, validation.limit(0), [2], 5, 8).first()["nll"] is None
+
+
 def test_scores(spark):
     rows = spark.createDataFrame([(0.7, 0, 0, 0.14), (0.1, 1, 2, 1.26), (0.6, 1, 1, 0.46)], "probability double, best int, token int, brier double")
     one = V.evaluate(rows).first()
